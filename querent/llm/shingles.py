@@ -14,12 +14,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's words begin (one more at the end).
 
-    A word is a maximal run without bytes 20, 09 to 0D; A-Z count as a-z.
+    A word is a maximal run without bytes 20, 09 to 0D; A-Z count as a-z if ``lower``.
     """
-    buf = _LOWER[np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)]
+    buf = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+    if lower:
+        buf = _LOWER[buf]
     gap = _SPACE[buf]
     start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
@@ -27,7 +29,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_poly(buf), start, end), np.searchsorted(start, first)
 
 
-def sets_of(texts: list[str | None], k: int, chunk_bytes: int = 1 << 21) -> Iterator[np.ndarray]:
+def sets_of(texts: list[str | None], k: int, chunk_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
     """The shingle set of each text, in order.
 
     Fewer words than k: the whole sequence is the one shingle.  No words: empty.
