@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from querent.llm import ann, chat, line_dedup, media, mixing, packing, pii, quality, suffix_dedup
 from querent.llm.common import table
 from querent.llm.ngram_join import ngram_components
 
@@ -15,8 +17,56 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with Feistel pseudonyms for personal values."""
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key="demo1key").select("doc_id", "text", "pii", "n_pii")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks and features of all documents, read back from progressive JPEG."""
+    return media.digest(media.store(table(spark, sf_dir, "documents")))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines of recurring templates."""
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_dropped")
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the perspective of each participant."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, drawn by temperature-mixed source weights of at most 1.5 passes."""
+    return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=1.5).select("doc_id", "source", "mix_pass", "mix_tokens", "mix_order")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated strings of 400 bytes."""
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_join": op1_ngram_join,
+    f.__name__: f for f in (op1_ngram_join, op2_quality, op3_pii, op4_packing, op5_media, op6_line_dedup, op7_ann, op8_chat, op9_mixing, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
