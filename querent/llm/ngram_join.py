@@ -35,7 +35,7 @@ from querent.llm.common import GOLDEN, components, materialize, mix64
 from querent.llm.rtree import CountTree
 from querent.llm.shingles import overlap, sets_of
 
-DIMS = 32
+DIMS = 256
 _BAND = 1.5
 
 
@@ -85,7 +85,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
     for batch in batches:
         rows: list[tuple] = []
         for doc, tokens in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist(), k), strict=True):
-            vec = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=DIMS).astype("<u4")
+            vec = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=DIMS)
+            vec = vec.astype("<u2" if vec.max() < 1 << 16 else "<u4")
             two = [int(mix64(tokens + c).sum(dtype=np.uint64).astype(np.int64)) for c in (GOLDEN, np.uint64(1))]
             rows.append((doc, len(tokens), *two, vec.tobytes(), shard_keys(tokens, num, den).astype(np.int64)))
             if len(rows) == 2000:
@@ -120,7 +121,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _points(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<u4").reshape(-1, DIMS)
+    vec = np.stack([np.frombuffer(v, "<u2" if len(v) == 2 * DIMS else "<u4") for v in t.column("vec").to_pylist()])
     return t.column("doc").to_numpy(), vec, t.column("n").to_numpy()
 
 
@@ -140,7 +141,7 @@ def _best(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         rank[np.lexsort((docs, ~t.column("centre").to_numpy(zero_copy_only=False)))] = np.arange(len(docs))
         tree, found = CountTree(vec, n, num, den), []
         for i in range(len(docs)):
-            idx, bound = tree.search(vec[i].astype(np.int32), int(n[i]))
+            idx, bound = tree.search(i)
             ok = (rank[idx] < rank[i]) & (docs[idx] != docs[i])
             if ok.any():
                 idx, bound = idx[ok], bound[ok]
@@ -162,7 +163,7 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         label, own = t.column("label").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
         tree, out = CountTree(vec, n, num, den), []
         for i in np.flatnonzero(own).tolist():
-            idx, _ = tree.search(vec[i].astype(np.int32), int(n[i]))
+            idx, _ = tree.search(i)
             idx = idx[label[idx] != label[i]]
             if len(idx):
                 out.append(np.stack([np.minimum(docs[idx], docs[i]), np.maximum(docs[idx], docs[i])], 1))

@@ -3,6 +3,8 @@
 A point holds how many of a set's tokens fall in each hash group.  Two sets
 share at most ``sum(min(a_g, b_g))`` tokens; for a node, the box's upper
 corner takes the place of ``b``, so a node whose bound fails holds no partner.
+Boxes and the first test of a point use groups folded ``FOLD`` to one; points
+that survive are tested on all groups, where fewer differences cancel out.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 32
+FOLD = 8
 
 
 class CountTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int):
         """points: (n, groups) counts; a pair links at den * overlap >= num * union."""
         self.num, self.den = num, den
-        self.points, self.sizes = points.astype(np.int32), sizes.astype(np.int64)
+        self.fine, self.sizes = points.astype(np.int32), sizes.astype(np.int64)
+        self.points = self.fine.reshape(len(points), -1, FOLD).sum(axis=2)
         spread = np.argsort(-self.points.var(axis=0), kind="stable")[:2]
         #: Sort-tile order: by size, then by the two widest coordinates inside a slab.
         order = np.argsort(self.sizes, kind="stable")
@@ -37,12 +41,13 @@ class CountTree:
         bound = np.minimum(bound, np.minimum(self.most, size))
         return np.flatnonzero(self.survives(bound, np.maximum(self.least, bound) + size))
 
-    def search(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index, overlap bound) of all points that may link with the given one."""
+    def search(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index, overlap bound) of all points that may link with point i, itself included."""
+        point, size = self.points[i], int(self.sizes[i])
         hit = self.leaves(point, size)
-        if not len(hit):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        idx = self.order[(hit[:, None] * LEAF + np.arange(LEAF)).ravel()] if hit[-1] * LEAF + LEAF <= len(self.order) else self.order[np.concatenate([np.arange(h * LEAF, min(len(self.order), h * LEAF + LEAF)) for h in hit.tolist()])]
-        bound = np.minimum(self.points[idx], point).sum(axis=1)
+        at = (hit[:, None] * LEAF + np.arange(LEAF)).ravel()
+        idx = self.order[at[at < len(self.order)]]
+        idx = idx[self.survives(np.minimum(self.points[idx], point).sum(axis=1), self.sizes[idx] + size)]
+        bound = np.minimum(self.fine[idx], self.fine[i]).sum(axis=1)
         ok = self.survives(bound, self.sizes[idx] + size)
         return idx[ok], bound[ok]
