@@ -249,3 +249,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = sets.groupBy("doc_id").agg(F.expr("min_by(struct(n, s1, s2), struct(n, s1, s2))").alias("z")).select("doc_id", "z.*")
     out = whole.join(classes, ["n", "s1", "s2"], "left").join(final, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class, one row an id.
+
+    Rows with a null id stay, all of them.  Columns stay as they are.
+    """
+    kept = ngram_components(docs, id_col, text_col, k, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    one = docs.filter(F.col(f"`{id_col}`").isNotNull())
+    if not one.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").isEmpty():
+        one = one.dropDuplicates([id_col])
+    return one.join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi").union(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -135,3 +135,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Rows that repeat are scored each; a null id stays null.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_score, model=model), "doc_id long, score double")
+
+
+def _accepted(batches: Iterator[pa.RecordBatch], model: Model, least: float, column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = encode(batch.column(column).to_pylist())
+        keep = [scores(model, raw[part]) >= least for part in chunks(np.array([len(r) + 1 for r in raw]), 1 << 20)]
+        if keep:
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows whose score reaches ``least``, with all their columns, in one pass.
+
+    Null and empty texts have the class prior as their score.
+    """
+    return docs.mapInArrow(partial(_accepted, model=model, least=least, column=docs.columns.index(text_col)), docs.schema)
