@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -36,11 +37,15 @@ def drop_scratch(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
-    Later stages restart from files that outlive any executor.
+    Later stages restart from files that outlive any executor.  Shuffle files of
+    plans that nothing refers to any more are let go, which otherwise waits for
+    the driver's next full collection: rounds of joins would pile them up.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
