@@ -30,7 +30,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
     def data(s: argparse.ArgumentParser) -> None:
         s.add_argument("--data", required=True, help="folder of the dataset, gold and schema files")
-        s.add_argument("--dataset", default="vispider")
+        s.add_argument("--dataset", default="examples")
         s.add_argument("--split", default="dev", choices=["dev", "test", "train"])
         s.add_argument("--limit", type=int)
 

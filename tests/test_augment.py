@@ -143,9 +143,9 @@ def test_files(spark, tmp_path):
         files.read_json(spark, str(tmp_path / "none.json"))
     data = files.Datasets.of_folder(spark, str(tmp_path))
     with pytest.raises(ValueError):
-        data.load("vispider", "other")
+        data.load("examples", "other")
     with pytest.raises(FileNotFoundError):
-        data.load_gold("vispider", "dev")
+        data.load_gold("examples", "dev")
     ex = spark.createDataFrame([(0,), (1,)], "example_idx long")
     (tmp_path / "h.json").write_text(json.dumps([{"index": 0, "db_id": "d", "question_vi": "q", "hints": [{"vi_noun": "n", "table": "t", "column": None, "similarity": 0.9, "table_type": "entity"}]}]))
     with pytest.raises(ValueError, match="missing 1"):
