@@ -217,11 +217,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = materialize(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select("rep")
 
-    spread = sets.select(F.col("doc_id").alias("rep"), "keys").join(reps, "rep", "left_semi").select(F.col("rep").alias("doc"), F.explode("keys").alias("key"))
-    shards = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(doc))").alias("x"), F.sum(F.expr("xxhash64(doc) >> 24")).alias("s")).filter("c > 1")
+    #: A shard counts if it holds different sets; copies of one set do not make it one.
+    spread = sets.filter("n > 0").select(F.col("doc_id").alias("doc"), "s1", F.explode("keys").alias("key"))
+    shared = materialize(spread.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("key"), "shared")
+    touched = spread.select("doc", "key").join(shared, "key").join(reps.withColumnRenamed("rep", "doc"), "doc", "left_semi").distinct()
+    touched = materialize(touched, "touched")
+    shards = touched.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(doc))").alias("x"), F.sum(F.expr("xxhash64(doc) >> 24")).alias("s")).filter("c > 1")
     #: Shards with the same members give the same pairs; one of them stays.
     shards = materialize(shards.groupBy("c", "x", "s").agg(F.min("key").alias("key")), "shards")
-    members = materialize(spread.join(shards.select("key", "c"), "key").distinct(), "members")
+    members = materialize(touched.join(shards.select("key", "c"), "key"), "members")
     weight = members.groupBy("doc").agg(F.sum("c").alias("w"))
     centre = members.join(weight, "doc").groupBy("key").agg(F.expr("max_by(doc, struct(w, -doc))").alias("centre"))
     vectors = sets.select(F.col("doc_id").alias("doc"), "n", "vec").dropDuplicates(["doc"])
