@@ -51,7 +51,9 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from the perspective of each participant."""
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "window", "part", "participant", F.col("n_messages").cast("long"), F.col("n_trained").cast("long"), "text", mask.alias("mask"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +71,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_quality, op3_pii, op4_packing, op5_media, op6_line_dedup, op7_ann, op8_chat, op9_mixing, op10_suffix_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ORDER = "turn NULLS FIRST, name, content"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat": f"""
+WITH r AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS name, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+w AS (SELECT *, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS win FROM r),
+p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id, win ORDER BY {_ORDER}) - 1) / 64) AS BIGINT) AS part FROM w),
+who AS (SELECT DISTINCT conv_id, win, part, name AS participant FROM p WHERE name <> 'system'),
+m AS (SELECT who.*, turn, name, content, name = participant AS train, '<|' || CASE WHEN name = 'system' THEN 'system' WHEN name = participant THEN 'assistant' ELSE 'user name=' || name END || '|>' || chr(10) AS head FROM who JOIN p USING (conv_id, win, part)),
+s AS (SELECT *, coalesce(sum(length(head || content) + 8) OVER (PARTITION BY conv_id, win, part, participant ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM m)
+SELECT conv_id, win AS "window", part, participant, count(*) AS n_messages, count(*) FILTER (train) AS n_trained,
+  string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY {_ORDER}) AS text,
+  coalesce(string_agg(CASE WHEN train THEN CAST(begins AS BIGINT) || ':' || CAST(begins + length(content) + 7 AS BIGINT) END, ',' ORDER BY {_ORDER}), '') AS mask
+FROM s GROUP BY conv_id, win, part, participant""",
+}

@@ -56,3 +56,18 @@ def test_quality_stage_equals_scores(spark, stages, sf):
 
 def test_pipeline_runs(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op8_chat"])
+def test_oracles(spark, sf, name):
+    import duckdb
+
+    from querent.llm.queries import ORACLE_SQL
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    df = QUERIES[name](spark, sf)
+    cur = db.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*(f"`{n}`" for n in names)).collect())) == sorted(cur.fetchall())
