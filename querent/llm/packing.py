@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -49,7 +50,7 @@ class WordEncoder:
     own path.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.full, self.most = Tokenizer.from_file(path), memo
@@ -59,18 +60,18 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as machine words: lists of them would be most of the memory
         self.size, self.flat = 0, np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 15, np.int64)
 
-    def _piece(self, p: str) -> list[int]:
+    def _piece(self, p: str) -> bytes:
         if (ids := self.pieces.get(p)) is None:
-            ids = self.pieces[p] = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
+            ids = self.pieces[p] = array("I", (t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet)))).tobytes()
         return ids
 
     def _learn(self, words: set[str]) -> None:
         for w in words:
-            ids = [i for p in _WORD.findall(w) for i in self._piece(p)]
+            ids = np.frombuffer(b"".join(map(self._piece, _WORD.findall(w))), np.uint32)
             n = len(self.index)
             while self.size + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])

@@ -68,11 +68,11 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int, dim: int =
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((1 << bits, dim)) - 0.5) / dim).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    share = [(y, ids, (c / max(1, c.sum())).astype(np.float32)) for y, ids, c in bags]
-    step, steps = 0, max(1, epochs * len(share))
+    step, steps = 0, max(1, epochs * len(bags))
     for _ in range(epochs):
-        for i in rng.permutation(len(share)).tolist():
-            y, ids, c = share[i]
+        for i in rng.permutation(len(bags)).tolist():
+            y, ids, counts = bags[i]
+            c = (counts / max(1, counts.sum())).astype(np.float32)
             lr, step = np.float32(rate * (1 - step / steps)), step + 1
             hidden = c @ vectors[ids]
             z = hidden @ layer + bias
@@ -123,10 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, bits: int = 16) ->
     rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     bags = rows.mapInArrow(partial(_bags, bits=bits), "doc_id long, label int, ids array<int>, counts array<int>")
     got = bags.toArrow().sort_by([("doc_id", "ascending")])
-    ids, counts = (got.column(c).combine_chunks() for c in ("ids", "counts"))
-    at = ids.offsets.to_numpy()
-    flat, many = ids.values.to_numpy(), counts.values.to_numpy()
-    return train([(y, flat[a:b].astype(np.int64), many[a:b]) for y, a, b in zip(got.column("label").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)], bits)
+    kinds, ids, counts = got.column("label").to_pylist(), got.column("ids").combine_chunks(), got.column("counts").combine_chunks()
+    del got  # the driver holds the sample once
+    at, flat, many = ids.offsets.to_numpy(), ids.values.to_numpy(), counts.values.to_numpy()
+    return train([(y, flat[a:b], many[a:b]) for y, a, b in zip(kinds, at[:-1].tolist(), at[1:].tolist(), strict=True)], bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
