@@ -78,17 +78,20 @@ def shard_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("vec", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("vec", pa.binary())])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _digests(tokens: np.ndarray) -> list[int]:
+    return [int(mix64(tokens + c).sum(dtype=np.uint64).astype(np.int64)) for c in (GOLDEN, np.uint64(1))]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for doc, tokens in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist(), k), strict=True):
             vec = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=DIMS)
             vec = vec.astype("<u2" if vec.max() < 1 << 16 else "<u4")
-            two = [int(mix64(tokens + c).sum(dtype=np.uint64).astype(np.int64)) for c in (GOLDEN, np.uint64(1))]
-            rows.append((doc, len(tokens), *two, vec.tobytes(), shard_keys(tokens, num, den).astype(np.int64)))
+            rows.append((doc, len(tokens), *_digests(tokens), vec.tobytes()))
             if len(rows) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS, strict=True)], schema=_SETS)
                 rows = []
@@ -96,6 +99,25 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS, strict=True)], schema=_SETS)
 
 
+_KEYS = pa.schema([("doc", pa.int64()), ("s1", pa.int64()), ("key", pa.int64())])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document and shard."""
+    for batch in batches:
+        docs = batch.column(0).to_pylist()
+        found: list[np.ndarray] = []
+        for doc, tokens in zip(docs, sets_of(batch.column(1).to_pylist(), k), strict=True):
+            if len(tokens):
+                keys = shard_keys(tokens, num, den).astype(np.int64)
+                found.append(np.stack([np.full(len(keys), doc), np.full(len(keys), _digests(tokens)[0]), keys]))
+            if len(found) == 500:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], schema=_KEYS)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], schema=_KEYS)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of rows that agree in ``keys``, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -213,12 +235,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns doc_id, n_shingles, component_id (the smallest reachable doc_id).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    sets = materialize(docs.mapInArrow(partial(_sets, k=k, num=num, den=den), "doc_id long, n long, s1 long, s2 long, vec binary, keys array<long>"), "sets")
+    sets = materialize(docs.mapInArrow(partial(_sets, k=k), "doc_id long, n long, s1 long, s2 long, vec binary"), "sets")
     classes = materialize(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select("rep")
 
     #: A shard counts if it holds different sets; copies of one set do not make it one.
-    spread = sets.filter("n > 0").select(F.col("doc_id").alias("doc"), "s1", F.explode("keys").alias("key"))
+    #: Keys are made from the texts each time they are read: kept, they would outweigh the input.
+    spread = docs.mapInArrow(partial(_keys, k=k, num=num, den=den), "doc long, s1 long, key long")
     shared = materialize(spread.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("key"), "shared")
     touched = spread.select("doc", "key").join(shared, "key").join(reps.withColumnRenamed("rep", "doc"), "doc", "left_semi").distinct()
     touched = materialize(touched, "touched")
