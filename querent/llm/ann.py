@@ -3,9 +3,11 @@
 Vectors that are equal are one node.  The graph starts from leaves of random
 hyperplane trees.  Each round of NN-descent joins the edges of every node, in
 both directions, with the vectors at their ends; neighbours of one node are
-compared with each other, and every node keeps its nearest.  Queries walk the
-graph: they expand their nearest nodes that were not expanded yet, by a join
-with the graph and one with the vectors, until no nearer node turns up.
+compared with each other, and every node keeps its nearest; rounds go on until
+hardly an edge is new.  Queries walk the graph: they expand their nearest nodes
+that were not expanded yet, by a join with the graph and one with the vectors,
+until no nearer node turns up.  A few queries are also compared with all vectors;
+while the walks find too few of their nearest, all walks go on with a wider beam.
 
 The graph is built on half-precision copies with a scale each, to keep shuffles
 small; search uses double precision on the original vectors.
@@ -108,13 +110,16 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return best.withColumn("r", rank).filter(F.col("r") <= k)
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = 32, rounds: int = 6, trees: int = 8, leaf: int = 256, sample: int = 16, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, k: int = 32, most_rounds: int = 60, trees: int = 8, leaf: int = 256, sample: int = 16, seed: int = 5) -> DataFrame:
     """(a, b, d, fresh, r): each node's k nearest known neighbours.
 
     ``nodes`` is (node, q): an id and its vector as ``packed`` gives it.  A
-    round compares at most ``sample`` new and ``sample`` old edges a node in
-    each direction; a hub's further edges wait for later rounds.
+    round compares at most ``sample`` new and ``sample`` old edges a node; its
+    further new edges stay new for later rounds.  Rounds end when under 0.2
+    percent of the edges are new; ``most_rounds`` without that is an error.
+    ``trees`` is the least number of trees; it grows with the logarithm of n.
     """
+    trees = max(trees, int(np.ceil(np.log2(max(2, n)))) - 6)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
     routed = nodes.mapInArrow(partial(_route, trees=trees, depth=depth, seed=seed), "node long, q binary, tree int, leaf long")
     #: Signs may leave a leaf too full; it is split by a hash.
@@ -122,23 +127,58 @@ def build_graph(nodes: DataFrame, n: int, k: int = 32, rounds: int = 6, trees: i
     dealt = routed.join(counts, "leaf").withColumn("part", F.expr(f"pmod(xxhash64(node, leaf), ceil(c / {2 * leaf}))")).select("leaf", "part", "node", "q")
     first = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(partial(_leaf, k=k // 2), "a long, b long, d float")
     graph = materialize(_top(first.withColumn("fresh", F.lit(True)), k), "graph")
-    for _ in range(rounds):
-        ends = graph.select("a", "b", "d", "fresh").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "fresh"))
-        ends = ends.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("fresh").alias("fresh"))
+    for _ in range(most_rounds):
+        ends = graph.select("a", "b", "d", "fresh", F.col("fresh").alias("own_fresh"), F.lit(True).alias("own")).union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "fresh", F.lit(False), F.lit(False)))
+        ends = ends.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("fresh").alias("fresh"), F.max("own_fresh").alias("own_fresh"), F.max("own").alias("own"))
         pick = F.row_number().over(Window.partitionBy("a", "fresh").orderBy("d", "b"))
-        ends = ends.withColumn("p", pick).filter(F.col("p") <= sample).select("a", "b", "fresh")
+        ends = materialize(ends.withColumn("p", pick).filter((F.col("p") <= sample) | F.col("own")), "ends")
+        #: A new edge that is not compared in this round waits: it stays new.
+        known = ends.filter("own").select("a", "b", "d", (F.col("own_fresh") & (F.col("p") > sample)).alias("fresh"))
         worst = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).cast("float").alias("worst")).withColumnRenamed("a", "b")
-        joined = ends.join(nodes.select(F.col("node").alias("b"), "q").join(worst, "b", "left").fillna(float("inf"), ["worst"]), "b")
+        joined = ends.filter(F.col("p") <= sample).select("a", "b", "fresh").join(nodes.select(F.col("node").alias("b"), "q").join(worst, "b", "left").fillna(float("inf"), ["worst"]), "b")
         found = joined.select("a", "b", "fresh", "worst", "q").repartition("a").sortWithinPartitions("a").mapInArrow(partial(_local, k=8), "a long, b long, d float")
-        #: fresh is false as soon as an edge was known before (min over both).
-        new = found.withColumn("fresh", F.lit(True)).union(graph.select("a", "b", "d", F.lit(False).alias("fresh")))
-        graph = materialize(_top(new, k), "graph")
-        if graph.filter("fresh").count() < 0.002 * n * k:
-            break
-    return graph
+        #: fresh is false as soon as an edge was compared before (min over both).
+        graph = materialize(_top(found.withColumn("fresh", F.lit(True)).union(known), k), "graph")
+        if graph.filter("fresh").count() <= 0.002 * n * k:
+            return graph
+    raise RuntimeError(f"the neighbour graph did not converge in {most_rounds} rounds")
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, expand: int = 48, most_steps: int = 40, graph_k: int = 32, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest other nodes of each probe, in every batch of (node, v)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+        d = (x * x).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (x @ v.T)
+        d[ids[:, None] == node[None, :]] = np.inf
+        at = np.argpartition(d, min(k, len(node)) - 1, axis=1)[:, :k]
+        for i, w in enumerate(ids):
+            near = at[i][node[at[i]] != w]
+            if len(near):
+                exact = np.sqrt(((v[near] - x[i]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), w)), pa.array(node[near]), pa.array(exact)], names=["w", "b", "d"])
+
+
+def _truth(walks: DataFrame, nodes: DataFrame, probes: int, k: int) -> DataFrame:
+    """(w, kth, want) of at most ``probes`` walks, by a scan of all nodes: the distance of the k-th nearest and their number."""
+    rows = walks.orderBy(F.xxhash64("w"), "w").limit(probes).collect()
+    ids, x = np.array([r.w for r in rows], np.int64), np.array([r.qv for r in rows], float)
+    near = nodes.select("node", "v") if rows else nodes.select("node", "v").limit(0)
+    near = near.mapInArrow(partial(_scan, ids=ids, x=x, k=k), "w long, b long, d double")
+    place = F.row_number().over(Window.partitionBy("w").orderBy("d", "b"))
+    top = near.withColumn("place", place).filter(F.col("place") <= k)
+    return materialize(top.groupBy("w").agg(F.max("d").alias("kth"), F.count(F.lit(1)).alias("want")), "truth")
+
+
+def _recall(seen: DataFrame, truth: DataFrame) -> float:
+    """The share of the probes' nearest that their walks have met, ties counted by distance."""
+    met = seen.join(F.broadcast(truth), "w").filter("b <> w AND d <= kth * (1 + 1e-9)").groupBy("w").agg(F.count(F.lit(1)).alias("met"))
+    row = truth.join(met, "w", "left").agg(F.sum(F.least(F.coalesce("met", F.lit(0)), "want")), F.sum("want")).first()
+    return row[0] / row[1] if row[1] else 1.0
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, expand: int = 48, most_steps: int = 400, graph_k: int = 32, recall: float = 0.93, probes: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each query row, itself left out.
 
     Queries are the rows whose id is divisible by ``every``; all other rows are
@@ -147,6 +187,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, e
     zero or hold null or non-finite parts take no part; of rows with one id the
     smallest vector counts.  All vectors must have one length.
 
+    Up to ``probes`` queries are compared with all vectors.  ``beam`` and
+    ``expand`` are doubled, for all queries, until the walks have met at least
+    ``recall`` of the probes' nearest; it is an error if a beam of all nodes or
+    ``most_steps`` steps do not get there.
+
     Returns query_id, rank, vec_id, score.
     """
     rows = usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -166,17 +211,26 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, e
     seen = materialize(walks.select("w", F.col("w").alias("b"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "seen")
     points = nodes.select(F.col("node").alias("b"), "v")
     distance = F.expr("sqrt(aggregate(zip_with(v, qv, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
+    truth = _truth(walks, nodes, probes, k)
     for _ in range(most_steps):
         place = F.row_number().over(Window.partitionBy("w").orderBy("d", "b"))
         top = seen.withColumn("place", place).filter(F.col("place") <= beam)
         turn = F.row_number().over(Window.partitionBy("w", "done").orderBy("d", "b"))
         front = materialize(top.withColumn("t", turn).filter(~F.col("done") & (F.col("t") <= expand)).select("w", "b"), "front")
         if front.isEmpty():
-            break
+            share = _recall(seen, truth)
+            if share >= recall:
+                break
+            if beam >= n:
+                raise RuntimeError(f"the walks end with {share:.3f} of the probes' nearest; {recall} is wanted")
+            beam, expand = 2 * beam, 2 * expand
+            continue
         fresh = front.select("w", F.col("b").alias("a")).join(links, "a").select("w", "b").distinct().join(seen.select("w", "b"), ["w", "b"], "left_anti")
         fresh = fresh.join(points, "b").join(walks, "w").select("w", "b", distance.alias("d"), F.lit(False).alias("done"))
         old = seen.join(front.withColumn("hit", F.lit(True)), ["w", "b"], "left").select("w", "b", "d", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done"))
         seen = materialize(old.union(fresh), "seen")
+    else:
+        raise RuntimeError(f"the walks did not end in {most_steps} steps")
 
     place = F.row_number().over(Window.partitionBy("w").orderBy("d", "b"))
     near = seen.withColumn("place", place).filter(F.col("place") <= k + 1)

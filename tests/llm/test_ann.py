@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from querent.llm.ann import search
+from querent.llm.ann import build_graph, packed, search
 
 
 def brute(rows, every, k):
@@ -57,3 +57,23 @@ def test_small_tables(spark, n):
     rows = [(10 * i, [float(i + 1), 1.0]) for i in range(n)]
     df = spark.createDataFrame([(*r, 1) for r in rows], DDL)
     assert compare(rows, search(df, every=10, k=5).collect()) in (0, 1.0)
+
+
+def uniform(n, dim=32, seed=6):
+    x = np.random.default_rng(seed).standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_beam_grows_until_recall_is_met(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(uniform(1500))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], DDL)
+    assert compare(rows, search(df, every=10, k=5, beam=8, expand=4).collect()) >= 0.9
+
+
+def test_graph_rounds_go_on_until_edges_settle(spark):
+    x = uniform(1200)
+    nodes = spark.createDataFrame([(i, bytearray(packed(v))) for i, v in enumerate(x)], "node long, q binary").cache()
+    got = build_graph(nodes, len(x), k=10, leaf=16, sample=3)
+    assert got.filter("fresh").count() <= 0.002 * 10 * len(x)
+    with pytest.raises(RuntimeError):
+        build_graph(nodes, len(x), k=10, leaf=16, sample=3, most_rounds=1)
