@@ -3,14 +3,16 @@
 A line descends by its token count and its first ``depth`` tokens, with tokens
 that hold a digit generalised to ``<*>``; that path is its leaf.  In a leaf the
 line that most documents have becomes the template; lines that agree with it in
-at least ``similar`` of their tokens belong to it, and the rest go another round.
+at least ``similar`` of their tokens belong to it, and so on with the rest, until
+what is left of a leaf is in too few documents to recur.  A round settles the
+commonest lines of every leaf at once, in that order.
 A template found in ``min_docs`` documents or more recurs: its lines are dropped
 from all documents but the first that has it (``keep_first``) or from all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.llm.common import materialize
@@ -32,7 +34,7 @@ def masked(line: Column) -> Column:
     return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, _VARIABLE, "<*>")).otherwise(flat)
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similar: float = 0.7, rounds: int = 2, keep_first: bool = True, most_broadcast: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similar: float = 0.7, rounds: int | None = None, keep_first: bool = True, most_broadcast: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without lines of recurring templates.
 
     All rows and columns stay; ``n_lines_dropped`` is added (it replaces a
@@ -40,6 +42,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int =
     repeat as a whole, and rows of one id, count as one document for a template; the first
     document of a template is the one with the smallest id (null last).  Lines
     are parted by line feeds; a text all of whose lines go becomes empty.
+    ``rounds`` ends the search early: lines not matched by then stand alone.
     """
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
     #: Exploded as masked lines, so that no later filter evaluates the mask again.
@@ -59,16 +62,21 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int =
     texts = each.select("leaf", "h", "m").join(mixed, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min("m").alias("m"))
     left = materialize(texts.join(counts, ["leaf", "h"]), "texts")
 
-    assigned = None
-    for i in range(rounds):
-        top = left.groupBy("leaf").agg(F.expr("max_by(struct(h AS template, m AS head), struct(docs, h))").alias("t")).select("leaf", "t.*")
-        tried = left.join(top, "leaf")
-        same = F.expr("size(filter(zip_with(split(m, ' '), split(head, ' '), (a, b) -> a = b), x -> x)) >= :s * size(split(m, ' '))".replace(":s", repr(similar)))
-        tried = materialize(tried.withColumn("in", F.when(F.col("h") == F.col("template"), True).otherwise(same)), "tried")
-        last = i == rounds - 1
-        got = tried.filter(F.lit(True) if last else F.col("in")).select("leaf", "h", F.when(F.col("in"), F.col("template")).otherwise(F.col("h")).alias("template"))
-        assigned = got if assigned is None else assigned.union(got)
-        left = tried.filter(~F.col("in")).select("leaf", "h", "m", "docs")
+    assigned, i = left.select("leaf", "h", F.col("h").alias("template")).limit(0), 0
+    same = "size(filter(zip_with(x.w, y.w, (p, q) -> p = q), z -> z)) >= :s * size(x.w)".replace(":s", repr(similar))
+    heads = f"aggregate(array_sort(collect_list(struct(r, h, w))), CAST(array() AS array<struct<r: int, h: bigint, w: array<string>>>), (acc, x) -> IF(exists(acc, y -> {same}), acc, concat(acc, array(x))))"
+    first = f"try_element_at(filter(heads, y -> {same.replace('x.w', 'w')}), 1).h"
+    while not left.isEmpty() and (rounds is None or i < rounds):
+        order = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("h")))
+        top = left.withColumn("r", order).filter(F.col("r") <= (64 if i == 0 else 256)).withColumn("w", F.split("m", " "))
+        tried = left.join(top.groupBy("leaf").agg(F.expr(heads).alias("heads")), "leaf").withColumn("w", F.split("m", " "))
+        tried = materialize(tried.select("leaf", "h", "m", "docs", F.expr(first).alias("template")), "tried")
+        assigned = assigned.union(tried.filter("template IS NOT NULL").select("leaf", "h", "template"))
+        left = tried.filter("template IS NULL").select("leaf", "h", "m", "docs")
+        #: Lines in fewer documents than a template needs cannot recur, whatever they share.
+        live = left.groupBy("leaf").agg(F.sum("docs").alias("total")).filter(F.col("total") >= min_docs)
+        left, i = left.join(live.select("leaf"), "leaf", "left_semi"), i + 1
+    assigned = assigned.union(left.select("leaf", "h", F.col("h").alias("template")))
     alone = counts.join(leaves.filter("kinds = 1"), "leaf", "left_semi").select("leaf", "h", F.col("h").alias("template"))
     assigned = materialize(assigned.union(alone), "templates")
 

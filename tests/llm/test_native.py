@@ -58,6 +58,28 @@ def test_exact_lines_equal_brute_force(spark, docs, rows):
         assert out[d] == want
 
 
+def test_every_template_of_a_leaf_is_found(spark):
+    """Five families and two frequent exact lines share one leaf; each variant has one document."""
+    names = [a + b for a in "ka lo mi ne".split() for b in "dor fen gus".split()]
+    ends = ["office for more details", "team by phone before noon", "desk at our main branch", "crew with any open question", "staff about your next visit"]
+    lines = [f"Please contact the {n} {e}" for e in ends for n in names]
+    lines += ["Please contact the one two three four five"] * 20 + ["Please contact the six seven eight nine ten"] * 20
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = [r.n_lines_dropped for r in line_dedup.drop_recurring_lines(df, min_docs=10).orderBy("doc_id").collect()]
+    assert [sum(out[i : i + 12]) for i in range(0, 60, 12)] == [11] * 5 and sum(out[60:]) == 38
+
+
+def test_leaf_with_more_templates_than_a_round_settles(spark):
+    def word(i):
+        return "".join("abcdefghij"[int(c)] for c in str(i))
+
+    lines = [f"Please contact the {word(i)} {word(1000 + i)} {word(2000 + i)} {word(3000 + i)} {word(4000 + i)}" for i in range(90) for _ in range(3)]
+    lines += [f"Please contact the {word(i)} office for more details" for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = [r.n_lines_dropped for r in line_dedup.drop_recurring_lines(df, min_docs=10).orderBy("doc_id").collect()]
+    assert sum(out[:270]) == 0 and sum(out[270:]) == 11
+
+
 def test_line_dedup_odd_tables(spark, empty):
     assert line_dedup.drop_recurring_lines(empty).count() == 0
     df = spark.createDataFrame([(1, "the same line here")] * 5 + [(None, "the same line here")], "doc_id long, text string")
