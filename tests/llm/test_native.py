@@ -134,6 +134,15 @@ def test_pseudonyms(spark):
         pii.pseudonymize(df, "'quote")
 
 
+def test_secrets_of_any_case(spark):
+    secrets = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ECf7c5B09fe5949719B6b82bc439e9329B", "AB12CDEF0123456789ABCDEF01234567"]
+    rows = [(i, f"KEY = {t} end") for i, t in enumerate(secrets)] + [(9, "KEY = " + "ABCDEFGH" * 5)]
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "key1").collect()}
+    for i, t in enumerate(secrets):
+        assert [p.kind for p in out[i].pii] == ["secret"] and t not in out[i].text and len(out[i].text) == len(rows[i][1])
+    assert out[9].text == rows[3][1]
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (2, 3):
         df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("x"))
