@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +39,83 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
     Later stages restart from files that outlive any executor.  Shuffle files of
     plans that nothing refers to any more are let go, which otherwise waits for
-    the driver's next full collection: rounds of joins would pile them up.
+    the driver's next full collection: rounds of joins would pile them up.  With
+    ``heavy``, for shuffles as large as the input, that is waited for.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    for wait in (0, 0.5, 1) if heavy else (0,):
+        time.sleep(wait)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no result still to be read depends on."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)  # type: ignore[attr-defined]
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(name: str, *frames: DataFrame) -> str:
+    """A name for a helper column that no column of ``frames`` has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# --- memory of Python workers ---------------------------------------------
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """``malloc_trim`` where the C library has it."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def _resident() -> float:
+    """Bytes of memory this process holds, shared pages left out; infinite where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            _, resident, shared, *_ = map(int, f.read().split())
+        return (resident - shared) * os.sysconf("SC_PAGE_SIZE")
+    except (OSError, ValueError):
+        return float("inf")
+
+
+def lean(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Batch work that gives its memory back at the end of each task.
+
+    Python workers are used again by later stages; what they keep would stand
+    beside the memory of those.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kw) -> Iterator[pa.RecordBatch]:
+        yield from work(batches, *args, **kw)
+        if _resident() < 100e6:
+            return
+        for key in _pow:
+            _pow[key] = np.ones(1, np.uint64)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
+
+    return run
 
 
 # --- 64-bit mixing -------------------------------------------------------
@@ -107,6 +176,18 @@ def chunks(lengths: np.ndarray, most: int) -> Iterator[slice]:
         yield slice(start, len(lengths))
 
 
+def text_bytes(column: pa.Array) -> np.ndarray:
+    """UTF-8 bytes of each text of an Arrow column; null counts 0."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def text_parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts of a column in order, in lists of about ``most`` bytes."""
+    texts = batch.column(column)
+    for part in chunks(text_bytes(texts) + 1, most):
+        yield texts.slice(part.start, part.stop - part.start).to_pylist()
+
+
 def encode(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8") for t in texts]
 
@@ -133,12 +214,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = materialize(
-            e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct(),
-            "edges",
-        )
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        star = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
+        old, e = e, materialize(star, "edges")
+        discard(old)
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == before:
             break

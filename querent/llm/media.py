@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import jpeg
-from querent.llm.common import chunks
+from querent.llm.common import chunks, lean
 from querent.llm.common import encode as utf8
 
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
@@ -23,6 +23,7 @@ def padded(raw: bytes) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
+@lean
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, raw = batch.column(0), utf8(batch.column(1).to_pylist())
@@ -43,6 +44,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 _TENSORS = pa.schema([("doc_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()), ("payload", pa.binary())])
 
 
+@lean
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -65,6 +67,7 @@ def feature_of(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(rgb.tobytes()):08x}"
 
 
+@lean
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import GOLDEN, chunks, encode, mix64, powers, prefix_poly
+from querent.llm.common import GOLDEN, chunks, encode, lean, mix64, powers, prefix_poly, text_bytes
 from querent.llm.shingles import word_hashes
 
 GRAMS = (2, 4)
+#: Bytes of text whose features are made at a time; a longer text is whole.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -50,11 +52,12 @@ def spans(raw: list[bytes], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield (h >> shift).astype(np.int64), np.minimum(starts, len(h)), np.clip(ends - n + 1, np.minimum(starts, len(h)), len(h))
 
 
+@lean
 def _bags(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, rest = encode(batch.column(1).to_pylist()), [batch.column(0), batch.column(2)]
-        for part in chunks(np.array([len(r) + 1 for r in raw]), 1 << 20):
-            kinds = list(spans(raw[part], bits))
+        texts, rest = batch.column(1), [batch.column(0), batch.column(2)]
+        for part in chunks(text_bytes(texts) + 1, CHUNK):
+            kinds = list(spans(encode(texts.slice(part.start, part.stop - part.start).to_pylist()), bits))
             ids, counts = [], []
             for i in range(part.stop - part.start):
                 u, c = np.unique(np.concatenate([b[f[i] : l[i]] for b, f, l in kinds]), return_counts=True)
@@ -99,11 +102,13 @@ def scores(model: Model, raw: list[bytes]) -> np.ndarray:
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, docs = encode(batch.column(1).to_pylist()), batch.column(0)
-        for part in chunks(np.array([len(r) + 1 for r in raw]), 1 << 20):
-            yield pa.RecordBatch.from_arrays([docs.slice(part.start, part.stop - part.start), pa.array(scores(model, raw[part]))], schema=_SCORED)
+        texts, docs = batch.column(1), batch.column(0)
+        for part in chunks(text_bytes(texts) + 1, CHUNK):
+            n = part.stop - part.start
+            yield pa.RecordBatch.from_arrays([docs.slice(part.start, n), pa.array(scores(model, encode(texts.slice(part.start, n).to_pylist())))], schema=_SCORED)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -137,10 +142,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
+@lean
 def _accepted(batches: Iterator[pa.RecordBatch], model: Model, least: float, column: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = encode(batch.column(column).to_pylist())
-        keep = [scores(model, raw[part]) >= least for part in chunks(np.array([len(r) + 1 for r in raw]), 1 << 20)]
+        texts = batch.column(column)
+        keep = [scores(model, encode(texts.slice(part.start, part.stop - part.start).to_pylist())) >= least for part in chunks(text_bytes(texts) + 1, CHUNK)]
         if keep:
             yield batch.filter(pa.array(np.concatenate(keep)))
 
