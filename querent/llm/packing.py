@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import chunks, materialize
+from querent.llm.common import chunks, lean, materialize, text_bytes
 
 END_ID = 1
 
-#: Fixed value: how the vocabulary file splits words, for the characters below.
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºà-öø-ÿß]+|[0-9²³¹¼½¾]|[^a-zªµºà-öø-ÿß0-9²³¹¼½¾]+")
+#: Fixed value: how the vocabulary file splits words, for the characters below; line feeds part the words.
+_PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºà-öø-ÿß]+|[0-9²³¹¼½¾]|[^a-zªµºà-öø-ÿß0-9²³¹¼½¾\n]+")
 _EASY = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 
 
@@ -41,13 +41,64 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Numbers(dict):
+    """Numbers strings as they are first looked up; ``fresh`` holds those not learned yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def first(self, n: int) -> _Numbers:
+        """The ``n`` strings that came first; common ones are among them."""
+        out = _Numbers()
+        out.update(islice(self.items(), n))
+        return out
+
+
+class _Runs:
+    """Runs of ids one after the other, in one growing array."""
+
+    def __init__(self) -> None:
+        self.flat, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        begin, more = int(self.at[self.n]), len(sizes)
+        while begin + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + more + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[begin : begin + len(ids)] = ids
+        self.at[self.n + 1 : self.n + more + 1] = begin + np.cumsum(sizes)
+        self.n += more
+
+    def first(self, n: int) -> _Runs:
+        out, n = _Runs(), min(n, self.n)
+        out.extend(self.flat[: self.at[n]], np.diff(self.at[: n + 1]))
+        return out
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these numbers in a row, and where each ends there."""
+        first = self.at[which]
+        size = self.at[which + 1] - first
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        return self.flat[np.repeat(first - (end - size), size) + np.arange(total)], end
+
+
 class WordEncoder:
     """Ids of whole texts, equal to ``tokenizers``' but with a memo of words.
 
     White space always separates tokens in this vocabulary, so a text's ids are
     its words' ids in a row.  Texts with characters for which this is not shown
     by the two tables above, or with a special token's name, take the library's
-    own path.
+    own path.  Beyond ``memo`` words or pieces, a memo keeps the quarter that came first.
     """
 
     def __init__(self, path: str, memo: int = 250_000):
@@ -56,31 +107,36 @@ class WordEncoder:
         self.full, self.most = Tokenizer.from_file(path), memo
         self.model, self.alphabet = self.full.model, _byte_chars()
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pieces: dict[str, bytes] = {}  # ids as machine words: lists of them would be most of the memory
-        self.size, self.flat = 0, np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 15, np.int64)
-
-    def _piece(self, p: str) -> bytes:
-        if (ids := self.pieces.get(p)) is None:
-            ids = self.pieces[p] = array("I", (t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet)))).tobytes()
-        return ids
-
-    def _learn(self, words: set[str]) -> None:
-        for w in words:
-            ids = np.frombuffer(b"".join(map(self._piece, _WORD.findall(w))), np.uint32)
-            n = len(self.index)
-            while self.size + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if n + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.flat[self.size : self.size + len(ids)] = ids
-            self.size += len(ids)
-            self.at[n + 1] = self.size
-            self.index[w] = n
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.word_ids = _Numbers(), _Runs()
+        self.pieces, self.piece_ids = _Numbers(), _Runs()
+
+    def _trim(self, most: int) -> None:
+        """Memos of over ``most`` strings keep those that came first."""
+        few = self.most // 4
+        if len(self.words) > most:
+            self.words, self.word_ids = self.words.first(few), self.word_ids.first(few)
+        if len(self.pieces) > most:
+            self.pieces, self.piece_ids = self.pieces.first(few), self.piece_ids.first(few)
+
+    def rest(self) -> None:
+        """Between tasks, small memos are kept."""
+        self._trim(self.most // 4)
+
+    def _learn(self) -> None:
+        """Ids of the fresh words: cut into pieces, all in one pass, and the pieces' ids in a row."""
+        found = _PIECE.findall("\n".join([*self.words.fresh, ""]))
+        self.words.fresh.clear()
+        which = self.pieces.of(found)
+        new = [[] if p == "\n" else [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))] for p in self.pieces.fresh]
+        self.pieces.fresh.clear()
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        self.piece_ids.extend(np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum())), sizes)
+        ids, end = self.piece_ids.take(which)
+        ends = end[which == self.pieces["\n"]]
+        self.word_ids.extend(ids, np.diff(ends, prepend=0))
 
     def _easy(self, text: str) -> bool:
         try:
@@ -89,21 +145,18 @@ class WordEncoder:
             return False
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.most:
-            self._clear()
+        self._trim(self.most)
         out: list[np.ndarray | None] = [None] * len(texts)
         hard = [i for i, t in enumerate(texts) if not self._easy(t)]
         for i, e in zip(hard, self.full.encode_batch([texts[i] for i in hard], add_special_tokens=False) if hard else [], strict=True):
             out[i] = np.array(e.ids, np.uint32)
         easy = [i for i in range(len(texts)) if out[i] is None]
         words = [texts[i].lower().split() for i in easy]
-        self._learn(set().union(*words).difference(self.index) if words else set())
-        count = np.array([len(w) for w in words], np.int64)
-        which = np.fromiter((j for w in words for j in map(self.index.__getitem__, w)), np.int64, int(count.sum()))
-        size = self.at[which + 1] - self.at[which]
-        end = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[which] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
-        at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
+        which = self.words.of(list(chain.from_iterable(words)))
+        if self.words.fresh:
+            self._learn()
+        ids, end = self.word_ids.take(which)
+        at = np.concatenate([[0], end])[np.cumsum([0, *map(len, words)])]
         for i, a, b in zip(easy, at[:-1].tolist(), at[1:].tolist(), strict=True):
             out[i] = ids[a:b]
         return out  # type: ignore[return-value]
@@ -184,18 +237,21 @@ def cut(doc: int | None, ids: np.ndarray, capacity: int) -> Iterator[tuple]:
         yield doc, start, len(part), zlib.crc32(part.tobytes()), len(whole)
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     def pieces() -> Iterator[tuple]:
         enc = encoder(path)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks(np.array([len(t) + 1 for t in texts]), 1 << 20):
-                for doc, ids in zip(docs[part], enc.encode(texts[part]), strict=True):
+            for part in chunks(text_bytes(batch.column(1)) + 1, 1 << 20):
+                docs, texts = (batch.column(i).slice(part.start, part.stop - part.start).to_pylist() for i in (0, 1))
+                for doc, ids in zip(docs, enc.encode([t or "" for t in texts]), strict=True):
                     yield from cut(doc, ids, capacity)
+        enc.rest()
 
     yield from _settle(pieces(), capacity, TaskContext.get().partitionId() << 32)
 
 
+@lean
 def _repack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     rows = (tuple(x) for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
     yield from _settle(rows, capacity, 1 << 61 | TaskContext.get().partitionId() << 32)
