@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 32
+FANOUT = 32
 FOLD = 8
 
 
@@ -24,29 +24,39 @@ class CountTree:
         spread = np.argsort(-self.points.var(axis=0), kind="stable")[:2]
         #: Sort-tile order: by size, then by the two widest coordinates inside a slab.
         order = np.argsort(self.sizes, kind="stable")
-        slab = max(LEAF, int(np.ceil(len(order) ** 0.5 / LEAF)) * LEAF)
+        slab = max(FANOUT, int(np.ceil(len(order) ** 0.5 / FANOUT)) * FANOUT)
         self.order = np.concatenate([s[np.lexsort(self.points[s][:, spread].T)] for s in (order[i : i + slab] for i in range(0, len(order), slab))]) if len(order) else order
-        p, z = self.points[self.order], self.sizes[self.order]
-        at = np.arange(0, len(order), LEAF)
-        self.upper = np.maximum.reduceat(p, at, axis=0) if len(at) else p
-        self.least = np.minimum.reduceat(z, at) if len(at) else z
-        self.most = np.maximum.reduceat(z, at) if len(at) else z
+        #: Boxes of each level, root first: upper corner, least and greatest size of what is below.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        upper, least, most = self.points[self.order], self.sizes[self.order], self.sizes[self.order]
+        while len(upper) > 1 or not self.levels:
+            at = np.arange(0, len(upper), FANOUT)
+            if len(at):
+                upper, least, most = np.maximum.reduceat(upper, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.insert(0, (upper, least, most))
 
     def survives(self, bound: np.ndarray, total: np.ndarray) -> np.ndarray:
         return (self.num + self.den) * bound >= self.num * total
 
+    def _below(self, nodes: np.ndarray, count: int) -> np.ndarray:
+        at = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        return at[at < count]
+
     def leaves(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Leaves that may hold a partner: best possible overlap against least union."""
-        bound = np.minimum(self.upper, point).sum(axis=1)
-        bound = np.minimum(bound, np.minimum(self.most, size))
-        return np.flatnonzero(self.survives(bound, np.maximum(self.least, bound) + size))
+        """Leaves that may hold a partner, from the root down: best possible overlap against least union."""
+        hit = np.arange(len(self.levels[0][0]))
+        for depth, (upper, least, most) in enumerate(self.levels):
+            if depth:
+                hit = self._below(hit, len(upper))
+            bound = np.minimum(upper[hit], point).sum(axis=1)
+            bound = np.minimum(bound, np.minimum(most[hit], size))
+            hit = hit[self.survives(bound, np.maximum(least[hit], bound) + size)]
+        return hit
 
     def search(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(index, overlap bound) of all points that may link with point i, itself included."""
         point, size = self.points[i], int(self.sizes[i])
-        hit = self.leaves(point, size)
-        at = (hit[:, None] * LEAF + np.arange(LEAF)).ravel()
-        idx = self.order[at[at < len(self.order)]]
+        idx = self.order[self._below(self.leaves(point, size), len(self.order))]
         idx = idx[self.survives(np.minimum(self.points[idx], point).sum(axis=1), self.sizes[idx] + size)]
         bound = np.minimum(self.fine[idx], self.fine[i]).sum(axis=1)
         ok = self.survives(bound, self.sizes[idx] + size)
