@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import materialize
+from querent.llm.common import discard, materialize, spare
 
 #: A token with a digit; anchored at the token's start, so each is tried once.
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
@@ -34,19 +34,24 @@ def masked(line: Column) -> Column:
     return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, _VARIABLE, "<*>")).otherwise(flat)
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similar: float = 0.7, rounds: int | None = None, keep_first: bool = True, most_broadcast: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similar: float = 0.7, keep_first: bool = True, most_broadcast: int = 1_000_000, salts: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without lines of recurring templates.
 
     All rows and columns stay; ``n_lines_dropped`` is added (it replaces a
-    column of that name).  Null texts stay null and blank lines stay.  Rows that
-    repeat as a whole, and rows of one id, count as one document for a template; the first
-    document of a template is the one with the smallest id (null last).  Lines
-    are parted by line feeds; a text all of whose lines go becomes empty.
-    ``rounds`` ends the search early: lines not matched by then stand alone.
+    column of that name).  Null texts stay null and blank lines stay, as do
+    lines of under ``min_tokens`` tokens, which hold too little to tell a
+    template from chance.  Rows that repeat as a whole, and rows of one id,
+    count as one document for a template; the first document of a template is
+    the one with the smallest id (null last).  Lines are parted by line feeds; a
+    text all of whose lines go becomes empty.  An empty table gives an empty one.
+    ``salts`` is into how many parts the lines of a template are dealt;
+    ``most_broadcast`` leaves at most are sent to all tasks, more are joined by
+    a shuffle, with the same result.
     """
-    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
+    #: Told apart by id and hash, so only texts of one id could be confused.
+    row_key = F.xxhash64(F.col(f"`{text_col}`"))
     #: Exploded as masked lines, so that no later filter evaluates the mask again.
-    each = docs.select(F.col(id_col).alias("id"), row_key.alias("row"), F.posexplode(F.transform(F.split(F.col(text_col), "\n"), masked)).alias("pos", "m"))
+    each = docs.select(F.col(f"`{id_col}`").alias("id"), row_key.alias("row"), F.posexplode(F.transform(F.split(F.col(f"`{text_col}`"), "\n"), masked)).alias("pos", "m"))
     each = each.withColumn("n", F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1).filter((F.col("n") >= min_tokens) & (F.col("m") != ""))
     each = each.withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", depth))).withColumn("h", F.xxhash64("m"))
     keys = materialize(each.select("id", "row", "pos", "leaf", "h"), "lines")
@@ -62,33 +67,39 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int =
     texts = each.select("leaf", "h", "m").join(mixed, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min("m").alias("m"))
     left = materialize(texts.join(counts, ["leaf", "h"]), "texts")
 
-    assigned, i = left.select("leaf", "h", F.col("h").alias("template")).limit(0), 0
+    made = [keys, counts, leaves, left]
+    assigned, lines = left.select("leaf", "h", F.col("h").alias("template")).limit(0), 64
     same = "size(filter(zip_with(x.w, y.w, (p, q) -> p = q), z -> z)) >= :s * size(x.w)".replace(":s", repr(similar))
     heads = f"aggregate(array_sort(collect_list(struct(r, h, w))), CAST(array() AS array<struct<r: int, h: bigint, w: array<string>>>), (acc, x) -> IF(exists(acc, y -> {same}), acc, concat(acc, array(x))))"
     first = f"try_element_at(filter(heads, y -> {same.replace('x.w', 'w')}), 1).h"
-    while not left.isEmpty() and (rounds is None or i < rounds):
+    while not left.isEmpty():
         order = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("h")))
-        top = left.withColumn("r", order).filter(F.col("r") <= (64 if i == 0 else 256)).withColumn("w", F.split("m", " "))
+        top = left.withColumn("r", order).filter(F.col("r") <= lines).withColumn("w", F.split("m", " "))
         tried = left.join(top.groupBy("leaf").agg(F.expr(heads).alias("heads")), "leaf").withColumn("w", F.split("m", " "))
         tried = materialize(tried.select("leaf", "h", "m", "docs", F.expr(first).alias("template")), "tried")
+        made.append(tried)
         assigned = assigned.union(tried.filter("template IS NOT NULL").select("leaf", "h", "template"))
         left = tried.filter("template IS NULL").select("leaf", "h", "m", "docs")
         #: Lines in fewer documents than a template needs cannot recur, whatever they share.
         live = left.groupBy("leaf").agg(F.sum("docs").alias("total")).filter(F.col("total") >= min_docs)
-        left, i = left.join(live.select("leaf"), "leaf", "left_semi"), i + 1
-    assigned = assigned.union(left.select("leaf", "h", F.col("h").alias("template")))
+        left, lines = left.join(live.select("leaf"), "leaf", "left_semi"), 256
     alone = counts.join(leaves.filter("kinds = 1"), "leaf", "left_semi").select("leaf", "h", F.col("h").alias("template"))
     assigned = materialize(assigned.union(alone), "templates")
 
     where = materialize(keys.join(assigned, ["leaf", "h"]).select("id", "row", "pos", "leaf", "template"), "where")
+    discard(*made, assigned)
     recurring = where.groupBy("leaf", "template", "id").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first")).filter(F.col("docs") >= min_docs)
-    gone = where.join(recurring.select("leaf", "template", "first"), ["leaf", "template"])
+    #: A template may have a third of all lines: they are dealt to several tasks.
+    salted = where.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(salts)))
+    gone = salted.join(recurring.select("leaf", "template", "first", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt")), ["leaf", "template", "salt"])
     if keep_first:
         gone = gone.filter(~F.col("id").eqNullSafe(F.col("first")))
-    drop = gone.groupBy("row").agg(F.collect_set("pos").alias("_drop"))
-    names = [c for c in docs.columns if c != "n_lines_dropped"]
+    names = [c for c in docs.columns if c.lower() != "n_lines_dropped"]
+    own, of, row, where_id = (spare(x, docs) for x in ("_own", "_drop", "_row", "_id"))
+    drop = gone.groupBy(F.col("id").alias(where_id), F.col("row").alias(row)).agg(F.collect_set("pos").alias(of))
     #: What is dropped grows with the corpus, so it is never broadcast, at any size.
-    joined = docs.select(*names, row_key.alias("_row")).join(drop.withColumnRenamed("row", "_row").hint("merge"), "_row", "left")
-    text = F.expr(f"CASE WHEN _drop IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(_drop, i)), '\\n') END")
-    dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), dropped.alias("n_lines_dropped"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in names), row_key.alias(own))
+    joined = keyed.join(drop.hint("merge"), (keyed[own] == drop[row]) & keyed[f"`{id_col}`"].eqNullSafe(drop[where_id]), "left")
+    text = F.expr(f"CASE WHEN `{of}` IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{of}`, i)), '\\n') END")
+    dropped = F.when(F.col(of).isNull(), 0).otherwise(F.size(of)).cast("long")
+    return joined.select(*(text.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in names), dropped.alias("n_lines_dropped"))
