@@ -85,9 +85,11 @@ def mix(docs: DataFrame, entropy_share: float = 1.0, max_repeats: float = 4.0, b
     """
     spark = docs.sparkSession
     count = tokens if tokens is not None else F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) / 4))
-    names = [c for c in docs.columns if c not in ("mix_pass", "mix_tokens", "mix_order")]
+    names = [c for c in docs.columns if c.lower() not in ("mix_pass", "mix_tokens", "mix_order")]
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), count.cast("long").alias("mix_tokens"), source.alias("_source"))
+    #: The columns travel as one struct, so none of them can clash with a helper column.
+    key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), count.cast("long").alias("mix_tokens"), source.alias("_source"), key.alias("_key"))
     totals = rows.groupBy("_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).orderBy("_source").limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, entropy_share: float = 1.0, max_repeats: float = 4.0, b
         whole = int(np.floor(passes + 1e-9))
         plan.append((t["_source"], whole, int(round((passes - whole) * t["tokens"])) if passes > whole + 1e-9 else 0, max(1, -(-t["rows"] // block_rows))))
     per = F.broadcast(spark.createDataFrame(plan, "_source string, _whole int, _part long, _blocks long"))
-    rows = rows.join(per, "_source").withColumn("_key", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"))).withColumn("_block", F.expr("pmod(_key, _blocks)"))
+    rows = rows.join(per, "_source").withColumn("_block", F.expr("pmod(_key, _blocks)"))
 
     #: The last pass: blocks in hashed order until the budget; the block it ends in is cut in hashed order.
     blocks = rows.filter("_part > 0").groupBy("_source", "_block", "_part").agg(F.sum("mix_tokens").alias("size"))
@@ -109,10 +111,10 @@ def mix(docs: DataFrame, entropy_share: float = 1.0, max_repeats: float = 4.0, b
     full = blocks.filter("all").select("_source", "_block")
     ends = blocks.filter("NOT all").select("_source", "_block", "before")
     extra = rows.join(full, ["_source", "_block"], "left_semi")
-    running = F.sum("mix_tokens").over(Window.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit(seed + 2), "_key"), F.col(f"`{id_col}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = F.sum("mix_tokens").over(Window.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit(seed + 2), "_key"), F.col("doc")[id_col]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = rows.join(ends, ["_source", "_block"]).withColumn("_end", F.col("before") + running).filter("_end <= _part").drop("before", "_end")
     passes = rows.withColumn("mix_pass", F.explode(F.expr("IF(_whole > 0, sequence(0, _whole - 1), CAST(array() AS array<int>))")))
     cut = extra.select(*rows.columns).union(last.select(*rows.columns)).withColumn("mix_pass", F.col("_whole"))
     out = passes.union(cut.select(*passes.columns))
     order = F.xxhash64(F.lit(seed + 3), "mix_pass", "_key")
-    return out.select(*(F.col(f"`{c}`") for c in names), "mix_pass", "mix_tokens", order.alias("mix_order"))
+    return out.select("doc.*", "mix_pass", "mix_tokens", order.alias("mix_order"))
