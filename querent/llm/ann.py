@@ -4,13 +4,16 @@ Vectors that are equal are one node.  The graph starts from leaves of random
 hyperplane trees.  Each round of NN-descent joins the edges of every node, in
 both directions, with the vectors at their ends; neighbours of one node are
 compared with each other, and every node keeps its nearest; rounds go on until
-hardly an edge is new.  Queries walk the graph: they expand their nearest nodes
-that were not expanded yet, by a join with the graph and one with the vectors,
-until no nearer node turns up.  A few queries are also compared with all vectors;
-while the walks find too few of their nearest, all walks go on with a wider beam.
-
-The graph is built on half-precision copies with a scale each, to keep shuffles
-small; search uses double precision on the original vectors.
+hardly an edge is new.  A query walks the graph: its state is a beam of its
+nearest nodes so far, one row however long the walk.  A step joins the nearest
+nodes of the beam that were not expanded yet with the graph, what it finds there
+with the vectors, and merges both; the walk ends when all of its beam has been
+expanded.  A few queries are also compared with all vectors; while the walks find
+too few of their nearest, all walks go on with a wider beam.
+
+Graph and walks use half-precision copies with a scale each, to keep shuffles
+small; what a walk ends with is measured in double precision on the original
+vectors and ranked by that.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import materialize
+from querent.llm.common import discard, lean, materialize
 from querent.llm.ngram_join import _groups
 
 
@@ -35,61 +38,105 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(fine)
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float32())])
+def of_one_length(rows: DataFrame) -> DataFrame:
+    """The rows whose vectors have the commonest length (of equally common ones the greatest)."""
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(2).collect()
+    return rows.filter(F.size("v") == lengths[0].n) if len(lengths) > 1 else rows
 
 
-def _matrix(col) -> np.ndarray:
-    raw = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
-    return raw[:, 8:].copy().view("<f2").astype(np.float64) * raw[:, :8].copy().view("<f8")
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())])
 
 
-def packed(v: np.ndarray) -> bytes:
-    """A scale and half-precision parts of a vector that is not zero."""
-    scale = np.abs(v).max()
-    return np.float64(scale).tobytes() + (v / scale).astype("<f2").tobytes()
+def _bytes(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    wide = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    at = np.frombuffer(col.buffers()[1], wide)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(col), -1)
 
 
-def _emit(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.float32))], schema=_EDGES)
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    raw = _bytes(col)
+    return raw[:, 8:].copy().view("<f2").astype(np.float64) * raw[:, :8].copy().view("<f8")
 
 
-def _squares(x: np.ndarray) -> np.ndarray:
-    n = (x * x).sum(axis=1)
-    d = n[:, None] + n[None, :] - 2 * (x @ x.T)
-    np.fill_diagonal(d, np.inf)
-    return np.maximum(d, 0)
+def packed(v: np.ndarray) -> list[bytes]:
+    """A scale and half-precision parts of each row; no row is zero."""
+    scale = np.abs(v).max(axis=1)
+    return [s.tobytes() + x.tobytes() for s, x in zip(scale, (v / scale[:, None]).astype("<f2"), strict=True)]
 
 
-def _nearest(ids: np.ndarray, d: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = min(k, len(ids) - 1)
-    at = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(ids) - 1 else np.argsort(d, axis=1)[:, :k]
-    dist = np.take_along_axis(d, at, axis=1)
-    ok = np.isfinite(dist) if limit is None else dist < limit[:, None]
-    return np.broadcast_to(ids[:, None], at.shape)[ok], ids[at][ok], dist[ok]
+def _emit(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], schema=_EDGES)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by ``key``: about ``rows`` rows, or one larger group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in held) >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            c = t.column(key).to_numpy()
+            cut = int(np.searchsorted(c, c[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+@lean
 def _leaf(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Nearest neighbours inside each leaf."""
     for t in _groups(batches, ["leaf", "part"]):
         if t.num_rows > 1:
-            yield _emit(*_nearest(t.column("node").to_numpy(), _squares(_matrix(t.column("q"))), k))
-
-
-def _local(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """One local join: the neighbours of a node against each other, fresh pairs only."""
-    for t in _groups(batches, ["a"]):
-        if t.num_rows > 1:
-            ids, fresh = t.column("b").to_numpy(), t.column("fresh").to_numpy(zero_copy_only=False)
-            d = _squares(_matrix(t.column("q")))
-            d[~(fresh[:, None] | fresh[None, :])] = np.inf
-            out = _nearest(ids, d, k, t.column("worst").to_numpy())
-            if len(out[0]):
-                yield _emit(*out)
+            ids, x = t.column("node").to_numpy(), _matrix(t.column("q"))
+            n = (x * x).sum(axis=1)
+            d = np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
+            np.fill_diagonal(d, np.inf)
+            near = min(k, len(ids) - 1)
+            at = np.argpartition(d, near - 1, axis=1)[:, :near]
+            dist = np.take_along_axis(d, at, axis=1)
+            ok = np.isfinite(dist)
+            yield _emit(np.broadcast_to(ids[:, None], at.shape)[ok], ids[at][ok], dist[ok])
+
+
+@lean
+def _local(batches: Iterator[pa.RecordBatch], k: int, groups: int = 256) -> Iterator[pa.RecordBatch]:
+    """Local joins, many nodes at a time: the neighbours of each node against each other, fresh pairs only."""
+    for t in _runs(batches, "a", 1 << 13):
+        a, b, fresh, worst = (t.column(c).to_numpy() for c in ("a", "b", "fresh", "worst"))
+        x = _matrix(t.column("q"))
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        group = np.repeat(np.arange(len(first)), np.diff([*first, len(a)]))
+        for g in range(0, len(first), groups):
+            own = slice(first[g], first[g + groups] if g + groups < len(first) else len(a))
+            row, size = group[own] - g, np.bincount(group[own] - g)
+            place, most = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), int(size.max())
+            if most < 2:
+                continue
+            shape = (len(size), most)
+            ids, new, limit, v = np.zeros(shape, np.int64), np.zeros(shape, bool), np.full(shape, -np.inf), np.zeros((*shape, x.shape[1]))
+            ids[row, place], new[row, place], limit[row, place], v[row, place] = b[own], fresh[own], worst[own], x[own]
+            n = (v * v).sum(axis=2)
+            d = np.maximum(n[:, :, None] + n[:, None, :] - 2 * (v @ v.transpose(0, 2, 1)), 0)
+            used = np.arange(most) < size[:, None]
+            d[~((new[:, :, None] | new[:, None, :]) & used[:, None, :])] = np.inf
+            d[:, np.arange(most), np.arange(most)] = np.inf
+            near = min(k, most - 1)
+            at = np.argpartition(d, near - 1, axis=2)[:, :, :near]
+            dist = np.take_along_axis(d, at, axis=2)
+            ok = dist < limit[:, :, None]
+            ends = np.take_along_axis(np.broadcast_to(ids[:, None, :], d.shape), at, axis=2)
+            yield _emit(np.broadcast_to(ids[:, :, None], at.shape)[ok], ends[ok], dist[ok])
 
 
 _ROUTED = pa.schema([("node", pa.int64()), ("q", pa.binary()), ("tree", pa.int32()), ("leaf", pa.int64())])
 
 
+@lean
 def _route(batches: Iterator[pa.RecordBatch], trees: int, depth: int, seed: int) -> Iterator[pa.RecordBatch]:
     """The leaf of each vector in each tree: signs against fixed random hyperplanes."""
     planes = None
@@ -125,7 +172,7 @@ def build_graph(nodes: DataFrame, n: int, k: int = 32, most_rounds: int = 60, tr
     #: Signs may leave a leaf too full; it is split by a hash.
     counts = materialize(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")), "leaves")
     dealt = routed.join(counts, "leaf").withColumn("part", F.expr(f"pmod(xxhash64(node, leaf), ceil(c / {2 * leaf}))")).select("leaf", "part", "node", "q")
-    first = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(partial(_leaf, k=k // 2), "a long, b long, d float")
+    first = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(partial(_leaf, k=k // 2), "a long, b long, d double")
     graph = materialize(_top(first.withColumn("fresh", F.lit(True)), k), "graph")
     for _ in range(most_rounds):
         ends = graph.select("a", "b", "d", "fresh", F.col("fresh").alias("own_fresh"), F.lit(True).alias("own")).union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "fresh", F.lit(False), F.lit(False)))
@@ -134,16 +181,18 @@ def build_graph(nodes: DataFrame, n: int, k: int = 32, most_rounds: int = 60, tr
         ends = materialize(ends.withColumn("p", pick).filter((F.col("p") <= sample) | F.col("own")), "ends")
         #: A new edge that is not compared in this round waits: it stays new.
         known = ends.filter("own").select("a", "b", "d", (F.col("own_fresh") & (F.col("p") > sample)).alias("fresh"))
-        worst = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).cast("float").alias("worst")).withColumnRenamed("a", "b")
+        worst = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).alias("worst")).withColumnRenamed("a", "b")
         joined = ends.filter(F.col("p") <= sample).select("a", "b", "fresh").join(nodes.select(F.col("node").alias("b"), "q").join(worst, "b", "left").fillna(float("inf"), ["worst"]), "b")
-        found = joined.select("a", "b", "fresh", "worst", "q").repartition("a").sortWithinPartitions("a").mapInArrow(partial(_local, k=8), "a long, b long, d float")
+        found = joined.select("a", "b", "fresh", "worst", "q").repartition("a").sortWithinPartitions("a").mapInArrow(partial(_local, k=8), "a long, b long, d double")
         #: fresh is false as soon as an edge was compared before (min over both).
-        graph = materialize(_top(found.withColumn("fresh", F.lit(True)).union(known), k), "graph")
+        old, graph = graph, materialize(_top(found.withColumn("fresh", F.lit(True)).union(known), k), "graph")
+        discard(old, ends)
         if graph.filter("fresh").count() <= 0.002 * n * k:
             return graph
     raise RuntimeError(f"the neighbour graph did not converge in {most_rounds} rounds")
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The k nearest other nodes of each probe, in every batch of (node, v)."""
     for batch in batches:
@@ -171,69 +220,143 @@ def _truth(walks: DataFrame, nodes: DataFrame, probes: int, k: int) -> DataFrame
     return materialize(top.groupBy("w").agg(F.max("d").alias("kth"), F.count(F.lit(1)).alias("want")), "truth")
 
 
-def _recall(seen: DataFrame, truth: DataFrame) -> float:
-    """The share of the probes' nearest that their walks have met, ties counted by distance."""
-    met = seen.join(F.broadcast(truth), "w").filter("b <> w AND d <= kth * (1 + 1e-9)").groupBy("w").agg(F.count(F.lit(1)).alias("met"))
+def _recall(near: DataFrame, truth: DataFrame) -> float:
+    """The share of the probes' nearest that their walks have found, ties counted by distance."""
+    met = near.join(F.broadcast(truth), "w").filter("b <> w AND d <= kth * (1 + 1e-9)").groupBy("w").agg(F.count(F.lit(1)).alias("met"))
     row = truth.join(met, "w", "left").agg(F.sum(F.least(F.coalesce("met", F.lit(0)), "want")), F.sum("want")).first()
     return row[0] / row[1] if row[1] else 1.0
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, expand: int = 48, most_steps: int = 400, graph_k: int = 32, recall: float = 0.93, probes: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+#: A walk: its node and vector, and its beam as arrays in the order of (distance, id).
+_WALK = pa.schema([("w", pa.int64()), ("q", pa.binary()), ("ids", pa.binary()), ("ds", pa.binary()), ("done", pa.binary()), ("open", pa.bool_())])
+_WALK_DDL = "w long, q binary, ids binary, ds binary, done binary, open boolean"
+
+
+def _due(done: np.ndarray, expand: int) -> np.ndarray:
+    """Places in the beam that the next step expands: the nearest that are not done."""
+    return np.flatnonzero(~done)[:expand]
+
+
+@lean
+def _front(batches: Iterator[pa.RecordBatch], expand: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for w, ids, done in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at = np.frombuffer(ids, "<i8")[_due(np.frombuffer(done, bool), expand)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w)), pa.array(at)], ["w", "node"])
+
+
+@lean
+def _merge(batches: Iterator[pa.RecordBatch], beam: int, expand: int) -> Iterator[pa.RecordBatch]:
+    """A step of each walk: its row comes first, then what its expanded nodes are linked with."""
+    for t in _groups(batches, ["w"]):
+        w, q, ids, ds, done = (t.column(c)[0].as_py() for c in ("w", "q", "ids", "ds", "done"))
+        ids, ds, done = np.frombuffer(ids, "<i8"), np.frombuffer(ds, "<f8"), np.frombuffer(done, bool).copy()
+        done[_due(done, expand)] = True
+        if t.num_rows > 1:
+            more = t.slice(1)
+            new = more.column("b").to_numpy()
+            fresh = ~np.isin(new, ids)
+            x = _matrix(more.column("q"))[fresh] - _matrix(pa.array([q], pa.binary()))
+            ids, ds, done = np.concatenate([ids, new[fresh]]), np.concatenate([ds, (x * x).sum(axis=1)]), np.concatenate([done, np.zeros(len(x), bool)])
+            order = np.lexsort((ids, ds))[:beam]
+            ids, ds, done = ids[order], ds[order], done[order]
+        yield pa.RecordBatch.from_pylist([{"w": w, "q": q, "ids": ids.tobytes(), "ds": ds.tobytes(), "done": done.tobytes(), "open": not done.all()}], _WALK)
+
+
+@lean
+def _reopen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The walks with nothing of their beams done."""
+    for batch in batches:
+        done = pa.array([bytes(len(d)) for d in batch.column(4).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], done, pa.array([True] * batch.num_rows)], schema=_WALK)
+
+
+@lean
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for w, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            b = np.frombuffer(ids, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), w)), pa.array(b)], ["w", "b"])
+
+
+@lean
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Euclidean distances of (w, b, v, qv), in double precision on the original vectors."""
+    for batch in batches:
+        if batch.num_rows:
+            v, qv = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((v - qv) ** 2).sum(axis=1)))], ["w", "b", "d"])
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, expand: int = 48, most_steps: int = 400, graph_k: int = 32, most_links: int = 128, recall: float = 0.93, probes: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each query row, itself left out.
 
     Queries are the rows whose id is divisible by ``every``; all other rows are
     candidates.  Nearness is Euclidean distance in double precision, ties to the
     smaller id; fewer candidates give fewer rows.  Vectors that are null, empty,
-    zero or hold null or non-finite parts take no part; of rows with one id the
-    smallest vector counts.  All vectors must have one length.
+    zero or hold null or non-finite parts take no part, nor do vectors of
+    another length than the commonest; of rows with one id the smallest vector
+    counts.  Extra columns are not read; an empty table gives an empty one.
 
-    Up to ``probes`` queries are compared with all vectors.  ``beam`` and
-    ``expand`` are doubled, for all queries, until the walks have met at least
-    ``recall`` of the probes' nearest; it is an error if a beam of all nodes or
-    ``most_steps`` steps do not get there.
+    A node is linked with its ``graph_k`` neighbours and with those it is a
+    neighbour of, the nearest ``most_links`` in all.  Up to ``probes`` queries
+    are compared with all vectors.  ``beam`` and ``expand`` are doubled, for all
+    queries, until the walks have found at least ``recall`` of the probes'
+    nearest; it is an error if a beam of all nodes or ``most_steps`` steps do
+    not get there.
 
     Returns query_id, rank, vec_id, score.
     """
-    rows = usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = of_one_length(usable(vectors, id_col, vec_col)).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows = materialize(rows.withColumn("h", F.xxhash64("v")), "vectors")
-    classes = rows.groupBy("h", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    packed = classes.mapInArrow(_pack, "node long, copies long, v array<double>, q binary")
-    nodes = materialize(packed, "nodes")
+    classes = rows.groupBy("h", "v").agg(F.min("vec_id").alias("node"))
+    nodes = materialize(classes.select("node", "v").mapInArrow(_pack, "node long, v array<double>, q binary"), "nodes")
     member = materialize(rows.join(classes.select("h", "v", "node"), ["h", "v"]).select("node", "vec_id"), "members")
     n = nodes.count()
     graph = build_graph(nodes.select("node", "q"), n, k=graph_k)
-    links = materialize(graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = graph.select("a", "b", "d").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
+    near_links = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("r") <= most_links)
+    links = materialize(near_links.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("linked")), "links")
 
     queries = member.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), F.col("node").alias("home"))
     #: Queries that are equal walk once.
-    walks = queries.select(F.col("home").alias("w")).distinct().join(nodes.select(F.col("node").alias("w"), F.col("v").alias("qv")), "w")
-    walks = materialize(walks, "walks")
-    seen = materialize(walks.select("w", F.col("w").alias("b"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "seen")
-    points = nodes.select(F.col("node").alias("b"), "v")
-    distance = F.expr("sqrt(aggregate(zip_with(v, qv, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
+    walks = queries.select(F.col("home").alias("w")).distinct().join(nodes.withColumnRenamed("node", "w"), "w")
+    walks = materialize(walks.select("w", F.col("v").alias("qv"), "q"), "walks")
     truth = _truth(walks, nodes, probes, k)
+    points = nodes.select(F.col("node").alias("b"), "q")
+    start = [F.expr(f"unhex('{x.tobytes().hex()}')") for x in (np.zeros(1, "<f8"), np.zeros(1, bool))]
+    #: Long integers as bytes, least first.
+    home = F.expr("unhex(array_join(reverse(regexp_extract_all(lpad(hex(w), 16, '0'), '(..)', 1)), ''))")
+    state = materialize(walks.select("w", "q", home.alias("ids"), start[0].alias("ds"), start[1].alias("done"), F.lit(True).alias("open")), "walk")
+    ended: list[DataFrame] = []
     for _ in range(most_steps):
-        place = F.row_number().over(Window.partitionBy("w").orderBy("d", "b"))
-        top = seen.withColumn("place", place).filter(F.col("place") <= beam)
-        turn = F.row_number().over(Window.partitionBy("w", "done").orderBy("d", "b"))
-        front = materialize(top.withColumn("t", turn).filter(~F.col("done") & (F.col("t") <= expand)).select("w", "b"), "front")
-        if front.isEmpty():
-            share = _recall(seen, truth)
+        if state.isEmpty():
+            finished = ended[0] if ended else state
+            for part in ended[1:]:
+                finished = finished.union(part)
+            found = finished.select("w", "ids").mapInArrow(_members, "w long, b long").join(nodes.select(F.col("node").alias("b"), "v"), "b")
+            near = found.join(walks.select("w", "qv"), "w").select("w", "b", "v", "qv").mapInArrow(_measure, "w long, b long, d double")
+            near = materialize(near, "near")
+            share = _recall(near, truth)
             if share >= recall:
                 break
             if beam >= n:
                 raise RuntimeError(f"the walks end with {share:.3f} of the probes' nearest; {recall} is wanted")
             beam, expand = 2 * beam, 2 * expand
-            continue
-        fresh = front.select("w", F.col("b").alias("a")).join(links, "a").select("w", "b").distinct().join(seen.select("w", "b"), ["w", "b"], "left_anti")
-        fresh = fresh.join(points, "b").join(walks, "w").select("w", "b", distance.alias("d"), F.lit(False).alias("done"))
-        old = seen.join(front.withColumn("hit", F.lit(True)), ["w", "b"], "left").select("w", "b", "d", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done"))
-        seen = materialize(old.union(fresh), "seen")
+            state, ended = materialize(finished.mapInArrow(_reopen, _WALK_DDL), "walk"), []
+        front = state.select("w", "ids", "done").mapInArrow(partial(_front, expand=expand), "w long, node long")
+        hops = front.join(links, "node").select("w", F.explode("linked").alias("b")).distinct().join(points, "b")
+        nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "ds", "done")]
+        both = state.select("w", F.lit(None).cast("long").alias("b"), "q", "ids", "ds", "done").union(hops.select("w", "b", "q", *nothing))
+        state = both.repartition("w").sortWithinPartitions("w", "b").mapInArrow(partial(_merge, beam=beam, expand=expand), _WALK_DDL)
+        state = materialize(state, "walk")
+        ended.append(state.filter("NOT open"))
+        state = state.filter("open")
     else:
         raise RuntimeError(f"the walks did not end in {most_steps} steps")
 
     place = F.row_number().over(Window.partitionBy("w").orderBy("d", "b"))
-    near = seen.withColumn("place", place).filter(F.col("place") <= k + 1)
+    near = near.withColumn("place", place).filter(F.col("place") <= k + 1)
     #: Each class gives its k + 1 smallest ids: more cannot be among the nearest.
     wanted = member.join(near.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
     salted = wanted.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
@@ -244,11 +367,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 256, e
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int"), "vec_id", F.col("d").alias("score"))
 
 
-_NODES = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float64())), ("q", pa.binary())])
+_NODES = pa.schema([("node", pa.int64()), ("v", pa.list_(pa.float64())), ("q", pa.binary())])
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        q = [packed(np.array(v)) for v in t.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), batch.column(batch.schema.get_field_index("copies")), batch.column(batch.schema.get_field_index("v")).cast(pa.list_(pa.float64())), pa.array(q, pa.binary())], schema=_NODES)
+        if batch.num_rows:
+            v = batch.column(1)
+            q = packed(v.flatten().to_numpy().reshape(len(v), -1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), v.cast(pa.list_(pa.float64())), pa.array(q, pa.binary())], schema=_NODES)

@@ -72,8 +72,19 @@ def test_beam_grows_until_recall_is_met(spark):
 
 def test_graph_rounds_go_on_until_edges_settle(spark):
     x = uniform(1200)
-    nodes = spark.createDataFrame([(i, bytearray(packed(v))) for i, v in enumerate(x)], "node long, q binary").cache()
+    nodes = spark.createDataFrame([(i, bytearray(q)) for i, q in enumerate(packed(x))], "node long, q binary").cache()
     got = build_graph(nodes, len(x), k=10, leaf=16, sample=3)
     assert got.filter("fresh").count() <= 0.002 * 10 * len(x)
     with pytest.raises(RuntimeError):
         build_graph(nodes, len(x), k=10, leaf=16, sample=3, most_rounds=1)
+
+
+def test_mixed_lengths_repeated_ids_and_clashing_columns(spark):
+    """The commonest length counts; of one id's vectors the smallest; other columns are not read."""
+    x = uniform(80, dim=4)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(500 + i, [1.0] * 3) for i in range(20)] + [(10, [9.0] * 4)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows + odd], "vec_id long, embedding array<double>, w int, node int, q int")
+    want = dict(rows)
+    want[10] = min(want[10], [9.0] * 4)
+    assert compare(list(want.items()), search(df, every=10, k=5).collect()) >= 0.9
