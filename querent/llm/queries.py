@@ -62,9 +62,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document without repeated strings of 400 bytes."""
-    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """What is left of each document without repeated strings of 400 bytes, and how many of its words repeat in passages of over 50."""
+    docs = table(spark, sf_dir, "documents")
+    passages = suffix_dedup.repeated_passages(docs, words=51).select(F.col("doc_id").alias("id"), F.col("row").alias("key"), "n_words")
+    kept = suffix_dedup.remove_repeats(docs, length=400)
+    kept = kept.select("doc_id", "row", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    joined = kept.join(passages, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")), "left")
+    return joined.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_passage_words"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -72,17 +76,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _ORDER = "turn NULLS FIRST, name, content"
+_PLACE = f"own, {_ORDER}"
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat": f"""
 WITH r AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS name, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
 w AS (SELECT *, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS win FROM r),
 p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id, win ORDER BY {_ORDER}) - 1) / 64) AS BIGINT) AS part FROM w),
-who AS (SELECT DISTINCT conv_id, win, part, name AS participant FROM p WHERE name <> 'system'),
-m AS (SELECT who.*, turn, name, content, name = participant AS train, '<|' || CASE WHEN name = 'system' THEN 'system' WHEN name = participant THEN 'assistant' ELSE 'user name=' || name END || '|>' || chr(10) AS head FROM who JOIN p USING (conv_id, win, part)),
-s AS (SELECT *, coalesce(sum(length(head || content) + 8) OVER (PARTITION BY conv_id, win, part, participant ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM m)
+f AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY win, part) AS place, bool_or(name <> 'system') OVER (PARTITION BY conv_id, win, part ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS spoken FROM p),
+whole AS (SELECT conv_id, win, part, turn, name, content, 1 AS own FROM f UNION ALL
+  SELECT later.conv_id, later.win, later.part, f.turn, f.name, f.content, 0 FROM f JOIN (SELECT DISTINCT conv_id, win, part FROM f WHERE place > 1) AS later ON f.conv_id IS NOT DISTINCT FROM later.conv_id WHERE f.place = 1 AND NOT f.spoken),
+who AS (SELECT DISTINCT conv_id, name AS participant FROM p WHERE name <> 'system'),
+m AS (SELECT whole.*, participant, name = participant AS train, '<|' || CASE WHEN name = 'system' THEN 'system' WHEN name = participant THEN 'assistant' ELSE 'user name=' || name END || '|>' || chr(10) AS head FROM whole JOIN who ON whole.conv_id IS NOT DISTINCT FROM who.conv_id),
+s AS (SELECT *, coalesce(sum(length(head || content) + 8) OVER (PARTITION BY conv_id, win, part, participant ORDER BY {_PLACE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM m)
 SELECT conv_id, win AS "window", part, participant, count(*) AS n_messages, count(*) FILTER (train) AS n_trained,
-  string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY {_ORDER}) AS text,
-  coalesce(string_agg(CASE WHEN train THEN CAST(begins AS BIGINT) || ':' || CAST(begins + length(content) + 7 AS BIGINT) END, ',' ORDER BY {_ORDER}), '') AS mask
+  string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY {_PLACE}) AS text,
+  coalesce(string_agg(CASE WHEN train THEN CAST(begins AS BIGINT) || ':' || CAST(begins + length(content) + 7 AS BIGINT) END, ',' ORDER BY {_PLACE}), '') AS mask
 FROM s GROUP BY conv_id, win, part, participant""",
 }
