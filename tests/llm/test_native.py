@@ -1,12 +1,14 @@
 """Line dedup, pseudonyms and chat rotation: the DataFrame-only operators."""
 
+import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from querent.llm import chat, line_dedup, pii
+from querent.llm import chat, line_dedup, pii, queries
 
 
 def plan_of(df):
@@ -20,17 +22,37 @@ def mask(line):
     return " ".join(re.sub(r"\S*\d\S*", "<*>", w) for w in line.split())
 
 
-def brute_lines(rows, min_docs, min_tokens, depth, similar, rounds, keep_first):
-    """The tree by hand: leaf, commonest line as template, the rest another round."""
-    at = [(d, p, mask(x)) for d, t in rows if t is not None for p, x in enumerate(t.split("\n"))]
-    at = [(d, p, m) for d, p, m in at if len(m.split()) >= min_tokens]
+def brute_lines(spark, rows, min_docs, min_tokens, depth, similar):
+    """The lines (row, position) that go, by hand: in each leaf, commonest lines first, each joins the first template it resembles."""
+    at = [(i, d, p, mask(x)) for i, (d, t) in enumerate(rows) if t is not None for p, x in enumerate(t.split("\n"))]
+    at = [x for x in at if len(x[3].split()) >= min_tokens]
     docs = defaultdict(set)
-    for d, _, m in at:
+    for _, d, _, m in at:
         docs[m].add(d)
-    leaves = defaultdict(set)
-    for m in docs:
-        leaves[len(m.split()), tuple(m.split()[:depth])].add(m)
-    return at, docs, leaves
+    order = {r.m: r.h for r in spark.createDataFrame([(m,) for m in docs], "m string").select("m", F.xxhash64("m").alias("h")).collect()} if docs else {}
+    leaves, template = defaultdict(list), {}
+    for m in sorted(docs, key=lambda m: (-len(docs[m]), -order[m])):
+        words = m.split()
+        heads = leaves[len(words), tuple(words[:depth])]
+        same = [h for h in heads if sum(a == b for a, b in zip(h.split(), words, strict=True)) >= similar * len(words)]
+        template[m] = same[0] if same else m
+        if not same:
+            heads.append(m)
+    holders = defaultdict(set)
+    for _, d, _, m in at:
+        holders[template[m]].add(d)
+    first = {t: min(h, key=lambda d: (d is None, d)) for t, h in holders.items()}
+    return {(i, p) for i, d, p, m in at if len(holders[template[m]]) >= min_docs and d != first[template[m]]}
+
+
+def same_as_brute(spark, rows, **params):
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, at int")
+    out = {r["at"]: r for r in line_dedup.drop_recurring_lines(df, **params).collect()}
+    gone = brute_lines(spark, rows, params.get("min_docs", 10), params.get("min_tokens", 3), params.get("depth", 3), params.get("similar", 0.7))
+    for i, (_, t) in enumerate(rows):
+        assert out[i].text == (None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)), i
+        assert out[i].n_lines_dropped == len({p for j, p in gone if j == i})
+    return gone
 
 
 @pytest.mark.parametrize("keep_first", [True, False])
@@ -48,14 +70,35 @@ def test_recurring_templates_go(spark, keep_first):
     assert out[10].text == "" and out[11].text == rows[7][1]
 
 
-def test_exact_lines_equal_brute_force(spark, docs, rows):
-    """Without similarity, templates are the masked lines themselves."""
-    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs, min_docs=5, similar=1.0, rounds=1).collect()}
-    at, holders, _ = brute_lines(rows, 5, 3, 3, 1.0, 1, True)
-    drop = {(d, p) for d, p, m in at if len(holders[m]) >= 5 and d != min(holders[m])}
-    for d, t in rows:
-        want = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in drop)
-        assert out[d] == want
+@pytest.mark.parametrize("similar", [1.0, 0.7])
+def test_lines_equal_brute_force(spark, rows, similar):
+    assert same_as_brute(spark, rows, min_docs=5, similar=similar)
+
+
+def test_four_templates_in_a_leaf_equal_brute_force(spark):
+    """Random lines around four templates of one leaf, with repeated rows, ids and nulls."""
+    rng = random.Random(3)
+    heads = ["please see the " + " ".join(rng.choice("red blue green gold grey".split()) for _ in range(7)) for _ in range(4)]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 3)):
+            words = rng.choice(heads).split()
+            for j in range(3, 10):
+                if rng.random() < 0.25:
+                    words[j] = rng.choice("red blue green gold grey x1 7".split())
+            lines.append(" ".join(words))
+        rows.append((rng.choice([i, i, i, None, 3]), "\n".join(lines) if rng.random() < 0.95 else None))
+    gone = same_as_brute(spark, rows, min_docs=6, similar=0.6)
+    assert len(gone) > 40
+
+
+def test_lines_of_clashing_columns_and_long_texts(spark):
+    long = "\n".join(f"line of its own {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]} with words" for i in range(20_000))
+    rows = [(i, long + "\n" + "the very same line here" if i < 6 else "the very same line here", 1, 2, 3, 4) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _drop int, _ROW int, _own int, N_Lines_Dropped int")
+    out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert out[0].text == rows[0][1] and out[11].text == "" and out[11].n_lines_dropped == 1 and out[5]["_ROW"] == 2 and out[5].n_lines_dropped == 1
 
 
 def test_every_template_of_a_leaf_is_found(spark):
@@ -148,8 +191,32 @@ def test_feistel_is_a_permutation(spark):
         df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("x"))
         df = df.withColumn("y", F.expr(pii.permuted("x", "k"))).withColumn("z", F.expr(pii.unpermuted("y", "k")))
         assert df.select("y").distinct().count() == 10**n and df.filter("x <> z OR length(y) <> length(x)").count() == 0
-    days = spark.range(-70_000, 70_000).select(F.expr(pii._day("id", "k")).alias("d"))
-    assert days.distinct().count() == 140_000
+
+
+@pytest.mark.parametrize(("days", "months", "after"), [(31, 12, 0), (9, 9, 0), (31, 9, 0), (9, 12, 0), (31, 12, 12)])
+def test_dates_are_permuted_in_their_notation(spark, days, months, after):
+    """All dates of a block of years that a notation can show, and only those, come out once each."""
+    df = spark.sql("SELECT explode(sequence(DATE '1800-01-01', DATE '1999-12-31')) AS d").filter(f"day(d) <= {days} AND day(d) > {after} AND month(d) <= {months}")
+    out = df.select("d", F.expr(pii.permuted_date("d", str(days), str(months), "k", after)).alias("z")).selectExpr("d", "make_date(z.y, z.m, z.d) AS e", "z")
+    assert out.filter(f"z.d > {days} OR z.d <= {after} OR z.m > {months} OR year(e) NOT BETWEEN 1800 AND 1999").count() == 0
+    assert out.select("e").distinct().count() == df.count() > 1000 and out.filter("d = e").count() < 50
+
+
+def test_notations_and_clashing_columns(spark):
+    cases = [r"due 3/4/2020 ok", "due 12/25/2020 ok", "due 31.12.9999 ok", "call +14155552671 ok", "call 5555551234 ok", "due 5.11.1999 ok"]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(cases)] * 2, "doc_id long, TEXT string, _matches int, _New int, m int")
+    res = pii.pseudonymize(df, "k1")
+    assert res.columns == ["doc_id", "TEXT", "_matches", "_New", "m", "pii", "n_pii"]
+    out = {r.doc_id: r.TEXT for r in res.collect()}
+    assert res.count() == 12 and all(re.sub(r"\d", "9", out[i]) == re.sub(r"\d", "9", t) and out[i] != t for i, t in enumerate(cases))
+    month, day, _ = map(int, out[1].split()[1].split("/"))
+    assert 12 < day < 32 and 0 < month < 13 and out[3].startswith("call +1")
+
+
+def test_long_texts_of_pii(spark):
+    text = "word and 4111111111111111 or nt@mail.example.com more\n" * 4000
+    row = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k1").first()
+    assert row.n_pii == 8000 and len({p.value for p in row.pii}) == 2 and "4111111111111111" not in row.text
 
 
 def test_pii_empty(spark, empty):
@@ -181,3 +248,30 @@ def test_long_dialogues_are_cut(spark):
     ties = spark.range(120).selectExpr("7L AS conv_id", "0L AS turn", "'p' AS role", "concat('t', id) AS text")
     assert sorted(r.n_messages for r in chat.rotate(ties, window=50).collect()) == [20, 50, 50]
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_windows_keep_participants_and_opening(spark):
+    """71 turns: the third speaker speaks only in the second window; both windows open with the rules."""
+    rows = [(1, 0, "system", "rules"), (1, 1, "system", "more rules")] + [(1, i, "ab"[i % 2], f"t{i}") for i in range(2, 70)] + [(1, 70, "system", "late"), (1, 71, "c", "end")]
+    df = spark.createDataFrame(rows + [(None, *r[1:]) for r in rows], "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.window, r.participant): r for r in chat.rotate(df).collect()}
+    assert set(out) == {(c, w, p) for c in (1, None) for w in (0, 1) for p in "abc"}
+    assert out[1, 0, "c"].n_trained == 0 and out[1, 0, "c"].n_messages == 64
+    for p in "abc":
+        m = [(x.role, x.content) for x in out[1, 1, p].messages]
+        assert m[:2] == [("system", "rules"), ("system", "more rules")] and ("system", "late") in m[2:] and len(m) == 10
+    assert [out[1, 1, "c"].text[x.start : x.end] for x in out[1, 1, "c"].mask] == ["end<|end|>"]
+
+
+def test_long_dialogues_equal_their_oracle(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, *range(200)]), rng.choice(["system", "a", "b", None]), rng.choice(["x", "yy", None, "<|z"])) for _ in range(700)]
+    rows += [(3, i, "system" if i < 3 else "ab"[i % 2], f"t{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op8_chat"]).fetchall()
+    got = queries.op8_chat(spark, str(tmp_path)).collect()
+    key = lambda r: tuple((x is None, x) for x in r[:4])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
