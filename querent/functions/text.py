@@ -69,13 +69,16 @@ def schema_name(name: Column) -> Column:
 
 
 def has_mark(text: Column) -> Column:
-    return text.rlike(f"[{MARKED}{MARKED.upper()}]")
+    #: One test of the range keeps all other characters from the long class.
+    return text.rlike(f"(?=[\u00c0-\u1ef9])[{MARKED}{MARKED.upper()}]")
 
 
 def ascii_letter_ratio(text: Column) -> Column:
     """ASCII letters among all letters; 0 without letters."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(text, "[^a-zA-Z]", "")) / letters).otherwise(0.0)
+    ascii_letters = F.length(F.regexp_replace(text, "[^a-zA-Z]++", ""))
+    #: Only texts beyond ASCII have other letters.
+    letters = F.when(F.octet_length(text) == F.length(text), ascii_letters).otherwise(F.length(F.regexp_replace(text, r"[^\p{L}]++", "")))
+    return F.when(letters > 0, ascii_letters / letters).otherwise(0.0)
 
 
 def is_stopword(noun: Column) -> Column:

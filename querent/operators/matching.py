@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,10 @@ def forget_encoder(model: str) -> None:
     gc.collect()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model: str, load: Callable[[str], Callable], prefix: str, size: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], model: str, load: Callable[[str], Callable], prefix: str, size: int, kind: str) -> Iterator[pa.RecordBatch]:
     encode = encoder_of(model, load)
+    if own := getattr(encode, f"encode_{kind}", None):
+        encode, prefix = own, ""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             texts = batch.column(0).slice(at, size)
@@ -59,14 +61,17 @@ def _encode(batches: Iterator[pa.RecordBatch], model: str, load: Callable[[str],
             yield pa.RecordBatch.from_arrays([texts, pa.array(list(vectors), pa.list_(pa.float32()))], ["text", "embedding"])
 
 
-def encode_texts(texts: DataFrame, model: str, load: Callable[[str], Callable], prefix: str = "", batch_size: int = 128) -> DataFrame:
+def encode_texts(texts: DataFrame, model: str, load: Callable[[str], Callable], prefix: str = "", batch_size: int = 128, kind: str = "query") -> DataFrame:
     """(text, embedding) of the different texts of a column ``text``, unit length.
 
     ``load(model)`` runs on the workers and gives a function from a list of
-    texts to a matrix.  Texts are made distinct first: the encoder is the cost.
+    texts to a matrix, or an object whose methods ``encode_query`` and
+    ``encode_document`` are such functions; then ``kind`` picks one, and no
+    prefix is put before the texts.  Texts are made distinct first: the encoder
+    is the cost.
     """
     once = texts.select("text").filter("text IS NOT NULL").distinct()
-    return once.mapInArrow(partial(_encode, model=model, load=load, prefix=prefix, size=batch_size), "text string, embedding array<float>")
+    return once.mapInArrow(partial(_encode, model=model, load=load, prefix=prefix, size=batch_size, kind=kind), "text string, embedding array<float>")
 
 
 # -- matching
@@ -77,14 +82,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def best_tables(nouns: DataFrame, tables: DataFrame, threshold: float = 0.4) -> DataFrame:
+def best_tables(nouns: DataFrame, tables: DataFrame, threshold: float = 0.4, most_broadcast: int = 50_000) -> DataFrame:
     """(noun_pos, vi_noun, table, similarity): each noun's nearest table.
 
     nouns(noun_pos, vi_noun, embedding), tables(target_idx, table, embedding);
-    the table side is the smaller one.  Ties go to the first table.
+    the table side is the smaller one; it is sent to all tasks in parts of about
+    ``most_broadcast`` rows.  Ties go to the first table.
     """
-    pairs = nouns.select("noun_pos", "vi_noun", F.col("embedding").alias("e")).crossJoin(tables.select("target_idx", "table", F.col("embedding").alias("t")))
-    best = pairs.withColumn("s", dot(F.col("e"), F.col("t"))).groupBy("noun_pos", "vi_noun").agg(F.expr("max_by(struct(table, s), struct(s, -target_idx))").alias("b"))
+    left, right = nouns.select("noun_pos", "vi_noun", F.col("embedding").alias("e")), tables.select("target_idx", "table", F.col("embedding").alias("t"))
+    parts = max(1, -(-right.count() // most_broadcast))
+    share = lambda i: right if parts == 1 else right.filter(F.pmod(F.xxhash64("target_idx"), F.lit(parts)) == i)
+    scored = [left.crossJoin(F.broadcast(share(i))).select("noun_pos", "vi_noun", "table", "target_idx", dot(F.col("e"), F.col("t")).alias("s")) for i in range(parts)]
+    best = reduce(DataFrame.union, scored).groupBy("noun_pos", "vi_noun").agg(F.expr("max_by(struct(table, s), struct(s, -target_idx))").alias("b"))
     return best.filter(F.col("b.s") >= threshold).select("noun_pos", "vi_noun", "b.table", F.round("b.s", 4).alias("similarity"))
 
 

@@ -119,8 +119,11 @@ def _values(rows: list[tuple], names: list[str]) -> str:
 _WORDS = r"FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM documents) WHERE w <> ''"
 _RATIO = r"CASE WHEN length(regexp_replace(w, '[^\p{L}]', '', 'g')) > 0 THEN length(regexp_replace(w, '[^a-zA-Z]', '', 'g')) / length(regexp_replace(w, '[^\p{L}]', '', 'g')) ELSE 0.0 END"
 _MARKS = f"[{X.MARKED}{X.MARKED.upper()}]"
+#: Names of a schema, some of which occur as words.
+NAMES = ("The", "and_that", "Singer_ID", "of")
+_NAMED = "'the', 'and_that', 'and that', 'singer_id', 'singer id', 'of'"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
-_REASON = f"CASE WHEN length(w) < 2 THEN 'too_short_removed' WHEN length(w) > 30 THEN 'too_long_removed' WHEN lower(w) IN ({_STOP}) THEN 'vietnamese_stopwords_removed' WHEN ({_RATIO}) > 0.70 AND NOT regexp_matches(w, '{_MARKS}') THEN 'english_nouns_removed' ELSE '' END"
+_REASON = f"CASE WHEN length(w) < 2 THEN 'too_short_removed' WHEN length(w) > 30 THEN 'too_long_removed' WHEN lower(w) IN ({_STOP}) THEN 'vietnamese_stopwords_removed' WHEN lower(w) IN ({_NAMED}) OR trim(regexp_replace(replace(lower(w), '_', ' '), '\\s+', ' ', 'g')) IN ({_NAMED}) THEN 'schema_name_duplicates_removed' WHEN ({_RATIO}) > 0.70 AND NOT regexp_matches(w, '{_MARKS}') THEN 'english_nouns_removed' ELSE '' END"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +139,10 @@ def f07_ascii_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_REASON} AS reason, count(*) AS n {_WORDS} GROUP BY 1")
 def f09_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why words are filtered, counted over all documents."""
-    return _words(spark, sf_dir).select(X.filter_reason(F.col("w")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """Why words are filtered, counted over all documents; each different word is judged once."""
+    words = _words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*(F.lit(n) for n in NAMES))
+    return words.select(X.filter_reason(F.col("w"), names).alias("reason"), "n").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(lower(replace(text, '_', ' ')), '\s+', ' ', 'g')) AS name FROM documents")
@@ -322,9 +327,15 @@ def j05_match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.match_levels(_limited(spark, sf_dir))
 
 
-@query("SELECT count(*) AS total_nouns_before_filter, CAST(0 AS BIGINT) AS english_nouns_removed, CAST(0 AS BIGINT) AS vietnamese_stopwords_removed, CAST(0 AS BIGINT) AS schema_name_duplicates_removed, CAST(0 AS BIGINT) AS too_short_removed, CAST(0 AS BIGINT) AS too_long_removed, count(*) AS nouns_after_filter FROM embeddings")
+_COUNTED = ", ".join(f"count(*) FILTER (reason = '{k}') AS {k}" for k in stats.FILTER_KEYS[1:-1])
+
+
+@query(f"SELECT count(*) AS {stats.FILTER_KEYS[0]}, {_COUNTED}, count(DISTINCT (doc_id, w)) FILTER (reason = '') AS {stats.FILTER_KEYS[-1]} FROM (SELECT doc_id, w, {_REASON} AS reason FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> '')")
 def j06_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.filter_stats(None, _limited(spark, sf_dir))
+    """What the noun filter removes from the words of all documents."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    raw = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("example_idx"), words.alias("raw"), F.array(*(F.lit(n) for n in NAMES)).alias("names"))
+    return stats.filter_stats(matching.filter_counts(raw), raw)
 
 
 @query()
@@ -432,7 +443,7 @@ def x06_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d["id"], d["exec_match"], d["error"] is not None) for d in details], "id int, exec_match boolean, failed boolean")
 
 
-@query()
+@query("SELECT hardness, count(*) AS count, sum(CAST(same AS BIGINT)) AS matches FROM (" + _values([(level, same) for _, _, level, same in PAIRS], ["hardness", "same"]) + ") GROUP BY hardness")
 def s16_streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level counts of the pairs, with the streaming operator on a batch."""
     return level_counts(exact.score_pairs(_pairs(spark), _databases(spark, sf_dir)))

@@ -79,6 +79,30 @@ def test_augment_end_to_end(spark, schemas):
     matching.forget_encoder("m")
 
 
+class TwoSided:
+    """An encoder with a method for each side, as some families have."""
+
+    def encode_query(self, texts):
+        return [[3.0, 4.0] if not t.startswith("query") else [0.0, 0.0] for t in texts]
+
+    def encode_document(self, texts):
+        return [[0.0, float(len(t))] for t in texts]
+
+
+def test_encoders_with_two_sides(spark):
+    texts = spark.createDataFrame([("ab",), ("ab",), (None,), ("c",)], "text string")
+    side = lambda kind, prefix="": {r.text: [round(x, 4) for x in r.embedding] for r in matching.encode_texts(texts, f"two-{kind}", lambda m: TwoSided(), prefix, kind=kind).collect()}
+    assert side("query", "query: ") == {"ab": [0.6, 0.8], "c": [0.6, 0.8]}
+    assert side("document") == {"ab": [0.0, 1.0], "c": [0.0, 1.0]}
+
+
+def test_best_tables_in_parts(spark):
+    nouns = spark.createDataFrame([(i, f"n{i}", [float(i), 1.0]) for i in range(6)], "noun_pos long, vi_noun string, embedding array<float>")
+    tables = spark.createDataFrame([(j, f"t{j % 3}", [float(j % 3), 1.0]) for j in range(9)], "target_idx long, table string, embedding array<float>")
+    whole, parts = (sorted(map(tuple, matching.best_tables(nouns, tables, 0.1, most).collect())) for most in (100, 2))
+    assert whole == parts and len(whole) == 6
+
+
 def test_prompts(spark, schemas):
     texts = schema.schema_texts(schemas)
     ex = spark.createDataFrame([(0, "concert", "Q?"), (1, "concert", "R?")], "example_idx long, db_id string, question string")
