@@ -19,7 +19,7 @@ from querent.functions.text import prediction
 from querent.operators import exact, execution, matching, prompts, reports, schema, stats
 from querent.session import session
 from querent.sources import files
-from querent.sources.catalogs import of_database
+from querent.sources.catalogs import of_database, of_sqlite
 from querent.sources.descriptions import Descriptions
 
 
@@ -59,6 +59,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     s.add_argument("--exec-details-output")
     s.add_argument("--em-input")
     s.add_argument("--timeout-seconds", type=float, default=30.0)
+    s.add_argument("--sqlite-dir", help="folder of NAME/NAME.sqlite files; without it, databases of Spark's catalog")
     s.add_argument("--multiset", action="store_true", help="leave row order out of the comparison")
     s.add_argument("--model", default="unknown")
     s.add_argument("--dataset", default="unknown")
@@ -137,7 +138,7 @@ def run_exec(spark: SparkSession, a: argparse.Namespace) -> int:
     gold = [(r["sql"], r["db_id"]) for r in files.gold(spark, beside(a.gold_input, "gold.txt")).orderBy("idx").collect()]
     entries = {e["db_id"]: e for e in files.read_json(spark, f"{a.data}/tables.json")}
     dbs = exact.Databases(list(entries.values()))
-    catalogs = {db: of_database(spark, db) for db in sorted({db for _, db in gold})}
+    catalogs = {db: of_sqlite(spark, f"{a.sqlite_dir}/{db}/{db}.sqlite") if a.sqlite_dir else of_database(spark, db) for db in sorted({db for _, db in gold})}
     scores, details = execution.evaluate(spark, gold, pred, catalogs, dbs.keys, a.timeout_seconds, ordered=not a.multiset)
     files.write_json(spark, beside(a.exec_details_output, "exec_details.json"), details)
     em_path, em = beside(a.em_input, "eval_em_only.json"), None

@@ -1,3 +1,4 @@
+import sqlite3
 import time
 
 import pytest
@@ -5,7 +6,7 @@ import pytest
 from querent.operators import execution
 from querent.plans.compiler import Catalog, compile_query
 from querent.plans.parser import parse
-from querent.sources.catalogs import entry_of, schema_of, schema_of_json
+from querent.sources.catalogs import entry_of, of_sqlite, schema_of, schema_of_json
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +72,42 @@ def test_deadline(spark):
     out = execution.run_with_deadline(spark, slow, 2)
     assert out.timeout and out.rows is None and out.error and time.monotonic() - t < 60
     many = execution.run_with_deadline(spark, lambda: spark.range(10), 60, most_rows=5)
-    assert many.error == "ValueError: more than 5 rows"
+    assert many.more and many.rows is None and many.error is None
+
+
+def test_large_results_are_compared_in_place(spark):
+    """Beyond the limit, hashes decide as the rows would: order, values, columns and counts."""
+    base = spark.range(0, 3000, 1, 5).selectExpr("id", "CAST(id AS DOUBLE) AS same", "id % 7 AS g", "IF(id % 5 = 0, NULL, concat('x', id)) AS name")
+    c = Catalog({"t": base, "u": base.selectExpr("same AS id", "same", "g", "name")})
+    pairs = [
+        ("SELECT id, name FROM t ORDER BY id", "SELECT name, id FROM t ORDER BY id"),
+        ("SELECT id, name FROM t ORDER BY id", "SELECT id, name FROM t ORDER BY id DESC"),
+        ("SELECT id FROM t ORDER BY id", "SELECT id FROM t WHERE id != 5 ORDER BY id"),
+        ("SELECT g FROM t ORDER BY id", "SELECT id FROM t ORDER BY id"),
+    ]
+    for ordered, want in ((True, [True, False, False, False]), (False, [True, True, False, False])):
+        for most in (10, 100_000):
+            _, details = execution.evaluate(spark, [(g, "d") for g, _ in pairs], [p for _, p in pairs], {"d": c}, {}, 60, ordered=ordered, most_rows=most)
+            assert [d["exec_match"] for d in details] == want and not [d["error"] for d in details if d["error"]]
+    q = parse("SELECT id, name FROM t", c.names)
+    sums = [execution.digest(c.tables[t].select("id", "name").orderBy("id"), q, True).first() for t in "tu"]
+    assert sums[0] == sums[1] and sums[0][0] == 3000
+
+
+@pytest.mark.parametrize("journal", ["delete", "wal"])
+def test_sqlite_files(spark, tmp_path, journal):
+    con = sqlite3.connect(tmp_path / "shop.sqlite")
+    con.execute(f"PRAGMA journal_mode = {journal}")
+    con.executescript("CREATE TABLE item (id INTEGER PRIMARY KEY, \"unit price\" REAL, label TEXT, mixed, day DATE); CREATE TABLE bare (n INTEGER);")
+    con.executemany("INSERT INTO item VALUES (?, ?, ?, ?, ?)", [(1, 2, "a\u00e9", 5, "2020-01-02"), (2, 2.5, None, "x", None), (3, None, "c", b"yz", "2021-01-02")])
+    con.commit()
+    con.close()
+    c = of_sqlite(spark, str(tmp_path / "shop.sqlite"))
+    assert c.tables["item"].dtypes == [("id", "bigint"), ("unit price", "double"), ("label", "string"), ("mixed", "string"), ("day", "string")]
+    assert c.tables["bare"].count() == 0 and c.tables["bare"].dtypes == [("n", "bigint")]
+    assert [tuple(r) for r in c.tables["item"].orderBy("id").collect()] == [(1, 2.0, "a\u00e9", "5", "2020-01-02"), (2, 2.5, None, "x", None), (3, None, "c", "yz", "2021-01-02")]
+    scores, details = execution.evaluate(spark, [("SELECT count(*) FROM item", "shop")] * 2, ["SELECT count(*) FROM item", "SELECT missing_column FROM item"], {"shop": c}, {}, 60)
+    assert scores["all"]["execution_accuracy"] == 0.5 and details[1]["error"]
 
 
 def test_result_map_keys(catalog):
