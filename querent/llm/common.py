@@ -45,12 +45,14 @@ def materialize(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     Later stages restart from files that outlive any executor.  Shuffle files of
     plans that nothing refers to any more are let go, which otherwise waits for
     the driver's next full collection: rounds of joins would pile them up.  With
-    ``heavy``, for shuffles as large as the input, that is waited for.
+    ``heavy``, for shuffles as large as the input, that is waited for where the
+    table took long to write.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
-    for wait in (0, 0.5, 1) if heavy else (0,):
+    for wait in (0, 0.5, 1) if heavy and time.monotonic() - began > 5 else (0,):
         time.sleep(wait)
         gc.collect()
         spark.sparkContext._jvm.System.gc()

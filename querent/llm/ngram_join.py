@@ -15,9 +15,10 @@ The tokens of a document (its distinct word shingles) are hashed into groups.
 A shard may hold most of the corpus.  It is cut into blocks of at most
 ``block`` points, and the first search asks each point only for its best
 partner, so the number of pairs is linear.  Shards still divided between
-components are searched in full a second time.  There the texts come along and
-survivors are verified in place, best bound first; a pair whose components a
-link has joined already is passed over, so a tile gives fewer links than points.
+components are searched in full a second time, for points that have survivors in
+another component.  Those few meet again with their texts, and survivors are
+verified in place, best bound first; a pair whose components a link has joined
+already is passed over, so a tile gives fewer points and links than it has points.
 
 Texts are moved once, packed, and only those of documents in shared shards.
 
@@ -203,6 +204,25 @@ def _links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * inter >= num * (len(x) + len(y) - inter)
 
 
+_CROSSING = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("doc", pa.int64()), ("label", pa.int64()), ("own", pa.bool_())])
+
+
+@lean
+def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The points of each tile that may link across components: minority points with survivors, and those."""
+    for t in _groups(batches, ["key", "block"]):
+        _, vec, n = _points(t)
+        label, own = t.column("label").to_numpy(), t.column("own").to_numpy()
+        tree, hit = CountTree(vec, n, num, den), np.zeros(len(n), bool)
+        for i in np.flatnonzero(own).tolist():
+            idx, _ = tree.search(i)
+            idx = idx[label[idx] != label[i]]
+            if len(idx):
+                hit[i] = hit[idx] = True
+        if hit.any():
+            yield from t.select(_CROSSING.names).filter(pa.array(hit)).combine_chunks().to_batches()
+
+
 @lean
 def _across(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Links that join the components of the tile's minority points with others: a spanning forest of them."""
@@ -280,7 +300,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     #: Keys are made from the texts each time they are read: kept, they would outweigh the input.
     spread = docs.mapInArrow(partial(_keys, k=k, num=num, den=den), "doc long, s1 long, key long")
     shared = materialize(spread.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("key"), "shared", heavy=True)
-    touched = spread.select("doc", "key").join(shared, "key").join(reps.withColumnRenamed("rep", "doc"), "doc", "left_semi").distinct()
+    #: What grows with the corpus is joined by a shuffle at every size, never broadcast.
+    touched = spread.select("doc", "key").join(shared.hint("merge"), "key").join(reps.withColumnRenamed("rep", "doc").hint("merge"), "doc", "left_semi").distinct()
     touched = materialize(touched, "touched")
     discard(shared)
     shards = touched.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(doc))").alias("x"), F.sum(F.expr("xxhash64(doc) >> 24")).alias("s")).filter("c > 1")
@@ -289,7 +310,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(touched.join(shards.select("key", "c"), "key"), "members")
     weight = members.groupBy("doc").agg(F.sum("c").alias("w"))
     centre = members.join(weight, "doc").groupBy("key").agg(F.expr("max_by(doc, struct(w, -doc))").alias("centre"))
-    needed = docs.withColumnRenamed("doc_id", "doc").join(members.select("doc").distinct(), "doc", "left_semi")
+    needed = docs.withColumnRenamed("doc_id", "doc").join(members.select("doc").distinct().hint("merge"), "doc", "left_semi")
     texts = materialize(needed.mapInArrow(partial(_texts, k=k), "doc long, n long, vec binary, size long, z binary"), "texts")
     placed = materialize(members.join(centre, "key").withColumn("blocks", F.ceil(F.col("c") / block)), "placed")
     discard(touched, members)
@@ -311,11 +332,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = rest.withColumn("block", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("own", F.expr("home = block"))
     #: A block's own points meet all others; the others are cut into tiles of bounded size.
     tile = F.when(F.col("own"), F.expr("sequence(0L, tiles - 1)")).otherwise(F.array(F.expr("pmod(xxhash64(doc, 7), tiles)")))
-    rest = rest.select("key", "doc", "label", "own", "block", F.explode(tile).alias("tile")).withColumn("block", F.expr("block * 1000003L + tile")).join(texts, "doc")
-    more = rest.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(partial(_across, k=k, num=num, den=den), "a long, b long")
+    rest = rest.select("key", "doc", "label", "own", "block", F.explode(tile).alias("tile")).withColumn("block", F.expr("block * 1000003L + tile")).join(texts.select("doc", "n", "vec"), "doc")
+    crossing = rest.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(partial(_crossing, num=num, den=den), "key long, block long, doc long, label long, own boolean")
+    crossing = materialize(crossing, "crossing")
+    more = crossing.join(texts, "doc").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(partial(_across, k=k, num=num, den=den), "a long, b long")
     more = materialize(more.distinct(), "more")
     final = components(linked.union(more)).withColumnRenamed("node", "rep")
-    discard(shards, texts, placed, linked, first, more)
+    discard(shards, texts, placed, linked, first, crossing, more)
 
     out = sets.join(classes, ["n", "s1", "s2"], "left").join(final, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
