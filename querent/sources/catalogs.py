@@ -23,8 +23,8 @@ def schema_of_json(entries: list[dict]) -> dict[str, list[str]]:
 
 
 def of_database(spark: SparkSession, database: str) -> Catalog:
-    """All tables of a database in Spark's catalog."""
-    return Catalog({t.name: spark.table(f"`{database}`.`{t.name}`") for t in spark.catalog.listTables(database)})
+    """All tables of a database in Spark's catalog; temporary views belong to none."""
+    return Catalog({t.name: spark.table(f"`{database}`.`{t.name}`") for t in spark.catalog.listTables(database) if not t.isTemporary})
 
 
 def _opened(content: bytes) -> sqlite3.Connection:
