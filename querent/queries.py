@@ -16,6 +16,7 @@ from querent.functions import text as X
 from querent.operators import exact, execution, matching, prompts, reports, schema, stats
 from querent.plans.compiler import Catalog, compile_query
 from querent.plans.parser import is_valid, parse, tokenize
+from querent.sources import files
 from querent.sources.catalogs import entry_of
 from querent.streaming.scoring import level_counts
 
@@ -338,10 +339,26 @@ def j06_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.filter_stats(matching.filter_counts(raw), raw)
 
 
-@query()
+_RECORD = f"""{_HINTS}, n AS (SELECT l.example_idx, count(c.r) AS n FROM (SELECT DISTINCT label AS example_idx FROM embeddings) l LEFT JOIN cut c USING (example_idx) GROUP BY 1),
+bins AS (SELECT bin, count(similarity) AS n FROM (VALUES {_EDGES}) b(bin, lower, upper) LEFT JOIN cut ON similarity >= lower AND (similarity < upper OR bin = 11 AND similarity <= upper) GROUP BY bin),
+un AS (SELECT CAST(vec_id AS VARCHAR) AS noun, count(*) AS o FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.example_idx = e.label AND c.vi_noun = CAST(e.vec_id AS VARCHAR)) GROUP BY vec_id, label ORDER BY o DESC, label, vec_id LIMIT 10),
+types AS (SELECT k, count(table_type) AS n FROM (VALUES ('entity'), ('junction'), ('reference')) t(k) LEFT JOIN cut ON table_type = k GROUP BY k)
+SELECT 'precomputed' AS model, CAST(0.1 AS DOUBLE) AS threshold, count(*) AS total_examples, count(*) FILTER (n > 0) AS examples_with_hints, round(avg(n), 6) AS avg_hints_per_example,
+(SELECT string_agg(n, ',' ORDER BY bin) FROM bins) AS similarity_counts, (SELECT string_agg(noun || ':' || o, ',' ORDER BY o DESC, noun) FROM un) AS unmatched,
+(SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM types) AS types, (SELECT count(*) FROM embeddings) AS nouns_after_filter, (SELECT count(*) FROM cut) AS table_level FROM n"""
+
+
+@query(_RECORD)
 def j07_augment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole statistics record as JSON; its parts have oracles of their own."""
-    return stats.augment_stats(_limited(spark, sf_dir), "precomputed", 0.1).select(F.to_json(F.struct("*")).alias("record"))
+    """The whole statistics record; its lists as texts."""
+    record = stats.augment_stats(_limited(spark, sf_dir), "precomputed", 0.1)
+    pairs = F.transform("top_unmatched_nouns", lambda e: F.concat(e["noun"], F.lit(":"), e["occurrences"].cast("string")))
+    types = F.transform(F.map_entries("table_type_distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return record.select(
+        "config.model", "config.threshold", "counts.total_examples", "counts.examples_with_hints", F.round("counts.avg_hints_per_example", 6).alias("avg_hints_per_example"),
+        F.array_join(F.transform("similarity_distribution.counts", lambda n: n.cast("string")), ",").alias("similarity_counts"),
+        F.array_join(pairs, ",").alias("unmatched"), F.array_join(F.array_sort(types), ",").alias("types"), "filter_stats.nouns_after_filter", "match_level.table_level",
+    )
 
 
 # -- structural scores and execution
@@ -385,10 +402,28 @@ def e16_level_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(exact.level_scores(exact.score_pairs(_pairs(spark), _databases(spark, sf_dir))), 6)
 
 
-@query()
+#: Traced by hand: (pair, part, gold total, prediction total, score) where a total is not 0; all scores of connectors are 1.
+_CLAUSES = [
+    *((i, part, n, n, s) for i, n, s in ((0, 1, 1), (1, 1, 0), (2, 2, 1), (3, 1, 1), (4, 1, 1), (5, 2, 1), (6, 1, 1), (9, 1, 1), (10, 1, 1), (11, 1, 1)) for part in ("select", "select(no AGG)")),
+    *((i, part, 2, n, 0) for i, n in ((7, 0), (8, 1)) for part in ("select", "select(no AGG)")),
+    *((i, part, g, p, s) for i, g, p, s in ((0, 1, 1, 1), (6, 1, 0, 0), (8, 1, 0, 0), (9, 2, 2, 1)) for part in ("where", "where(no OP)")),
+    *((i, part, 1, p, p) for i, p in ((5, 1), (7, 0), (8, 0), (10, 1)) for part in ("group", "group(no Having)")),
+    *((i, "order", 1, p, p) for i, p in ((4, 1), (7, 0), (8, 0))),
+    *((i, "and/or", 1, 1, 1) for i in range(len(PAIRS))),
+    (11, "IUEN", 1, 1, 1),
+    *((i, "keywords", g, p, s) for i, g, p, s in ((0, 1, 1, 1), (4, 3, 3, 1), (5, 1, 1, 1), (6, 1, 0, 0), (7, 4, 0, 0), (8, 5, 0, 0), (9, 2, 2, 1), (10, 1, 1, 1), (11, 1, 1, 1))),
+]
+_PARTIAL = f"""WITH c AS ({_values(_CLAUSES, ["id", "part", "g", "p", "s"])}), l AS ({_values([(i, h) for i, (_, _, h, _) in enumerate(PAIRS)], ["id", "hardness"])}),
+lv AS (SELECT id, hardness FROM l UNION ALL SELECT id, 'all' FROM l),
+m AS (SELECT hardness, part, coalesce(avg(s) FILTER (p > 0), 0.0) AS acc, coalesce(avg(s) FILTER (g > 0), 0.0) AS rec
+FROM (SELECT DISTINCT hardness FROM lv) CROSS JOIN (SELECT DISTINCT part FROM c) LEFT JOIN (SELECT * FROM lv JOIN c USING (id)) x USING (hardness, part) GROUP BY 1, 2)
+SELECT hardness, part, round(acc, 6) AS acc, round(rec, 6) AS rec, round(CASE WHEN acc = 0 AND rec = 0 THEN 1.0 ELSE 2 * acc * rec / (acc + rec) END, 6) AS f1 FROM m"""
+
+
+@query(_PARTIAL)
 def e17_partial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean clause scores by level; tests check them by hand."""
-    return exact.partial_level_scores(exact.score_pairs(_pairs(spark), _databases(spark, sf_dir)))
+    """Mean clause scores by level and of all."""
+    return rounded(exact.partial_level_scores(exact.score_pairs(_pairs(spark), _databases(spark, sf_dir))), 6)
 
 
 ACCEPTED = [
@@ -507,6 +542,78 @@ def k10_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.best_run(_runs(spark, sf_dir, "source"), "ex", "em")
 
 
+@query(_values([(i, f"example-{i}" if i % 2 else f"x{i}", "tpch", h, m) for i, (_, _, h, m) in enumerate(PAIRS)], ["id", "example_id", "db_id", "hardness", "exact_match"]))
+def k07_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: examples joined with their scores; a missing id is made from the position."""
+    pairs = _pairs(spark)
+    named = F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.col("id").cast("string")))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("question", "raw_output", "hints")]
+    examples = pairs.select("id", named.alias("example_id"), "gold_sql", "pred_sql", *empty)
+    report = reports.match_report(examples, exact.score_pairs(pairs, _databases(spark, sf_dir)))
+    return report.select(F.col("id").cast("int"), "example_id", "db_id", "hardness", "exact_match")
+
+
+@query("SELECT count(*) AS count, count(*) FILTER (quality = 1) AS matches, count(*) FILTER (toxic = 1) AS errors, count(*) FILTER (doc_id % 7 = 0) AS timeouts, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS execution_accuracy FROM labels")
+def k08_execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: one row of all details; each label stands for one."""
+    details = _table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("exec_match"), F.when(F.col("toxic") == 1, "failed").alias("error"), (F.col("doc_id") % 7 == 0).alias("timeout"))
+    return rounded(reports.execution_summary(details), 6)
+
+
+# -- files, written to the shared folder and read again
+
+def _nations(spark: SparkSession, sf_dir: str) -> list:
+    return _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+
+
+@query("SELECT n_nationkey AS idx, n_name AS question, n_regionkey AS region FROM nation")
+def s01_json_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples as one JSON array, read as rows."""
+    path = f"{files.scratch(spark)}/files/examples_dev.json"
+    files.write_json(spark, path, [{"idx": r.n_nationkey, "question": r.n_name, "region": r.n_regionkey} for r in _nations(spark, sf_dir)])
+    return files.json_rows(spark, path, "idx int, question string, region int")
+
+
+@query("SELECT n_nationkey AS idx, 'SELECT ' || chr(9) || n_name AS sql, 'db' || n_regionkey AS db_id FROM nation")
+def s04_gold_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gold file of a folder of splits; blank lines have no number, and the last tab parts."""
+    root = f"{files.scratch(spark)}/files"
+    files.write_lines(spark, f"{root}/train_gold.sql", [x for r in _nations(spark, sf_dir) for x in (f"SELECT \t{r.n_name}\tdb{r.n_regionkey}", " ")])
+    return files.Datasets.of_folder(spark, root).load_gold("examples", "train").select(F.col("idx").cast("int"), "sql", "db_id")
+
+
+@query("SELECT n_nationkey AS idx, CASE WHEN n_regionkey = 1 THEN '' ELSE n_name END AS sql FROM nation WHERE n_nationkey < 20")
+def s05_predictions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction a line, blank ones too; the first 20."""
+    path = f"{files.scratch(spark)}/files/predicted.txt"
+    files.write_lines(spark, path, ["" if r.n_regionkey == 1 else r.n_name for r in _nations(spark, sf_dir)])
+    return files.head(files.predictions(spark, path), 20).select(F.col("idx").cast("int"), "sql")
+
+
+@query("SELECT n_nationkey AS example_idx, n_name AS vi_noun, 't' || n_regionkey AS table_name, n_nationkey / 32 AS similarity FROM nation WHERE n_regionkey > 0")
+def s12_hints_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints by position, checked against the examples; an example may have none."""
+    path, rows = f"{files.scratch(spark)}/files/hints.json", _nations(spark, sf_dir)
+    hint = lambda r: {"vi_noun": r.n_name, "table": f"t{r.n_regionkey}", "column": None, "similarity": r.n_nationkey / 32, "table_type": "entity"}
+    files.write_json(spark, path, [{"index": r.n_nationkey, "db_id": "tpch", "question_vi": r.n_name, "hints": [hint(r)] if r.n_regionkey else []} for r in rows])
+    read = files.hints(spark, path, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("example_idx")))
+    return read.select(F.col("example_idx").cast("int"), F.explode("hints").alias("h")).select("example_idx", "h.vi_noun", F.col("h.table").alias("table_name"), "h.similarity")
+
+
+# -- encoding, with an encoder whose vectors tell the length of what it was given
+
+def _by_length(model: str):
+    return lambda texts: [[3.0, 4.0] if len(t) % 2 else [4.0, 3.0] for t in texts]
+
+
+@query("SELECT text, CASE WHEN (length(text) + 9) % 2 = 1 THEN 0.6 ELSE 0.8 END::DOUBLE AS x, CASE WHEN (length(text) + 9) % 2 = 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS y FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)")
+def h03_encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1-H3, H7: different texts with the documents' prefix, as unit vectors."""
+    e = matching.encode_texts(_table(spark, sf_dir, "conversations"), "by-length", _by_length, matching.document_prefix("by-length"), kind="document")
+    part = lambda i: F.round(F.col("embedding")[i].cast("double"), 4)
+    return e.select("text", part(0).alias("x"), part(1).alias("y"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the pairs by level, after both queries of each were parsed and compared."""
     assert parse("SELECT count(*) FROM orders", Catalog.of_folder(spark, sf_dir, TABLES).names)
