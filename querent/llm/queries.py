@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import ann, chat, line_dedup, media, mixing, packing, pii, quality, suffix_dedup
+from querent.llm import ann, chat, line_dedup, media, merkle, mixing, packing, pii, quality, suffix_dedup
 from querent.llm.common import table
 from querent.llm.ngram_join import ngram_components
 
@@ -71,8 +71,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_passage_words"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots, proofs and verification of all documents, half of them tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_quality, op3_pii, op4_packing, op5_media, op6_line_dedup, op7_ann, op8_chat, op9_mixing, op10_suffix_dedup)
+    f.__name__: f for f in (op1_ngram_join, op2_quality, op3_pii, op4_packing, op5_media, op6_line_dedup, op7_ann, op8_chat, op9_mixing, op10_suffix_dedup, op13_merkle)
 }
 
 _ORDER = "turn NULLS FIRST, name, content"
@@ -93,4 +98,28 @@ SELECT conv_id, win AS "window", part, participant, count(*) AS n_messages, coun
   string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY {_PLACE}) AS text,
   coalesce(string_agg(CASE WHEN train THEN CAST(begins AS BIGINT) || ':' || CAST(begins + length(content) + 7 AS BIGINT) END, ',' ORDER BY {_PLACE}), '') AS mask
 FROM s GROUP BY conv_id, win, part, participant""",
+    "op13_merkle": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, *, (list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) & 1) = 1 AS changed FROM documents),
+f AS (SELECT *, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+  CASE WHEN changed THEN replace(text, chr(10), '') ELSE text END AS rest FROM d),
+l AS (SELECT k, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(rest) || ':' || rest, '-')) AS fold FROM f),
+r AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS total FROM l),
+low AS (SELECT tree, 0 AS level, place, total AS left_over, leaf AS digest FROM r UNION ALL
+  SELECT tree, level + 1, place // 3, (left_over + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM low WHERE left_over > 1 GROUP BY tree, level, place // 3, left_over),
+subs AS (SELECT tree, digest AS subroot, count(*) OVER () AS total FROM low WHERE left_over = 1),
+high AS (SELECT 0 AS level, tree AS place, total AS left_over, subroot AS digest FROM subs UNION ALL
+  SELECT level + 1, place // 3, (left_over + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM high WHERE left_over > 1 GROUP BY level, place // 3, left_over),
+runs AS (SELECT a.tree, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM low a JOIN low b ON a.tree = b.tree AND a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.left_over > 1 GROUP BY a.tree, a.level, a.place),
+tops AS (SELECT a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM high a JOIN high b ON a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.left_over > 1 GROUP BY a.level, a.place),
+up AS (SELECT k, tree, 0 AS level, place, fold, '' AS proof FROM r UNION ALL
+  SELECT k, tree, up.level + 1, up.place // 3, sha256(before || fold || after), proof || before || after FROM up JOIN runs USING (tree, level, place)),
+mid AS (SELECT k, tree, max_by(fold, level) AS fold, max_by(proof, level) AS proof FROM up GROUP BY k, tree),
+over AS (SELECT k, 0 AS level, tree AS place, fold, proof FROM mid UNION ALL
+  SELECT k, over.level + 1, over.place // 3, sha256(before || fold || after), proof || before || after FROM over JOIN tops USING (level, place)),
+done AS (SELECT k, max_by(fold, level) AS folded_root, max_by(proof, level) AS proof FROM over GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM r JOIN subs USING (tree) JOIN done USING (k) CROSS JOIN (SELECT digest AS root FROM high WHERE left_over = 1)""",
 }

@@ -3,13 +3,13 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from querent.llm import quality
-from querent.llm.queries import QUERIES
+from querent.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in names if q.startswith("op")}
-    assert names["pipeline"] is corpus_pipeline.run and len(QUERIES) == 10
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in names if q.startswith("op")}
+    assert names["pipeline"] is corpus_pipeline.run and len(QUERIES) == 13
 
 
 @pytest.fixture(scope="module")
@@ -58,14 +58,13 @@ def test_pipeline_runs(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["op8_chat"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, sf, name):
     import duckdb
 
-    from querent.llm.queries import ORACLE_SQL
-
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = QUERIES[name](spark, sf)
     cur = db.execute(ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
