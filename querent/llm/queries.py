@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import ann, chat, line_dedup, media, merkle, mixing, packing, pii, quality, suffix_dedup
+from querent.llm import ann, chat, hard_negatives, line_dedup, media, merkle, mixing, packing, pii, quality, suffix_dedup
 from querent.llm.common import table
 from querent.llm.ngram_join import ngram_components
 
@@ -71,13 +71,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_passage_words"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 hardest negatives of each of the 5 positives of every hundredth vector."""
+    emb = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(emb.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots, proofs and verification of all documents, half of them tampered with."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_quality, op3_pii, op4_packing, op5_media, op6_line_dedup, op7_ann, op8_chat, op9_mixing, op10_suffix_dedup, op13_merkle)
+    f.__name__: f for f in (op1_ngram_join, op2_quality, op3_pii, op4_packing, op5_media, op6_line_dedup, op7_ann, op8_chat, op9_mixing, op10_suffix_dedup, op11_negatives, op13_merkle)
 }
 
 _ORDER = "turn NULLS FIRST, name, content"
@@ -98,6 +104,13 @@ SELECT conv_id, win AS "window", part, participant, count(*) AS n_messages, coun
   string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY {_PLACE}) AS text,
   coalesce(string_agg(CASE WHEN train THEN CAST(begins AS BIGINT) || ':' || CAST(begins + length(content) + 7 AS BIGINT) END, ',' ORDER BY {_PLACE}), '') AS mask
 FROM s GROUP BY conv_id, win, part, participant""",
+    "op11_negatives": """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
     "op13_merkle": """
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, *, (list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
     lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) & 1) = 1 AS changed FROM documents),
