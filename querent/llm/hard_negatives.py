@@ -324,6 +324,8 @@ def mine(emb: DataFrame, every: int = 100, positives: int = 5, negatives: int =
 
     # an anchor is among the rows of its own label, hence one row more
     far = cells.within(positives + 1)
+    if norm * norm >= 2.0**62:  # scores that count as the nearest long no longer fall with the distance
+        far[:] = np.inf
     found = materialize(cells.join(cells.anchors, np.zeros(len(far)), far, positives, windows=False), "negatives-positives")
 
     wide = F.col("score").cast("decimal(25,0)")
@@ -333,7 +335,7 @@ def mine(emb: DataFrame, every: int = 100, positives: int = 5, negatives: int =
     held = materialize(held, "negatives-windows")
 
     own = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x) + norm * norm
-    ring = held.select("cell", F.sqrt(F.greatest(own - 2 * F.array_min(F.col("windows.low")), F.lit(0.0))).alias("far"), F.sqrt(F.greatest(own - 2 * F.array_max(F.col("windows.high")), F.lit(0.0))).alias("near"))
+    ring = held.select("cell", F.sqrt(F.greatest(own - 2 * F.array_min(F.col("windows.low")).cast("double"), F.lit(0.0))).alias("far"), F.sqrt(F.greatest(own - 2 * F.array_max(F.col("windows.high")).cast("double"), F.lit(0.0))).alias("near"))
     near, far = np.full(len(cells.pivots), np.inf), np.full(len(cells.pivots), -np.inf)
     for r in ring.groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far")).collect():
         near[r.cell], far[r.cell] = r.near, r.far

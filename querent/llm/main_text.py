@@ -71,11 +71,12 @@ _SENTENCE = re.compile(r"[.!?…。]['\"”»)]*$")
 class Element:
     """An open or closed element, and what its place says about text below it."""
 
-    __slots__ = ("articles", "boiler", "content", "depth", "name", "parent", "unseen", "wrapper")
+    __slots__ = ("articles", "boiler", "content", "depth", "inside", "name", "parent", "region", "unseen", "wrapper")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
-        self.articles, self.wrapper = 0, False
+        self.articles, self.wrapper, self.region = int(name in ("article", "main")), False, (0.0, 0.0)
+        self.inside = bool(parent and (parent.inside or parent.name in ("article", "main")))
         self.unseen = name in UNSEEN or bool(parent and parent.unseen)
         self.boiler, self.content = 0.0, 0.0
         roles, classes, hidden = [], [], False
@@ -91,8 +92,7 @@ class Element:
         self.judge(roles, classes, hidden)
 
     def judge(self, roles: list[str], classes: list[list[str]], hidden: bool) -> None:
-        inside = self.within("article") or self.within("main")
-        if self.name in BOILER_TAGS or self.name == "header" and not inside or hidden or any(r in BOILER_ROLES for r in roles):
+        if self.name in BOILER_TAGS or self.name == "header" and not self.inside or hidden or any(r in BOILER_ROLES for r in roles):
             self.boiler = WEIGHTS["boiler_tag"]
         for words in classes:
             if words and words[0] in WITHOUT_MEANING:
@@ -110,14 +110,6 @@ class Element:
         elif self.name == "main" or "main" in roles:
             self.content = WEIGHTS["main"]
 
-    def within(self, name: str) -> bool:
-        at = self.parent
-        while at:
-            if at.name == name:
-                return True
-            at = at.parent
-        return False
-
 
 class Block:
     """Text between two block-level tags."""
@@ -128,14 +120,14 @@ class Block:
         self.text, self.links, self.parent = text, links, parent
 
 
-def blocks_of(page: str) -> tuple[list[Block], int]:
-    """Blocks in page order, and the number of article and main elements.
+def blocks_of(page: str) -> list[Block]:
+    """Blocks in page order; their elements know their regions.
 
     End tags without an open element are ignored, elements without an end tag
     end with their parent, and a paragraph ends where the next block begins.
     """
     root = Element("html", "", None)
-    at, blocks, pieces, articles = root, [], [], 0
+    at, elements, blocks, pieces = root, [root], [], []
     link, linked, last = False, 0, 0
 
     def flush() -> None:
@@ -188,31 +180,30 @@ def blocks_of(page: str) -> tuple[list[Block], int]:
             if name in ("html", "body") and at is root or name in VOID:
                 continue
             at = Element(name, m.group(4), at)
-            if name in ("article", "main"):
-                articles += 1
-                up = at
-                while up:
-                    up.articles += 1
-                    up = up.parent
+            elements.append(at)
     if last < len(page):
         add(page[last:])
     flush()
-    return blocks, articles
+    set_regions(elements)
+    return blocks
 
 
-def log_odds(block: Block, articles: int) -> float:
-    """How much likelier the block is content than boilerplate, by the classifier.
+def set_regions(elements: Sequence[Element]) -> None:
+    """Of each element, the worst and the best region that it stands in; parents come before children.
 
-    The worst region above it counts, and the best one if there is no bad one.
     A classed wrapper that holds all articles of the page is no region.
     """
-    bad = good = 0.0
-    up: Element | None = block.parent
-    while up:
-        if not (up.wrapper and articles and up.articles == articles):
-            bad = min(bad, up.boiler)
-        good = max(good, up.content)
-        up = up.parent
+    for e in reversed(elements[1:]):
+        e.parent.articles += e.articles
+    for e in elements:
+        bad, good = e.parent.region if e.parent else (0.0, 0.0)
+        lifted = e.wrapper and 0 < e.articles == elements[0].articles
+        e.region = (bad if lifted else min(bad, e.boiler), max(good, e.content))
+
+
+def log_odds(block: Block) -> float:
+    """How much likelier the block is content than boilerplate, by the classifier: its worst region counts, or else the best."""
+    bad, good = block.parent.region
     words, name, w = block.text.count(" ") + 1, block.parent.name, WEIGHTS
     z = w["bias"] + (bad or good) + w["log_words"] * math.log1p(min(words, 60)) + w["links"] * min(1.0, block.links / len(block.text))
     if name in HEADINGS:
@@ -221,10 +212,10 @@ def log_odds(block: Block, articles: int) -> float:
     return z + (w["sentence"] if _SENTENCE.search(block.text) else 0)
 
 
-def steps_between(a: Element, b: Element) -> int:
-    """Edges of the DOM between two elements."""
+def steps_between(a: Element, b: Element, most: int = 64) -> int:
+    """Edges of the DOM between two elements, ``most`` if there are more."""
     n = 0
-    while a is not b:
+    while a is not b and n < most:
         if a.depth >= b.depth:
             a, n = a.parent, n + 1
         else:
@@ -314,9 +305,8 @@ def source_side(odds: Sequence[float], edges: Sequence[tuple[int, int, float]])
 
 def main_blocks(page: str | None) -> tuple[list[str], int]:
     """The texts of content blocks in page order, and the number of all blocks."""
-    blocks, articles = blocks_of(page or "")
-    odds = [log_odds(b, articles) for b in blocks]
-    keep = source_side(odds, edges_of(blocks))
+    blocks = blocks_of(page or "")
+    keep = source_side([log_odds(b) for b in blocks], edges_of(blocks))
     return [b.text for b, k in zip(blocks, keep, strict=True) if k], len(blocks)
 
 
