@@ -32,37 +32,41 @@ class Ran:
     more: bool = False
 
 
-def run_with_deadline(spark: SparkSession, make: Callable[[], object], seconds: float, most_rows: int = MOST_ROWS, poll: float = 0.2) -> Ran:
-    """Rows of ``make()`` (a DataFrame), or the error, or a timeout.
+def under_deadline(spark: SparkSession, work: Callable[[], object], seconds: float, poll: float = 0.2) -> tuple[object, str | None, bool]:
+    """What ``work()`` returns, or the error, and whether it came too late.
 
     Jobs run in a group of their own.  After the deadline the group is cancelled
     again and again until the thread ends: a single cancel is lost when it falls
-    between two jobs.  Of more rows than ``most_rows`` none are kept, and
-    ``more`` is set.
+    between two jobs.
     """
     if seconds <= 0:
         raise ValueError("timeout_seconds must be greater than 0")
-    group, out = f"deadline-{uuid.uuid4().hex}", Ran(None, None, False)
+    group, done, errors = f"deadline-{uuid.uuid4().hex}", [], []
 
-    def work() -> None:
+    def run() -> None:
         spark.sparkContext.setJobGroup(group, "query under a deadline", interruptOnCancel=True)
         try:
-            rows = make().limit(most_rows + 1).collect()  # type: ignore[attr-defined]
-            out.more = len(rows) > most_rows
-            out.rows = None if out.more else [tuple(r) for r in rows]
+            done.append(work())
         except Exception as e:  # noqa: BLE001  any failure of the query is its result
-            out.error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+            errors.append(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
 
-    thread = threading.Thread(target=inheritable_thread_target(spark)(work), daemon=True)
+    thread, late = threading.Thread(target=inheritable_thread_target(spark)(run), daemon=True), False
     until = time.monotonic() + seconds
     thread.start()
     thread.join(seconds)
     while thread.is_alive():
-        out.timeout = True
+        late = True
         spark.sparkContext.cancelJobGroup(group)
         thread.join(poll)
-    out.timeout = out.timeout or (out.error is not None and time.monotonic() >= until and "cancel" in out.error.lower())
-    return out
+    error = errors[0] if errors else None
+    return done[0] if done else None, error, late or (error is not None and time.monotonic() >= until and "cancel" in error.lower())
+
+
+def run_with_deadline(spark: SparkSession, make: Callable[[], object], seconds: float, most_rows: int = MOST_ROWS, poll: float = 0.2) -> Ran:
+    """Rows of ``make()`` (a DataFrame), or the error, or a timeout; of more rows than ``most_rows`` none, and ``more`` is set."""
+    rows, error, late = under_deadline(spark, lambda: make().limit(most_rows + 1).collect(), seconds, poll)  # type: ignore[attr-defined]
+    more = rows is not None and len(rows) > most_rows  # type: ignore[arg-type]
+    return Ran(None if rows is None or more else [tuple(r) for r in rows], error, late, more)  # type: ignore[attr-defined]
 
 
 def result_map(rows: list[tuple], q: Query) -> dict:
@@ -84,9 +88,8 @@ def same_result(pred_rows: list[tuple], gold_rows: list[tuple], pred: Query, gol
     return rows(p) == rows(g)
 
 
-def _plain(field: T.StructField, i: int) -> Column:
+def plain_value(c: Column, kind: T.DataType) -> Column:
     """A value as text, equal for values that compare equal: 1, 1.0 and true are one."""
-    c, kind = F.col(f"c{i}"), field.dataType
     if isinstance(kind, T.BooleanType):
         c = c.cast("int")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -103,7 +106,7 @@ def digest(df: DataFrame, q: Query, ordered: bool) -> DataFrame:
     """
     at = {(v.left if v.right is None else v): i for i, (_, v) in enumerate(q.items)}
     named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    values = [_plain(df.schema[at[k]], at[k]) for k in sorted(at, key=repr)]
+    values = [plain_value(F.col(f"c{at[k]}"), df.schema[at[k]].dataType) for k in sorted(at, key=repr)]
     if ordered:
         named = named.withColumn("pid", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
         sizes = named.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions import text as X
-from querent.operators import exact, execution, matching, prompts, reports, schema, stats
+from querent.operators import batches, exact, execution, fingerprints, matching, prompts, reports, schema, stats
 from querent.plans.compiler import Catalog, compile_query
 from querent.plans.parser import is_valid, parse, tokenize
 from querent.sources import files
@@ -484,6 +484,115 @@ def s16_streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_counts(exact.score_pairs(_pairs(spark), _databases(spark, sf_dir)))
 
 
+# -- scores of pairs made from table values: each order is a pair of structures, each customer a pair of results
+
+#: Places of gold bits that a prediction changes, by o_orderkey % 7; 5 and 6 change none.
+_BITS = {"i": "o_orderkey % 4", "w": "o_custkey % 4", "g": "(o_orderkey + o_custkey) % 3", "o": "o_custkey % 3", "u": "o_orderkey % 5 % 2"}
+_SIZES = {"i": 4, "w": 4, "g": 3, "o": 3, "u": 2}
+
+
+def _bits(side: str) -> str:
+    changed = lambda k, b, n: f"CASE WHEN o_orderkey % 7 = {n} THEN ({b} + 1) % {_SIZES[k]} ELSE {b} END"
+    return ", ".join(f"CAST({b if side == 'g' else changed(k, b, n)} AS INT) AS {side}{k}" for n, (k, b) in enumerate(_BITS.items()))
+
+
+def _chosen(bit: str, *options: str) -> str:
+    return f"CASE {bit} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(options)) + " END"
+
+
+def _structure(side: str) -> str:
+    """Spark SQL for the text of one side."""
+    p, t = "CAST(o_totalprice AS STRING)", "o_orderstatus"
+    return "concat('SELECT ', " + ", ".join([
+        _chosen(f"{side}i", "'o_custkey'", "'o_custkey , o_orderstatus'", "'o_orderstatus , o_custkey'", "'count(*) , o_orderstatus'"), "' FROM orders'",
+        _chosen(f"{side}w", "''", f"concat(' WHERE o_totalprice > ', {p})", f"concat(' WHERE o_totalprice > ', {p}, ' AND o_orderstatus = \"', {t}, '\"')", f"concat(' WHERE o_orderstatus = \"', {t}, '\" OR o_totalprice < ', {p})"),
+        _chosen(f"{side}g", "''", "' GROUP BY o_orderstatus'", "concat(' GROUP BY o_orderstatus HAVING count(*) > ', CAST(o_custkey AS STRING))"),
+        _chosen(f"{side}o", "''", "' ORDER BY o_orderstatus DESC LIMIT 3'", "' ORDER BY o_orderstatus'"),
+        _chosen(f"{side}u", "''", "' UNION SELECT c_custkey FROM customer'"),
+    ]) + ")"
+
+
+def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, db_id, gold_sql, pred_sql): a pair for every order, with its values as literals."""
+    o = spark.sql(f"SELECT *, {_bits('g')}, {_bits('p')} FROM {{orders}}", orders=_table(spark, sf_dir, "orders"))
+    return o.selectExpr("o_orderkey AS id", "'tpch' AS db_id", f"{_structure('g')} AS gold_sql", f"{_structure('p')} AS pred_sql")
+
+
+def _lists(side: str) -> str:
+    """DuckDB lists of the elements of each part, from the bits."""
+    i, w, g, o, u = (f"{side}{k}" for k in "iwgou")
+    parts = {
+        "select": _chosen(i, "['c']", "['c', 's']", "['c', 's']", "['n', 's']"),
+        "select(no AGG)": _chosen(i, "['c']", "['c', 's']", "['c', 's']", "['*', 's']"),
+        "where": _chosen(w, "[]", "['p>']", "['p>', 's=']", "['p<', 's=']"),
+        "where(no OP)": _chosen(w, "[]", "['p']", "['p', 's']", "['p', 's']"),
+        "group(no Having)": _chosen(g, "[]", "['s']", "['s']"),
+        "group": _chosen(g, "[]", "['s']", "['s having']"),
+        "order": _chosen(o, "[]", "['desc limit']", "['asc']"),
+        "and/or": _chosen(w, "[]", "[]", "['and']", "['or']"),
+        "IUEN": _chosen(u, "[]", "['union']"),
+        "keywords": "list_concat(" + ", ".join([
+            _chosen(f"least({w}, 1)", "[]", "['where']"), _chosen(f"({w} = 3)::INT", "[]", "['or']"), _chosen(g, "[]", "['group']", "['group', 'having']"),
+            _chosen(o, "[]", "['order', 'desc', 'limit']", "['order', 'asc']"), _chosen(u, "[]", "['union']"),
+        ]) + ")",
+    }
+    return "[" + ", ".join(f"CAST({x} AS VARCHAR[])" for x in parts.values()) + "]"
+
+
+_STRUCTURES = f"""WITH b AS (SELECT o_orderkey AS id, {_bits('g')}, {_bits('p')} FROM orders),
+c AS (SELECT id, (gw > 0)::INT + (gg > 0)::INT + (go > 0)::INT + (go = 1)::INT + (gw = 3)::INT AS used, (gi > 0)::INT + (gw > 1)::INT AS others, gu AS nested, {_lists('g')} AS g, {_lists('p')} AS p FROM b),
+h AS (SELECT id, g, p, CASE WHEN nested = 0 AND used <= 1 AND others = 0 THEN 'easy' WHEN nested = 0 AND (used <= 1 AND others <= 2 OR used <= 2 AND others < 2) THEN 'medium'
+  WHEN nested = 0 AND (used <= 2 AND others > 2 OR used = 3 AND others <= 2) THEN 'hard' WHEN nested = 1 AND used <= 1 AND others = 0 THEN 'hard' ELSE 'extra' END AS hardness FROM c),
+e AS (SELECT id, hardness, unnest(range(1, 11)) AS k, g, p FROM h),
+s AS (SELECT id, hardness, [{', '.join(f"'{x}'" for x in exact.PARTS)}][k] AS part, list_sort(g[k]) = list_sort(p[k]) AS same, len(g[k]) AS gn, len(p[k]) AS pn FROM e)"""
+_LEVEL = "SELECT id, hardness, bool_and(same) AS exact_match FROM s GROUP BY id, hardness"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs = _structures(spark, sf_dir)
+    known = files.stored(fingerprints.statements_of(pairs, _databases(spark, sf_dir)), "structures")
+    return fingerprints.matched(pairs, known), known
+
+
+@query(f"{_STRUCTURES} {_LEVEL}")
+def e10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact match of a pair for every order, by equal fingerprints."""
+    return _scored(spark, sf_dir)[0].select("id", "hardness", "exact_match")
+
+
+@query(f"{_STRUCTURES}, m AS ({_LEVEL}), a AS (SELECT hardness, exact_match FROM m UNION ALL SELECT 'all', exact_match FROM m) SELECT hardness, count(*) AS count, round(avg(exact_match::INT), 6) AS exact_match FROM a GROUP BY hardness")
+def e16_fingerprint_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels as grouping sets."""
+    return rounded(fingerprints.level_scores(_scored(spark, sf_dir)[0]), 6)
+
+
+@query(f"""{_STRUCTURES}, t AS (SELECT hardness, part, same::INT AS score, CASE WHEN part = 'and/or' THEN CASE WHEN same THEN 1 ELSE pn END ELSE gn END AS gold, CASE WHEN part = 'and/or' THEN CASE WHEN same THEN 1 ELSE gn END ELSE pn END AS pred FROM s),
+a AS (SELECT * FROM t UNION ALL SELECT 'all', part, score, gold, pred FROM t),
+m AS (SELECT hardness, part, coalesce(avg(score) FILTER (pred > 0), 0.0) AS acc, coalesce(avg(score) FILTER (gold > 0), 0.0) AS rec FROM a GROUP BY hardness, part)
+SELECT hardness, part, round(acc, 6) AS acc, round(rec, 6) AS rec, round(CASE WHEN acc = 0 AND rec = 0 THEN 1.0 ELSE 2 * acc * rec / (acc + rec) END, 6) AS f1 FROM m""")
+def e17_fingerprint_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause scores of all levels in one aggregate."""
+    return rounded(fingerprints.partial_scores(*_scored(spark, sf_dir)), 6)
+
+
+def _executed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, db_id, gold_sql, pred_sql): a pair for every customer, of seven kinds."""
+    k, n = "CAST(c_custkey AS STRING)", "CAST(c_nationkey AS STRING)"
+    gold = _chosen("kind", f"concat('SELECT count(*) FROM orders WHERE o_custkey = ', {k})", f"concat('SELECT o_orderkey , o_totalprice FROM orders WHERE o_custkey = ', {k}, ' ORDER BY o_totalprice DESC LIMIT 3')", f"concat('SELECT o_orderstatus , count(*) FROM orders WHERE o_custkey = ', {k}, ' GROUP BY o_orderstatus')", f"concat('SELECT c_name FROM customer WHERE c_nationkey = ', {n}, ' AND c_acctbal > ', CAST(c_acctbal AS STRING))", "'SELECT count(*) FROM orders'", f"concat('SELECT o_orderkey FROM orders WHERE o_custkey = ', {k}, ' ORDER BY o_orderkey')", "concat('SELECT c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = ', CAST(c_custkey % 3 AS STRING), ')')")
+    pred = _chosen("kind", f"concat('SELECT count(*) FROM customer WHERE c_custkey = ', {k})", f"concat('SELECT o_totalprice , o_orderkey FROM orders WHERE o_custkey = ', {k}, ' ORDER BY o_totalprice LIMIT 3')", f"concat('SELECT count(*) , o_orderstatus FROM orders WHERE o_custkey = ', {k}, ' AND o_totalprice > ', CAST(c_acctbal * 10 AS STRING), ' GROUP BY o_orderstatus')", f"concat('SELECT c_name FROM customer WHERE c_acctbal > ', CAST(c_acctbal AS STRING), ' AND c_nationkey BETWEEN ', {n}, ' AND ', {n})", f"concat('SELECT missing FROM orders WHERE o_custkey = ', {k})", f"concat('SELECT o_orderkey FROM orders WHERE o_custkey = ', {k})", "concat('SELECT T1.c_name FROM customer AS T1 JOIN nation AS T2 ON T1.c_nationkey = T2.n_nationkey WHERE T2.n_regionkey = ', CAST(c_custkey % 3 AS STRING))")
+    return _table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "'tpch' AS db_id", "c_custkey % 7 AS kind", "*").selectExpr("id", "db_id", f"{gold} AS gold_sql", f"{pred} AS pred_sql")
+
+
+@query("""WITH o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey, o_totalprice)[:3] AS high, list(o_orderkey ORDER BY o_totalprice, o_orderkey)[:3] AS low, count(*) AS n, min(o_totalprice) AS least FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS id, c_custkey % 7 AS kind, coalesce(n, 0) AS n, high, low, least, c_acctbal FROM customer LEFT JOIN o ON c_custkey = o_custkey)
+SELECT id, CASE kind WHEN 0 THEN n = 1 WHEN 1 THEN n = 0 OR high = low WHEN 2 THEN n = 0 OR least > c_acctbal * 10 WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN n <= 1 ELSE true END AS exec_match, kind = 4 AS failed FROM c""")
+def x06_batch_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair for every customer; statements of a template run together, results compared as digests."""
+    catalog = Catalog.of_folder(spark, sf_dir, TABLES)
+    details = batches.evaluate_pairs(spark, _executed(spark, sf_dir), {"tpch": catalog}, {"tpch": _databases(spark, sf_dir).keys["tpch"]}, timeout_seconds=600.0)
+    return details.select("id", "exec_match", F.col("error").isNotNull().alias("failed"))
+
+
 # -- prompts and reports
 
 _SCHEMA_TEXT = "Database: concert\n\nTable: singer\n  - Singer_ID (number)\n  - Name (text)\n  - Country (text)\n\nTable: concert\n  - Concert_ID (number)\n  - Venue (text)\n\nTable: singer_in_concert\n  - Singer_ID (number)\n  - Concert_ID (number)\n\nTable: Ref_Template_Types\n  - Template_Type_ID (number)\n  - Template_Type_Description (text)\n\nForeign Keys:\n  - singer_in_concert.Singer_ID -> singer.Singer_ID\n  - singer_in_concert.Concert_ID -> concert.Concert_ID"
