@@ -91,6 +91,16 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def walked(value: str, once: str, holds: str) -> str:
+    """SQL that maps ``value`` by ``once`` (of ``w.v``), again and again until ``holds`` (of ``x``).
+
+    The map is a permutation and the start holds, so its cycle leads back to a
+    value that holds at the latest, and on those that hold this is a permutation.
+    """
+    step = _let(once, "x", f"named_struct('v', x, 'ok', {holds})")
+    return f"aggregate(sequence(1, 200), named_struct('v', {value}, 'ok', false), (w, k) -> IF(w.ok, w, {step}), w -> w.v)"
+
+
 def replacement(m: str, key: str) -> str:
     """SQL struct(kind, value) for one match; kind is null where a check fails."""
     is_ = {k: f"{m} rlike r'^(?:{p})$'" for k, p in PATTERNS.items()}
@@ -117,15 +127,20 @@ def replacement(m: str, key: str) -> str:
         moved = permuted_date(parsed, f"IF(length({part(day)}) = 1, 9, 31)", f"IF(length({part(month)}) = 1, 9, 12)", key, after)
         names = {day: "z.d", month: "z.m"}
         out += case("day_date", f"{parsed} IS NOT NULL", _let(moved, "z", f"concat_ws({sep}, {padded(names[1], f'length({part(1)})')}, {padded(names[2], f'length({part(2)})')}, {padded('z.y', 4)})"))
-    out += case("ssn", f"substr({m}, 1, 3) NOT IN ('000', '666') AND substr({m}, 1, 1) <> '9' AND substr({m}, 5, 2) <> '00' AND substr({m}, 8, 4) <> '0000'", _let(permuted(digits, key), "p", _refill(m, "p")))
+    #: Area 000, 666 and 9xx, group 00 and serial 0000 are never given out.
+    given = lambda d: f"substr({d}, 1, 3) NOT IN ('000', '666') AND substr({d}, 1, 1) <> '9' AND substr({d}, 4, 2) <> '00' AND substr({d}, 6, 4) <> '0000'"
+    out += case("ssn", given(digits), _let(walked(digits, permuted("w.v", key), given("x")), "p", _refill(m, "p")))
     #: The country code stays; the national number is permuted.
     code = f"regexp_extract({m}, r'^[+](1|7|[0-9]{{1,3}}(?=[ .(-])|[0-9]{{2}})', 1)"
     national = f"right({digits}, length({digits}) - length({code}))"
-    out += case("phone", f"length({digits}) BETWEEN 7 AND 15", _let(permuted(national, key), "p", _refill(m, f"concat(left({digits}, length({digits}) - length(p)), p)")))
+    refilled = lambda p: _refill(m, f"concat(left({digits}, length({digits}) - length({p})), {p})")
+    #: Bare numbers are found by their area code and exchange; those that have such ones keep them in any notation, so all notations of a number stay linked.
+    bare = r"rlike '^[2-9][0-9]{2}[2-9][0-9]{6}$'"
+    out += case("phone", f"length({digits}) BETWEEN 7 AND 15", _let(walked(national, permuted("w.v", key), f"(x {bare}) = ({national} {bare})"), "p", refilled("p")))
     moved = f"concat(substr({m}, 5), substr({m}, 1, 4))"
     body = _let(permuted(f"regexp_replace(substr({m}, 5), '[^0-9]', '')", key), "p", _let(_refill(f"substr({m}, 5)", "p"), "r", f"concat(substr({m}, 1, 2), lpad(98 - {_mod97(f'concat(r, substr({m}, 1, 2), "00")')}, 2, '0'), r)"))
     out += case("iban", f"length(regexp_replace(substr({m}, 5), '[^0-9]', '')) > 1 AND {_mod97(moved)} = 1", body)
-    out += case("secret", "true", f"substr(concat(sha2(concat('{key}', '|s1|', {m}), 256), sha2(concat('{key}', '|s2|', {m}), 256)), 1, least(128, length({m})))")
+    out += case("secret", "true", f"substr(array_join(transform(sequence(1, CAST(ceil(length({m}) / 64) AS INT)), i -> sha2(concat('{key}', '|s', i, '|', {m}), 256)), ''), 1, length({m}))")
     card = _let(permuted(f"substr({digits}, 1, length({digits}) - 1)", key), "p", _refill(m, f"concat(p, CAST((10 - {luhn_sum('concat(p, 0)')} % 10) % 10 AS STRING))"))
     out += case("card", f"{luhn_sum(digits)} % 10 = 0", card)
     return out + " ELSE named_struct('kind', CAST(NULL AS STRING), 'value', " + m + ") END"

@@ -186,6 +186,29 @@ def test_secrets_of_any_case(spark):
     assert out[9].text == rows[3][1]
 
 
+def test_pseudonyms_keep_the_format_that_finds_them(spark):
+    """Every pseudonym is found again, as the same kind, and different values have different ones."""
+    rng = random.Random(7)
+    ssn = sorted({f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(600)})
+    bare = sorted({f"{rng.randint(2, 9)}{rng.randrange(100):02d}{rng.randint(2, 9)}{rng.randrange(10**6):06d}" for _ in range(300)})
+    phone = [*bare, *(f"({b[:3]}) {b[3:6]}-{b[6:]}" for b in bare), *(f"+1 {b[:3]} {b[3:6]} {b[6:]}" for b in bare), *(f"{b[:3]}.{b[3:6]}.{b[6:]}" for b in bare), *(f"{rng.randrange(2):01d}{b[1:3]}-{b[3:6]}-{b[6:]}" for b in bare[:100])]
+    secret = ["".join(rng.choice("abcdef0123456789") for _ in range(n)) + "a1" for n in (40, 126, 127, 128, 198, 700)]
+    given = [(v, k) for k, vs in (("ssn", ssn), ("phone", phone), ("secret", secret)) for v in vs]
+    df = spark.createDataFrame([(i, f"see {v} now") for i, (v, _) in enumerate(given)], "doc_id long, text string")
+    once = pii.pseudonymize(df, "key1").select("doc_id", "text", "pii").cache()
+    again = {r.doc_id: r.pii for r in pii.pseudonymize(once.select("doc_id", "text"), "key2").collect()}
+    out = {}
+    for r in once.collect():
+        v, kind = given[r.doc_id]
+        assert [p.kind for p in r.pii] == [p.kind for p in again[r.doc_id]] == [kind], (v, r.text)
+        own = r.pii[0].value
+        assert re.sub("[A-Za-z0-9]", "x", own) == re.sub("[A-Za-z0-9]", "x", v) and own != v
+        out[v] = own
+    assert len(set(out.values())) == len(out)
+    last = lambda x: re.sub(r"\D", "", x)[-10:]
+    assert all(len({last(out[p]) for p in phone[: 4 * len(bare)] if last(p) == b}) == 1 for b in bare)
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (2, 3):
         df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("x"))
