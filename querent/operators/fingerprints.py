@@ -154,11 +154,3 @@ def partial_scores(details: DataFrame, known: DataFrame) -> DataFrame:
         """,
         each=each,
     )
-
-
-def level_scores(details: DataFrame) -> DataFrame:
-    """(hardness, count, exact_match) of each level that occurs, and of all."""
-    return details.sparkSession.sql(
-        "SELECT coalesce(hardness, 'all') AS hardness, count(*) AS count, coalesce(avg(CAST(exact_match AS DOUBLE)), 0.0D) AS exact_match FROM {details} GROUP BY GROUPING SETS ((hardness), ())",
-        details=details,
-    )

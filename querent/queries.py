@@ -562,8 +562,8 @@ def e10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_STRUCTURES}, m AS ({_LEVEL}), a AS (SELECT hardness, exact_match FROM m UNION ALL SELECT 'all', exact_match FROM m) SELECT hardness, count(*) AS count, round(avg(exact_match::INT), 6) AS exact_match FROM a GROUP BY hardness")
 def e16_fingerprint_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels as grouping sets."""
-    return rounded(fingerprints.level_scores(_scored(spark, sf_dir)[0]), 6)
+    """Counts and means by level and of all, of a pair for every order."""
+    return rounded(exact.level_scores(_scored(spark, sf_dir)[0]), 6)
 
 
 @query(f"""{_STRUCTURES}, t AS (SELECT hardness, part, same::INT AS score, CASE WHEN part = 'and/or' THEN CASE WHEN same THEN 1 ELSE pn END ELSE gn END AS gold, CASE WHEN part = 'and/or' THEN CASE WHEN same THEN 1 ELSE gn END ELSE pn END AS pred FROM s),

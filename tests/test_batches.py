@@ -152,7 +152,7 @@ def test_scores_equal_pairwise_ones(spark, dbs):
     assert short(details) == short(want)
     near = lambda rows: {(r.hardness, r.part): tuple(round(v, 9) for v in (r.acc, r.rec, r.f1)) for r in rows.collect()}
     assert near(fingerprints.partial_scores(details, known)) == near(exact.partial_level_scores(want))
-    assert {tuple(r) for r in fingerprints.level_scores(details).collect()} == {tuple(r) for r in exact.level_scores(want).collect()}
+    assert {tuple(r) for r in exact.level_scores(details).collect()} == {tuple(r) for r in exact.level_scores(want).collect()}
 
 
 def test_gold_that_does_not_parse_is_raised(spark, dbs):
@@ -166,4 +166,4 @@ def test_no_pairs(spark, dbs):
     known = fingerprints.statements_of(df, dbs)
     details = fingerprints.matched(df, known)
     assert details.collect() == [] and fingerprints.partial_scores(details, known).collect() == []
-    assert [tuple(r) for r in fingerprints.level_scores(details).collect()] == [("all", 0, 0.0)]
+    assert [tuple(r) for r in exact.level_scores(details).collect()] == [("all", 0, 0.0)]
