@@ -5,13 +5,19 @@ that hold a digit generalised to ``<*>``; that path is its leaf.  In a leaf the
 line that most documents have becomes the template; lines that agree with it in
 at least ``similar`` of their tokens belong to it, and so on with the rest, until
 what is left of a leaf is in too few documents to recur.  A round settles the
-commonest lines of every leaf at once, in that order.
+commonest lines of every leaf at once, in that order.  Leaves that stay large are
+settled by keys that similar lines share instead (``settle_large``), in rounds
+that grow with the logarithm of their lines.
 A template found in ``min_docs`` documents or more recurs: its lines are dropped
 from all documents but the first that has it (``keep_first``) or from all.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +40,70 @@ def masked(line: Column) -> Column:
     return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, _VARIABLE, "<*>")).otherwise(flat)
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similar: float = 0.7, keep_first: bool = True, most_broadcast: int = 1_000_000, salts: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_masks(n: int, depth: int, similar: float, exact: int = 500, loose: int = 64) -> tuple[int, list[int]]:
+    """Bands of the ``n - depth`` tokens below a leaf, and the sets of bands (as bits) that make keys.
+
+    Similar lines differ in ``d`` tokens at most, hence in ``d`` bands, so they
+    agree in one of the sets that leave ``d`` bands out.  Where bands can be
+    single tokens (up to ``exact`` sets) lines with a common key are similar;
+    else there are as many bands as ``loose`` sets allow, and ``d + 1`` at least.
+    """
+    rest = max(0, n - depth)
+    off = n - ceil(Fraction(repr(similar)) * n)
+    if rest <= off:
+        return 1, [0]
+    bands = rest
+    if rest > 62 or comb(rest, off) > exact:
+        bands = max((b for b in range(off + 1, min(rest, 62) + 1) if comb(b, off) <= loose), default=off + 1)
+    if bands > 62:  # one band of off + 1; -1 - i stands for band i alone, as a long has no bit for it
+        return bands, [-1 - i for i in range(bands)]
+    return bands, [sum(1 << i for i in chosen) for chosen in combinations(range(bands), bands - off)]
+
+
+def settle_large(left: DataFrame, depth: int, similar: float, same: str, made: list[DataFrame]) -> DataFrame:
+    """(leaf, h, template) of all lines (leaf, h, m, docs) of leaves with many unlike lines.
+
+    Lines get keys of ``key_masks``.  A line that comes first, in its leaf's
+    order, in all of its keys has no earlier line like it: it is a template.
+    Lines like a template leave with it, and the rest go on.  At the end each
+    line goes to the first template like it.  Only lines with a common key are
+    compared, and only with templates, so no pairs of a group are made.
+    """
+    spark = left.sparkSession
+    rows = left.withColumn("w", F.split("m", " ")).withColumn("n", F.size(F.split("m", " ")).cast("int")).withColumn("o", F.struct((-F.col("docs")).alias("docs"), F.bitwise_not("h").alias("h")))
+    lengths = [r.n for r in rows.select("n").distinct().collect()]
+    masks = spark.createDataFrame([(n, *key_masks(n, depth, similar)) for n in lengths], "n int, bands int, masks array<long>")
+    bands = f"transform(sequence(0, bands - 1), i -> array_join(slice(w, {depth} + 1 + CAST(i * greatest(0, n - {depth}) div bands AS INT), CAST((i + 1) * greatest(0, n - {depth}) div bands - i * greatest(0, n - {depth}) div bands AS INT)), ' '))"
+    own = "filter(b, (x, i) -> IF(mask < 0, -1 - mask = i, shiftright(mask, i) & 1 = 1))"
+    banded = rows.join(F.broadcast(masks), "n").withColumn("b", F.expr(bands))
+    keys = materialize(banded.select("leaf", "h", "o", "b", F.explode("masks").alias("mask")).select("leaf", "h", "o", F.expr(f"xxhash64(leaf, mask, {own})").alias("key")), "keys")
+    texts = materialize(rows.select("leaf", "h", "o", "w"), "key-texts")
+    made += [keys, texts]
+
+    def alike(lines: DataFrame, heads: DataFrame) -> DataFrame:
+        """(leaf, h, head, o of head) of keyed lines that are like a keyed template before them."""
+        x, y = lines.select("leaf", "h", "o", "key"), heads.select("key", F.col("leaf").alias("_leaf"), F.col("h").alias("head"), F.col("o").alias("head_o"))
+        met = x.join(y, "key").filter("leaf = _leaf AND head_o < o").groupBy("leaf", "h", "head").agg(F.first("head_o").alias("head_o"))
+        met = met.join(texts.select("leaf", "h", F.col("w").alias("x")), ["leaf", "h"]).join(texts.select("leaf", F.col("h").alias("head"), F.col("w").alias("y")), ["leaf", "head"])
+        return met.filter(same.replace("x.w", "x").replace("y.w", "y")).select("leaf", "h", "head", "head_o")
+
+    open_keys, templates = keys, None
+    while not open_keys.isEmpty():
+        first = open_keys.groupBy("key").agg(F.min("o").alias("first"))
+        heads = open_keys.join(first, "key").groupBy("leaf", "h").agg(F.bool_and(F.col("o") == F.col("first")).alias("ok")).filter("ok").select("leaf", "h")
+        heads = materialize(open_keys.join(heads, ["leaf", "h"], "left_semi"), "key-heads")
+        #: A key meets one template at most in a round.
+        done = alike(open_keys, heads).select("leaf", "h").union(heads.select("leaf", "h")).distinct()
+        open_keys = materialize(open_keys.join(done, ["leaf", "h"], "left_anti"), "key-open")
+        made += [heads, open_keys]
+        templates = heads if templates is None else templates.union(heads)
+    if templates is None:
+        return left.select("leaf", "h", F.col("h").alias("template")).limit(0)
+    found = alike(keys, templates).groupBy("leaf", "h").agg(F.min_by("head", "head_o").alias("template"))
+    return found.union(templates.select("leaf", "h", F.col("h").alias("template")).distinct())
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similar: float = 0.7, keep_first: bool = True, most_broadcast: int = 1_000_000, salts: int = 32, most_lines: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without lines of recurring templates.
 
     All rows and columns stay; ``n_lines_dropped`` is added (it replaces a
@@ -46,7 +115,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int =
     text all of whose lines go becomes empty.  An empty table gives an empty one.
     ``salts`` is into how many parts the lines of a template are dealt;
     ``most_broadcast`` leaves at most are sent to all tasks, more are joined by
-    a shuffle, with the same result.
+    a shuffle, with the same result.  Leaves of over ``most_lines`` lines after
+    the first round are settled by keys, also with the same result.
     """
     #: Told apart by id and hash, so only texts of one id could be confused.
     row_key = F.xxhash64(F.col(f"`{text_col}`"))
@@ -81,7 +151,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, min_tokens: int =
         assigned = assigned.union(tried.filter("template IS NOT NULL").select("leaf", "h", "template"))
         left = tried.filter("template IS NULL").select("leaf", "h", "m", "docs")
         #: Lines in fewer documents than a template needs cannot recur, whatever they share.
-        live = left.groupBy("leaf").agg(F.sum("docs").alias("total")).filter(F.col("total") >= min_docs)
+        live = materialize(left.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds")).filter(F.col("total") >= min_docs), "live")
+        made.append(live)
+        if not live.filter(F.col("kinds") > most_lines).isEmpty():
+            large = left.join(live.filter(F.col("kinds") > most_lines).select("leaf"), "leaf", "left_semi")
+            assigned = assigned.union(settle_large(large, depth, similar, same, made))
+            live = live.filter(F.col("kinds") <= most_lines)
         left, lines = left.join(live.select("leaf"), "leaf", "left_semi"), 256
     alone = counts.join(leaves.filter("kinds = 1"), "leaf", "left_semi").select("leaf", "h", F.col("h").alias("template"))
     assigned = materialize(assigned.union(alone), "templates")

@@ -46,6 +46,7 @@ def brute_lines(spark, rows, min_docs, min_tokens, depth, similar):
 
 
 def same_as_brute(spark, rows, **params):
+    """The lines that go by hand, after checking that the operator drops just these."""
     df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, at int")
     out = {r["at"]: r for r in line_dedup.drop_recurring_lines(df, **params).collect()}
     gone = brute_lines(spark, rows, params.get("min_docs", 10), params.get("min_tokens", 3), params.get("depth", 3), params.get("similar", 0.7))
@@ -93,6 +94,50 @@ def test_four_templates_in_a_leaf_equal_brute_force(spark):
     assert len(gone) > 40
 
 
+@pytest.mark.parametrize(("n", "similar", "words"), [(8, 0.7, 3), (5, 0.7, 6), (10, 0.6, 2), (4, 0.7, 9), (24, 0.7, 2), (9, 1.0, 2), (70, 0.2, 2)])
+def test_large_leaves_equal_brute_force(spark, n, similar, words):
+    """After one round a leaf of over 70 lines is settled by keys, exact ones, banded ones and single bands; small ones beside it are not."""
+    rng = random.Random(n)
+    some = [f"w{c}" for c in "abcdefghijk"[:words]]
+    rows = []
+    for i in range(400):
+        line = " ".join(["see", "all", "of", *(rng.choice(some) if rng.random() < 0.9 else "".join(rng.choice("pqrstuv") for _ in range(9)) for _ in range(n - 3))])
+        rows.append((i, "\n".join([line] * rng.randint(1, 2) + [f"but here and {rng.choice(some)} {rng.choice(some)}"])))
+    rows += [(rng.randrange(400), rows[rng.randrange(100)][1]) for _ in range(100)]
+    same_as_brute(spark, rows, min_docs=4, similar=similar, most_lines=0)
+
+
+@pytest.mark.parametrize(("n", "similar"), [(3, 0.7), (4, 0.7), (7, 0.7), (12, 0.7), (20, 0.7), (80, 0.99), (90, 1.0), (300, 0.7), (64, 0.5)])
+def test_similar_lines_share_a_key(n, similar):
+    rng, depth = random.Random(n), 3
+    bands, masks = line_dedup.key_masks(n, depth, similar)
+    rest = max(0, n - depth)
+    assert len(set(masks)) == len(masks) and (len(masks) <= 500 or bands > 62)
+    cut = lambda w: [tuple(w[i * rest // bands : (i + 1) * rest // bands]) for i in range(bands)]
+    keys = lambda w: {(m, tuple(b for i, b in enumerate(cut(w)) if (i == -1 - m if m < 0 else m >> i & 1))) for m in masks}
+    for _ in range(30):
+        x = [rng.randrange(5) for _ in range(rest)]
+        off = [i for i in range(rest) if rng.random() < 2]
+        rng.shuffle(off)
+        y = list(x)
+        for i in off[: next(k for k in range(n, -1, -1) if n - k >= similar * n)]:
+            y[i] = 9
+        assert keys(x) & keys(y)
+
+
+def test_many_unlike_lines_of_one_leaf(spark, monkeypatch):
+    """20,000 lines that share little: the rounds grow with the logarithm, not with the lines."""
+    rng, kinds = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    lines = [f"Please contact the {word()} {word()} {rng.choice(['here', 'there'])} {word()} {word()}" for _ in range(20_000)]
+    lines += [f"Please contact the {word()} office for more details" for _ in range(12)]
+    write = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *a: (kinds.append(name), write(df, name, *a))[1])
+    out = [r.n_lines_dropped for r in line_dedup.drop_recurring_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert sum(out[:20_000]) == 0 and sum(out[20_000:]) == 11
+    assert kinds.count("key-heads") <= 12 and kinds.count("tried") == 1
+
+
 def test_lines_of_clashing_columns_and_long_texts(spark):
     long = "\n".join(f"line of its own {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]} with words" for i in range(20_000))
     rows = [(i, long + "\n" + "the very same line here" if i < 6 else "the very same line here", 1, 2, 3, 4) for i in range(12)]
