@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.operators.schema import priority
@@ -77,38 +77,132 @@ def encode_texts(texts: DataFrame, model: str, load: Callable[[str], Callable],
 # -- matching
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in double precision, on the JVM."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def best_tables(nouns: DataFrame, tables: DataFrame, threshold: float = 0.4, most_broadcast: int = 50_000) -> DataFrame:
+class TargetBlock:
+    """The targets of one part, by falling bound on what they can score: the longest weighted vectors first."""
+
+    def __init__(self, rows: pa.RecordBatch, width: int, chunk: int = 256):
+        self.idx, weight = (rows.column(i).to_numpy() for i in (4, 5))
+        vectors = matrix_of(rows.column(6), width)
+        bound = np.sqrt((vectors**2).sum(axis=1)) * np.abs(weight)
+        order = np.lexsort((self.idx, -bound))
+        self.idx, self.weight, self.vectors, self.chunk = self.idx[order], weight[order], vectors[order], chunk
+        self.bound, self.chunks_seen = bound[order], 0
+
+    def best(self, nouns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(target_idx, score) of each noun's best target; below the threshold -1, as no more is asked.
+
+        Chunks go on only for nouns that the next one could still reach.  Scores
+        that a matrix product leaves within rounding of the best are summed
+        again, each in the same order, so that equal targets tie and the first wins.
+        """
+        length = np.sqrt((nouns**2).sum(axis=1))
+        top, at = np.full(len(nouns), threshold), np.full(len(nouns), -1, np.int64)
+        for start in range(0, len(self.idx), self.chunk):
+            live = np.flatnonzero(length * self.bound[start] * (1 + 1e-9) + 1e-12 >= top)
+            if not len(live):
+                break
+            self.chunks_seen += 1
+            part = slice(start, start + self.chunk)
+            product = nouns[live] @ self.vectors[part].T * self.weight[part]
+            near = product >= (np.maximum(product.max(axis=1), top[live]) - 1e-9 * (1 + length[live]))[:, None]
+            row, col = np.nonzero(near)
+            exact, idx = (nouns[live][row] * self.vectors[part][col]).sum(axis=1) * self.weight[part][col], self.idx[part][col]
+            order = np.lexsort((idx, -exact, row))
+            first = order[np.unique(row[order], return_index=True)[1]]
+            own, score, found = live[row[first]], exact[first], idx[first]
+            better = (score > top[own]) | (score == top[own]) & ((at[own] < 0) | (found < at[own]))
+            top[own[better]], at[own[better]] = score[better], found[better]
+        return at, top
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """A list column of vectors of one length as doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) != len(column) * width or (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError(f"vectors of other lengths than {width}")
+    return flat.reshape(len(column), width)
+
+
+def _top_one(batches: Iterator[pa.RecordBatch], threshold: float, keys: int) -> Iterator[pa.RecordBatch]:
+    """Parts in order, the targets (kind 0) of each before its nouns (kind 1): (keys..., target_idx, s) of nouns that reach the threshold.
+
+    Columns: db_id, block, slice, kind, target_idx, weight, embedding, keys.
+    """
+    now, held, block = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        cuts = [0, *(i for i in range(1, len(part)) if part[i] != part[i - 1]), len(part)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if part[start][:3] != now:
+                now, held, block = part[start][:3], [], None
+            if part[start][3] == 0:
+                held.append(batch.slice(start, end - start))
+                continue
+            if not held:
+                continue
+            if block is None:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                block = TargetBlock(rows, len(rows.column(6)[0]))
+            for at in range(start, end, 4096):
+                nouns = batch.slice(at, min(4096, end - at))
+                idx, s = block.best(matrix_of(nouns.column(6), block.vectors.shape[1]), threshold)
+                hit = pa.array(np.flatnonzero(idx >= 0))
+                yield pa.RecordBatch.from_arrays([nouns.column(0).take(hit), *(nouns.column(7 + k).take(hit) for k in range(keys)), pa.array(idx).take(hit), pa.array(s).take(hit)], names=["db_id", *(f"k{k}" for k in range(keys)), "target_idx", "s"])
+
+
+def top_one(nouns: DataFrame, targets: DataFrame, keys: list[str], threshold: float, block: int = 4096, slice_rows: int = 65_536) -> DataFrame:
+    """(db_id, keys..., target_idx, s): for each noun the target of its database with the largest weighted inner product.
+
+    nouns(db_id, keys..., embedding), targets(db_id, target_idx, weight,
+    embedding); ``target_idx`` is not negative and tells the targets of a
+    database apart, ties go to the smallest.  Only products of ``threshold`` or
+    more are given.  Targets of a database are cut into blocks and its nouns
+    into slices, so neither a large schema nor a database with most of the
+    nouns meets in one task; a task multiplies batches of nouns with a block and
+    stops where no longer target could change a result.  Nouns and targets
+    without a vector take no part.
+    """
+    x, t = nouns.filter("embedding IS NOT NULL AND db_id IS NOT NULL"), targets.filter("embedding IS NOT NULL")
+    cut = lambda df, most, name: df.groupBy("db_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    sizes = cut(x, slice_rows, "slices").join(cut(t, block, "blocks"), "db_id")
+    whole = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    none = [F.lit(None).cast(x.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)]
+    heads = t.join(sizes, "db_id").withColumn("block", F.pmod(F.xxhash64("target_idx"), "blocks").cast("int")).withColumn("slice", F.explode(whole("slices")))
+    heads = heads.select("db_id", "block", "slice", F.lit(0).alias("kind"), F.col("target_idx").cast("long"), F.col("weight").cast("double"), F.col("embedding").cast("array<double>"), *none)
+    rows = x.join(sizes, "db_id").withColumn("slice", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), "slices").cast("int")).withColumn("block", F.explode(whole("blocks")))
+    rows = rows.select("db_id", "block", "slice", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("target_idx"), F.lit(None).cast("double").alias("weight"), F.col("embedding").cast("array<double>"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    both = heads.union(rows).repartition("db_id", "block", "slice").sortWithinPartitions("db_id", "block", "slice", "kind")
+    shape = ", ".join(["db_id string", *(f"k{i} {x.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)), "target_idx long", "s double"])
+    found = both.withColumn("db_id", F.col("db_id").cast("string")).mapInArrow(partial(_top_one, threshold=threshold, keys=len(keys)), shape)
+    best = found.groupBy("db_id", *(f"k{i}" for i in range(len(keys)))).agg(F.max_by(F.struct("target_idx", "s"), F.struct("s", -F.col("target_idx"))).alias("b"))
+    return best.select("db_id", *(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "b.target_idx", "b.s")
+
+
+def best_tables(nouns: DataFrame, tables: DataFrame, threshold: float = 0.4, block: int = 4096) -> DataFrame:
     """(noun_pos, vi_noun, table, similarity): each noun's nearest table.
 
-    nouns(noun_pos, vi_noun, embedding), tables(target_idx, table, embedding);
-    the table side is the smaller one; it is sent to all tasks in parts of about
-    ``most_broadcast`` rows.  Ties go to the first table.
+    nouns(noun_pos, vi_noun, embedding), tables(target_idx, table, embedding).
+    Ties go to the first table.
     """
-    left, right = nouns.select("noun_pos", "vi_noun", F.col("embedding").alias("e")), tables.select("target_idx", "table", F.col("embedding").alias("t"))
-    parts = max(1, -(-right.count() // most_broadcast))
-    share = lambda i: right if parts == 1 else right.filter(F.pmod(F.xxhash64("target_idx"), F.lit(parts)) == i)
-    scored = [left.crossJoin(F.broadcast(share(i))).select("noun_pos", "vi_noun", "table", "target_idx", dot(F.col("e"), F.col("t")).alias("s")) for i in range(parts)]
-    best = reduce(DataFrame.union, scored).groupBy("noun_pos", "vi_noun").agg(F.expr("max_by(struct(table, s), struct(s, -target_idx))").alias("b"))
-    return best.filter(F.col("b.s") >= threshold).select("noun_pos", "vi_noun", "b.table", F.round("b.s", 4).alias("similarity"))
+    one = lambda df, *cols: df.select(F.lit("").alias("db_id"), *cols, "embedding")
+    best = top_one(one(nouns, "noun_pos", "vi_noun"), one(tables, "target_idx", F.lit(1.0).alias("weight")), ["noun_pos", "vi_noun"], threshold, block)
+    named = tables.select("target_idx", "table")
+    return best.join(named, "target_idx").select("noun_pos", "vi_noun", "table", F.round("s", 4).alias("similarity"))
 
 
 def best_targets(nouns: DataFrame, targets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Each noun's best target by similarity times table priority.
 
     nouns(example_idx, db_id, noun_pos, vi_noun, embedding) and
-    targets(db_id, target_idx, table, column, table_type, embedding).  The
-    arg-max is an aggregate, combined before the shuffle; ties go to the first
-    target; the threshold tests the unrounded value.
+    targets(db_id, target_idx, table, column, table_type, embedding).  Ties go
+    to the first target; the threshold tests the unrounded value.
     """
-    pairs = nouns.select("example_idx", "db_id", "noun_pos", "vi_noun", F.col("embedding").alias("e")).join(targets.select("db_id", "target_idx", "table", "column", "table_type", F.col("embedding").alias("t")), "db_id")
-    pairs = pairs.withColumn("s", dot(F.col("e"), F.col("t")) * priority(F.col("table_type")))
-    best = pairs.groupBy("example_idx", "noun_pos", "vi_noun").agg(F.expr("max_by(struct(table, column, table_type, s), struct(s, -target_idx))").alias("b"))
-    return best.filter(F.col("b.s") >= threshold).select("example_idx", "noun_pos", "vi_noun", "b.table", "b.column", F.round("b.s", 4).alias("similarity"), "b.table_type")
+    weighted = targets.select("db_id", "target_idx", priority(F.col("table_type")).alias("weight"), "embedding")
+    best = top_one(nouns.select("db_id", "example_idx", "noun_pos", "vi_noun", "embedding"), weighted, ["example_idx", "noun_pos", "vi_noun"], threshold)
+    named = targets.select("db_id", "target_idx", "table", "column", "table_type")
+    return best.join(named, ["db_id", "target_idx"]).select("example_idx", "noun_pos", "vi_noun", "table", "column", F.round("s", 4).alias("similarity"), "table_type")
 
 
 def ranked_matches(matches: DataFrame) -> DataFrame:

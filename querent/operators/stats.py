@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Edges of the similarity histogram, and the counters of the noun filter.
@@ -11,16 +13,27 @@ FILTER_KEYS = ("total_nouns_before_filter", "english_nouns_removed", "vietnamese
 TABLE_TYPES = ("entity", "reference", "junction")
 
 
-def hint_counts(hints: DataFrame) -> DataFrame:
-    """One row: totals, and mean and largest number of hints an example."""
-    n = F.size("hints")
-    return hints.agg(
+def _count_columns(n: Column) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_examples"),
         F.count_if(n > 0).alias("examples_with_hints"),
         F.count_if(n <= 0).alias("examples_without_hints"),
         F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_hints_per_example"),
         F.coalesce(F.max(n), F.lit(0)).alias("max_hints_in_one_example"),
-    )
+    ]
+
+
+def hint_counts(hints: DataFrame) -> DataFrame:
+    """One row: totals, and mean and largest number of hints an example."""
+    return hints.agg(*_count_columns(F.size("hints")))
+
+
+def _bin(v: Column, bins: tuple[float, ...]) -> Column:
+    """The half-open bin of a value, the last one closed; null outside the edges."""
+    place = F
+    for i, (lo, hi) in enumerate(zip(bins, bins[1:], strict=False)):
+        place = place.when((v >= lo) & ((v <= hi) if i == len(bins) - 2 else (v < hi)), i)
+    return place  # type: ignore[return-value]
 
 
 def histogram(values: DataFrame, column: str, bins: tuple[float, ...] = BINS) -> DataFrame:
@@ -28,10 +41,7 @@ def histogram(values: DataFrame, column: str, bins: tuple[float, ...] = BINS) ->
 
     Values outside the edges are in no bin.
     """
-    v, place = F.col(column), F
-    for i, (lo, hi) in enumerate(zip(bins, bins[1:], strict=False)):
-        place = place.when((v >= lo) & ((v <= hi) if i == len(bins) - 2 else (v < hi)), i)
-    counts = values.select(place.alias("bin")).filter("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = values.select(_bin(F.col(column), bins).alias("bin")).filter("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     edges = values.sparkSession.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip(bins, bins[1:], strict=False))], "bin int, lower double, upper double")
     return edges.join(counts, "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -91,3 +101,44 @@ def augment_stats(hints: DataFrame, model: str, threshold: float, counted: DataF
     for part in (bins, top, one(kept.crossJoin(terms), "filter_stats"), types, one(match_levels(hints), "match_level")):
         out = out.crossJoin(part)
     return out
+
+
+def records_at(hints: DataFrame, model: str, thresholds: list[float], counted: DataFrame | None = None, stopwords: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """One row of ``augment_stats`` for each threshold, from one pass over the hints of the lowest.
+
+    A hint's level is how many thresholds its similarity reaches.  Everything is
+    counted once by level; sums over the levels from a threshold on are its
+    record, and sums below it are its unmatched nouns.  ``hints`` are as
+    ``augment_stats`` takes them.
+    """
+    spark, levels = hints.sparkSession, sorted({float(t) for t in thresholds})
+    steps = spark.createDataFrame([(i, t) for i, t in enumerate(levels, 1)], "i int, threshold double")
+    level = lambda s: reduce(lambda a, b: a + b, (F.when(s >= t, 1).otherwise(0) for t in levels))
+
+    reach = lambda t: lambda h: h["similarity"] >= t
+    sizes = F.array(*(F.size(F.filter("hints", reach(t))) for t in levels))
+    counts = hints.select(F.posexplode(sizes).alias("p", "n")).groupBy((F.col("p") + 1).alias("i")).agg(*_count_columns(F.col("n")))
+    counts = steps.join(counts, "i", "left").select("i", F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("total_examples", "examples_with_hints", "examples_without_hints", "avg_hints_per_example", "max_hints_in_one_example"))).alias("counts"))
+
+    each = hints.select(F.explode("hints").alias("h"))
+    facts = each.select(level(F.col("h.similarity")).alias("level"), _bin(F.col("h.similarity"), BINS).alias("bin"), F.coalesce("h.table_type", F.lit("unknown")).alias("kind"), (F.coalesce("h.column", F.lit("")) != "").alias("named"))
+    facts = facts.groupBy("level", "bin", "kind", "named").agg(F.count(F.lit(1)).alias("n"))
+    at = steps.join(facts, F.col("level") >= F.col("i"), "left")
+    in_bin = [F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)) for b in range(len(BINS) - 1)]
+    sums = at.groupBy("i").agg(F.struct(F.array(*map(F.lit, BINS)).alias("bins"), F.array(*in_bin).alias("counts")).alias("similarity_distribution"), F.struct(*(F.coalesce(F.sum(F.when(F.col("named") == named, F.col("n"))), F.lit(0)).alias(name) for name, named in (("table_level", False), ("column_level", True)))).alias("match_level"))
+    kinds = at.filter("kind IS NOT NULL").select("i", "kind", "n").union(steps.select("i", F.explode(F.array(*map(F.lit, TABLE_TYPES))), F.lit(0).cast("long"))).groupBy("i", "kind").agg(F.sum("n").alias("n"))
+    kinds = kinds.groupBy("i").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("table_type_distribution"))
+
+    nouns = hints.select("example_idx", F.posexplode("candidates").alias("pos", "noun"), F.col("hints").alias("own"))
+    reached = F.coalesce(F.array_max(F.transform(F.filter("own", lambda h: h["vi_noun"] == F.col("noun")), lambda h: h["similarity"])), F.lit(float("-inf")))
+    by = nouns.select("example_idx", "pos", "noun", level(reached).alias("level")).groupBy("noun", "level").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("example_idx", "pos")).alias("first"))
+    lost = steps.join(by, F.col("level") < F.col("i")).groupBy("i", "noun").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"))
+    lost = lost.withColumn("r", F.expr("row_number() OVER (PARTITION BY i ORDER BY occurrences DESC, first)")).filter(F.col("r") <= most)
+    lost = lost.groupBy("i").agg(F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("k"), "noun", "occurrences"))).alias("x")).select("i", F.transform("x", lambda e: F.struct(e["noun"].alias("noun"), e["occurrences"].alias("occurrences"))).alias("top_unmatched_nouns"))
+
+    none = spark.createDataFrame([], "term string, n long") if stopwords is None else stopwords
+    terms = none.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "n")))).alias("top_removed_stopwords"))
+    kept = filter_stats(counted, hints).crossJoin(terms).select(F.struct("*").alias("filter_stats"))
+    out = steps.join(counts, "i").join(sums, "i").join(kinds, "i").join(lost, "i", "left").crossJoin(kept)
+    empty = F.array().cast("array<struct<noun: string, occurrences: bigint>>")
+    return out.select(F.struct(F.lit(model).alias("model"), "threshold").alias("config"), "counts", "similarity_distribution", F.coalesce("top_unmatched_nouns", empty).alias("top_unmatched_nouns"), "filter_stats", "table_type_distribution", "match_level")

@@ -181,3 +181,61 @@ def test_files(spark, tmp_path):
     files.save_results(spark, str(tmp_path / "r.json"), {"all": {"count": 1, "exact_match": 1.0}, "easy": {"count": 1, "exact_match": 1.0}}, {}, [])
     assert files.read_json(spark, str(tmp_path / "r.json"))["by_difficulty"]["easy"]["count"] == 1
     assert files.head(spark.createDataFrame([(0,), (1,), (2,)], "idx long"), 2).count() == 2
+
+
+def brute_top(nouns, targets, threshold):
+    """By hand, in double precision: (key, target) with the smallest target of the largest weighted product."""
+    out = {}
+    for db, key, x in nouns:
+        scored = [(float((np.array(x) * np.array(v)).sum() * w), -t) for d, t, w, v in targets if d == db and v is not None and x is not None]
+        if scored and max(scored)[0] >= threshold:
+            out[db, key] = -max(scored)[1], max(scored)[0]
+    return out
+
+
+@pytest.mark.parametrize(("block", "slice_rows"), [(4096, 65_536), (7, 11), (1, 1000)])
+def test_top_one_equals_brute_force(spark, block, slice_rows):
+    """Ties, weights, a database with most of the nouns, negative products, and rows without a vector."""
+    rng = np.random.default_rng(block)
+    some = [rng.integers(-3, 4, 4).astype(float).tolist() for _ in range(12)]
+    targets = [(f"d{i % 3}", i, float(rng.choice([1.0, 0.7, 0.6])), some[rng.integers(12)]) for i in range(60)] + [("d0", 99, 1.0, None), ("x", 0, 1.0, [1.0, 1, 1, 1])]
+    nouns = [("d0" if i % 3 else f"d{i % 4}", i, some[rng.integers(12)]) for i in range(200)] + [("d1", 500, None), (None, 501, some[0])]
+    nf = spark.createDataFrame(nouns, "db_id string, key int, embedding array<double>").repartition(3)
+    tf = spark.createDataFrame([(d, t, w, v and [float(c) for c in v]) for d, t, w, v in targets], "db_id string, target_idx int, weight double, embedding array<double>")
+    got = {(r.db_id, r.key): (r.target_idx, r.s) for r in matching.top_one(nf, tf, ["key"], 0.5, block, slice_rows).collect()}
+    assert got == brute_top(nouns, targets, 0.5) and len(got) > 100
+
+
+def test_top_one_stops_early():
+    """Unit vectors by falling priority: nouns that match a table of the first priority never meet the rest."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    unit = lambda n: (v := rng.normal(size=(n, 8))) / np.linalg.norm(v, axis=1, keepdims=True)
+    targets, weights = unit(3000), np.repeat([1.0, 0.7, 0.6], 1000)
+    rows = pa.RecordBatch.from_arrays([pa.nulls(3000)] * 4 + [pa.array(range(3000), pa.int64()), pa.array(weights), pa.array(list(targets), pa.list_(pa.float64()))], names=list("abcdefg"))
+    block = matching.TargetBlock(rows, 8)
+    nouns = targets[rng.integers(0, 1000, 50)]
+    at, s = block.best(nouns, 0.3)
+    assert (s > 0.999).all() and (at < 1000).all() and block.chunks_seen == 4
+    with pytest.raises(ValueError, match="lengths"):
+        matching.matrix_of(pa.array([[1.0], [1.0, 2.0]]), 1)
+
+
+def test_records_at_thresholds_equal_separate_runs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        names = [f"n{rng.integers(12)}" for _ in range(rng.integers(0, 6))]
+        hints = [(str(n), "t", None if rng.random() < 0.5 else "c", float(round(rng.random(), 2)), str(rng.choice(["entity", "junction", "odd"])) if rng.random() < 0.9 else None) for n in names[:3]]
+        rows.append((i, [str(n) for n in names], sorted(hints, key=lambda h: -h[3])))
+    df = hints_frame(spark, rows).cache()
+    steps = [0.7, 0.0, 0.45, 0.99, 0.2, 1.0]
+    got = {r.config.threshold: r.asDict(recursive=True) for r in stats.records_at(df, "m", steps).collect()}
+    assert sorted(got) == sorted(steps)
+    for t in steps:
+        cut = matching.at_thresholds(df, [t]).drop("threshold")
+        want = stats.augment_stats(cut, "m", t).first().asDict(recursive=True)
+        assert got[t] == want, t
+    none = stats.records_at(hints_frame(spark, []), "m", [0.5]).first()
+    assert none.counts.total_examples == 0 and none.top_unmatched_nouns == [] and none.match_level.column_level == 0
