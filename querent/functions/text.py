@@ -85,16 +85,19 @@ def is_stopword(noun: Column) -> Column:
     return strip(F.lower(noun)).isin(*STOPWORDS)
 
 
-def filter_reason(noun: Column, names: Column | None = None) -> Column:
+def filter_reason(noun: Column, names: Column | None = None, named: Column | None = None) -> Column:
     """The first reason to drop a noun, or an empty string.
 
-    ``names`` is an array of the database's table and column names.
+    ``names`` is an array of the database's table and column names, or ``named``
+    tells whether the noun is one of them.
     """
     s = strip(noun)
     out = F.when(F.length(s) < 2, REASONS[0]).when(F.length(s) > 30, REASONS[1]).when(is_stopword(s), REASONS[2])
     if names is not None:
         variants = F.array_union(F.transform(names, F.lower), F.transform(names, schema_name))
-        out = out.when(F.array_contains(variants, schema_name(s)) | F.array_contains(variants, F.lower(s)), REASONS[3])
+        named = F.array_contains(variants, schema_name(s)) | F.array_contains(variants, F.lower(s))
+    if named is not None:
+        out = out.when(named, REASONS[3])
     return out.when((ascii_letter_ratio(s) > 0.70) & ~has_mark(s), REASONS[4]).otherwise("")
 
 

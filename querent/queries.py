@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions import text as X
-from querent.operators import batches, exact, execution, fingerprints, matching, prompts, reports, schema, stats
+from querent.operators import batches, exact, execution, fingerprints, matching, nouns, prompts, reports, schema, stats
 from querent.plans.compiler import Catalog, compile_query
 from querent.plans.parser import is_valid, parse, tokenize
 from querent.sources import files
@@ -243,6 +243,128 @@ def g10_rich_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.rich_targets(d, schema.from_python(spark, [CONCERT])).select("target_idx", "text", "table_type")
 
 
+# -- the same operators over rows of the given tables
+
+_TAG = "CASE WHEN regexp_matches(w, '^[a-h]') THEN 'N' WHEN regexp_matches(w, '^[A-Z]') THEN 'Np' ELSE 'V' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w, unnest(range(len(string_split_regex(text, '\\s+')))) AS pos FROM documents),
+n AS (SELECT doc_id, pos, w FROM t WHERE w <> '' AND {_TAG} LIKE 'N%'),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM n),
+e AS (SELECT doc_id, pos, w AS candidate, 0 AS phrase FROM n UNION ALL SELECT doc_id, max(pos), string_agg(w, ' ' ORDER BY pos), 1 FROM r GROUP BY doc_id, run HAVING count(*) > 1),
+f AS (SELECT doc_id, candidate, min((pos, phrase)) AS at_ FROM e GROUP BY doc_id, candidate)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS INTEGER) AS place, candidate, at_[2] = 1 AS phrase FROM f""")
+def f02_noun_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns and noun runs of the words of all documents, a row a token."""
+    words = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.posexplode(F.split("text", r"\s+")).alias("pos", "token"))
+    tag = F.when(F.col("token").rlike("^[a-h]"), "N").when(F.col("token").rlike("^[A-Z]"), "Np").otherwise("V")
+    return nouns.candidates(words.withColumn("tag", tag)).withColumnRenamed("text_id", "doc_id")
+
+
+_DICTIONARY = r"SELECT DISTINCT lang, lower(w) AS w FROM (SELECT DISTINCT lang FROM documents), (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM benchmark WHERE item_id % 2 = 0) WHERE w <> ''"
+
+
+@query(f"""WITH names AS ({_DICTIONARY}), w AS (SELECT lang, unnest(string_split_regex(text, '\\s+')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL)
+SELECT lang, reason, CAST(sum(n) AS BIGINT) AS n, count(*) AS different FROM (SELECT c.lang, n, {_REASON.replace(f"lower(w) IN ({_NAMED}) OR trim(regexp_replace(replace(lower(w), '_', ' '), '\\s+', ' ', 'g')) IN ({_NAMED})", "k IS NOT NULL").replace('(w', '(c.w').replace('w, ', 'c.w, ').replace('(c.c.w', '(c.w')} AS reason
+FROM c LEFT JOIN (SELECT lang, w AS k FROM names) d ON c.lang = d.lang AND lower(c.w) = d.k) GROUP BY ALL""")
+def f09_dictionary_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents against the names of their language, the words of half the benchmark."""
+    d = _table(spark, sf_dir, "documents")
+    words = d.select(F.col("lang").alias("db_id"), F.explode(F.split("text", r"\s+")).alias("noun")).filter("noun <> ''").groupBy("db_id", "noun").agg(F.count(F.lit(1)).alias("n"))
+    said = _table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select(F.explode(F.split("text", r"\s+")).alias("name")).filter("name <> ''").distinct()
+    names = d.select(F.col("lang").alias("db_id")).distinct().crossJoin(F.broadcast(said.select(F.concat("name", F.lit("_")).alias("name"))))
+    judged = words.join(nouns.reasons(words, names), ["db_id", "noun"])
+    return judged.groupBy(F.col("db_id").alias("lang"), "reason").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+
+
+@query(r"SELECT name, trim(regexp_replace(lower(regexp_replace(replace(name, '_', ' '), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '\s+', ' ', 'g')) AS cleaned FROM (SELECT DISTINCT w || 'Id_' || w || 'KeyOf2' AS name " + _WORDS + ")")
+def f12_clean_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identifiers made of the words of all documents."""
+    names = _words(spark, sf_dir).select(F.expr("concat(w, 'Id_', w, 'KeyOf2')").alias("name")).distinct()
+    return names.select("name", X.clean_identifier(F.col("name")).alias("cleaned"))
+
+
+_BARE = r"regexp_replace(regexp_replace(answer, '```sql\s*', '', 'g'), '```\s*', '', 'g')"
+_FOUND = f"regexp_extract({_BARE}, '((?:WITH|SELECT).*?)(?:;|$)', 1, 'is')"
+
+
+@query(f"SELECT conv_id, turn, trim(regexp_replace(CASE WHEN {_FOUND} <> '' THEN {_FOUND} ELSE {_BARE} END, '\\s+', ' ', 'g')) AS sql FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '```sql' || chr(10) || 'SELECT ' || text || ';' || chr(10) || '```' ELSE text END AS answer FROM conversations)")
+def f13_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """statements in all turns, every other one in a fence."""
+    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```sql\nSELECT "), "text", F.lit(";\n```"))).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", X.prediction(answer).alias("sql"))
+
+
+@query("SELECT DISTINCT l_discount AS threshold, 't' || replace(format('{:.2f}', l_discount), '.', '') AS tag FROM lineitem")
+def f15_discount_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("threshold")).distinct()
+    return d.select("threshold", X.threshold_tag(F.col("threshold")).alias("tag"))
+
+
+#: Schemas from table values: a region is a database, its nations are tables, their suppliers columns.  The same text is Spark and DuckDB SQL.
+_TABLE_ROWS = "SELECT concat('db', n_regionkey) AS db_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS table_idx, n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN concat('Ref_', n_name) WHEN 1 THEN concat(n_name, '_Types') WHEN 2 THEN concat('sqlite_', lower(n_name)) ELSE n_name END AS tbl FROM nation"
+_COLUMN_ROWS = "SELECT db_id, table_idx, tbl, CAST(row_number() OVER (PARTITION BY db_id ORDER BY s_suppkey) AS INT) AS col_idx, s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN concat('Key', s_suppkey, '_ID') WHEN 1 THEN concat('Code', s_suppkey) WHEN 2 THEN concat('Long', s_suppkey, '_Name') ELSE concat('Col', s_suppkey) END AS col, CASE WHEN s_acctbal > 0 THEN 'number' ELSE 'text' END AS kind, s_suppkey % 10 = 0 AS pk, s_suppkey % 3 = 0 AS fk FROM supplier JOIN t ON s_nationkey = n_nationkey"
+_SCHEMA_ROWS = f"WITH t AS ({_TABLE_ROWS}), c AS ({_COLUMN_ROWS})"
+
+
+def _schemas(spark: SparkSession, sf_dir: str) -> schema.Schemas:
+    given = {n: _table(spark, sf_dir, n) for n in ("nation", "supplier")}
+    rows = lambda sql: spark.sql(f"{_SCHEMA_ROWS.replace('FROM nation', 'FROM {nation}').replace('FROM supplier', 'FROM {supplier}')} {sql}", **given)
+    star = "SELECT DISTINCT db_id, 0 AS col_idx, -1 AS table_idx, '*' AS column, 'text' AS type FROM t"
+    return schema.Schemas(
+        rows("SELECT db_id, table_idx, tbl AS table FROM t"),
+        rows(f"SELECT db_id, col_idx, table_idx, col AS column, kind AS type FROM c UNION ALL {star}"),
+        rows("SELECT db_id, CAST(row_number() OVER (PARTITION BY db_id ORDER BY col_idx) - 1 AS INT) AS pos, col_idx AS child, 1 AS parent FROM c WHERE fk"),
+        rows("SELECT db_id, col_idx FROM c WHERE pk"),
+    )
+
+
+_ID, _CODE, _SAID = "regexp_matches(lower({}), '^id$|_id$')", "regexp_matches(lower({}), '^id$|_id$|code')", "regexp_matches(lower({}), 'description|_desc$|_name$|^name$')"
+_PAIR = " OR ".join(f"({_CODE.format(x)} AND {_SAID.format(y)})" for x, y in (("cols[1]", "cols[2]"), ("cols[2]", "cols[1]")))
+_CLASSED = f"""{_SCHEMA_ROWS}, g AS (SELECT t.db_id, t.table_idx, t.tbl, coalesce(list(col ORDER BY col_idx) FILTER (col IS NOT NULL), []) AS cols, count(*) FILTER (fk) AS n_keys, count(*) FILTER (NOT fk) AS others FROM t LEFT JOIN c ON t.db_id = c.db_id AND t.table_idx = c.table_idx GROUP BY ALL),
+k AS (SELECT *, CASE WHEN regexp_matches(lower(tbl), '^ref_|_types$|_codes$') OR len(cols) = 2 AND n_keys = 0 AND ({_PAIR}) THEN 'reference' WHEN n_keys >= 2 AND others <= 1 THEN 'junction' ELSE 'entity' END AS table_type FROM g),
+v AS (SELECT * FROM k WHERE NOT starts_with(lower(tbl), 'sqlite_'))"""
+
+
+@query(f"{_CLASSED} SELECT db_id, tbl AS table_name, table_type, CAST(n_keys AS INTEGER) AS n_keys FROM k")
+def g04_derived_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of tables made from nations and suppliers."""
+    c = schema.classified(_schemas(spark, sf_dir))
+    return c.select("db_id", F.col("table").alias("table_name"), "table_type", F.size("fks").alias("n_keys"))
+
+
+@query(f"{_CLASSED}, x AS (SELECT db_id, lower(tbl) AS n FROM v UNION SELECT db_id, lower(unnest(cols)) FROM v) SELECT db_id, string_agg(n, '|' ORDER BY n) AS names FROM x GROUP BY db_id")
+def g06_derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.schema_names(_schemas(spark, sf_dir)).select("db_id", F.array_join("names", "|").alias("names"))
+
+
+_PLAIN = f"list_filter(cols, lambda x: NOT {_ID.format('x')})"
+
+
+@query(f"{_CLASSED} SELECT db_id, tbl AS table_name, tbl || CASE WHEN len({_PLAIN}) > 0 THEN ': ' || array_to_string({_PLAIN}, ', ') ELSE '' END AS text FROM v")
+def g08_derived_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.table_texts(_schemas(spark, sf_dir)).select("db_id", F.col("table").alias("table_name"), "text")
+
+
+_TARGET_ROWS = f"{_CLASSED}, e AS (SELECT db_id, table_idx, -1 AS col_idx, tbl AS text, table_type FROM v UNION ALL SELECT v.db_id, v.table_idx, col_idx, v.tbl || ' ' || col, table_type FROM v JOIN c ON v.db_id = c.db_id AND v.table_idx = c.table_idx WHERE NOT ({_ID.format('col')} AND (pk OR fk OR col_idx = 1 AND false)))"
+
+
+@query(f"{_TARGET_ROWS} SELECT db_id, CAST(row_number() OVER (PARTITION BY db_id ORDER BY table_idx, col_idx) - 1 AS INTEGER) AS target_idx, text, table_type FROM e")
+def g09_derived_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.targets(_schemas(spark, sf_dir)).select("db_id", "target_idx", "text", "table_type")
+
+
+@query(f"""{_SCHEMA_ROWS}, v AS (SELECT * FROM t WHERE NOT starts_with(lower(tbl), 'sqlite_')),
+b AS (SELECT v.db_id, v.table_idx, 'Table: ' || v.tbl || chr(10) || coalesce(string_agg('  - ' || col || ' (' || kind || ')' || chr(10), '' ORDER BY col_idx), '') AS block FROM v LEFT JOIN c ON v.db_id = c.db_id AND v.table_idx = c.table_idx GROUP BY v.db_id, v.table_idx, v.tbl),
+p AS (SELECT db_id, tbl || '.' || col AS parent, starts_with(tbl, 'sqlite_') AS hidden FROM c WHERE col_idx = 1),
+f AS (SELECT c.db_id, string_agg('  - ' || tbl || '.' || col || ' -> ' || parent, chr(10) ORDER BY col_idx) AS keys FROM c JOIN p ON c.db_id = p.db_id WHERE fk AND NOT hidden AND NOT starts_with(tbl, 'sqlite_') GROUP BY c.db_id),
+d AS (SELECT db_id, string_agg(block, chr(10) ORDER BY table_idx) AS body FROM b GROUP BY db_id)
+SELECT DISTINCT t.db_id, 'Database: ' || t.db_id || chr(10) || chr(10) || coalesce(body, '') || CASE WHEN keys IS NOT NULL THEN chr(10) || 'Foreign Keys:' || chr(10) || keys ELSE '' END AS schema_text FROM t LEFT JOIN d ON t.db_id = d.db_id LEFT JOIN f ON t.db_id = f.db_id""")
+def k01_derived_schema_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: prompts' schema texts of databases made from nations and suppliers."""
+    return schema.schema_texts(_schemas(spark, sf_dir))
+
+
 # -- matching: each vector is a noun, each label's mean vector a target; both are made unit vectors
 
 #: Similarity times priority that a match needs; some vectors reach it and some do not.
@@ -606,6 +728,30 @@ def e17_fingerprint_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fingerprints.partial_scores(*_scored(spark, sf_dir)), 6)
 
 
+@query(f"{_STRUCTURES} SELECT id, CASE WHEN id % 3 = 0 THEN 'x' || id ELSE 'example-' || id END AS example_id, 'tpch' AS db_id, hardness, bool_and(same) AS exact_match FROM s GROUP BY id, hardness")
+def k07_derived_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the pairs of all orders joined with their scores; a missing id is made from the position."""
+    named = F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), F.col("id").cast("string")))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("question", "raw_output", "hints")]
+    examples = _structures(spark, sf_dir).select("id", named.alias("example_id"), "gold_sql", "pred_sql", *empty)
+    return reports.match_report(examples, _scored(spark, sf_dir)[0]).select("id", "example_id", "db_id", "hardness", "exact_match")
+
+
+@query(f"{_STRUCTURES}, m AS ({_LEVEL}) SELECT hardness, count(*) AS count, CAST(sum(exact_match::INT) AS BIGINT) AS matches FROM m GROUP BY hardness")
+def s16_derived_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level counts of the pairs of all orders, with the streaming operator on a batch."""
+    return level_counts(_scored(spark, sf_dir)[0])
+
+
+@query("SELECT o_orderkey AS id, [" + ", ".join(str(a).lower() for _, a in ACCEPTED) + f"][o_orderkey % {len(ACCEPTED)} + 1] AS accepted FROM orders")
+def p13_accepted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the subset accepts; each order stands for a text, and each different text is parsed once."""
+    texts = F.array(*(F.lit(t) for t, _ in ACCEPTED))
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("tpch").alias("db_id"), F.element_at(texts, (F.col("o_orderkey") % len(ACCEPTED) + 1).cast("int")).alias("sql"))
+    known = fingerprints.statements(o.select("db_id", "sql").distinct(), _databases(spark, sf_dir))
+    return o.join(known, ["db_id", "sql"]).select("id", F.col("error").isNull().alias("accepted"))
+
+
 def _executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, db_id, gold_sql, pred_sql): a pair for every customer, of seven kinds."""
     k, n = "CAST(c_custkey AS STRING)", "CAST(c_nationkey AS STRING)"
