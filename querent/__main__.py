@@ -1,7 +1,8 @@
 """Command line: prompts and structural scores, execution accuracy, thresholds, reports.
 
 Models are external: ``score`` takes an answers file in place of a model run,
-``hints`` a module that loads an encoder and a file of tagged questions.
+``infer`` a module that loads a generator, ``hints`` one that loads an encoder
+and a file of tagged questions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.text import prediction
-from querent.operators import exact, execution, matching, prompts, reports, schema, stats
+from querent.operators import exact, execution, generation, matching, prompts, reports, schema, stats
 from querent.session import session
 from querent.sources import files
 from querent.sources.catalogs import of_database, of_sqlite
@@ -42,14 +43,27 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     s.add_argument("--no-descriptions", action="store_true")
     s.add_argument("--output", required=True)
 
+    def scored(s: argparse.ArgumentParser) -> None:
+        s.add_argument("--hints-input")
+        s.add_argument("--model", default="unknown")
+        s.add_argument("--predictions-output", required=True)
+        s.add_argument("--gold-output", required=True)
+        s.add_argument("--output", required=True)
+
     s = sub.add_parser("score", help="exact match of model answers")
     data(s)
+    scored(s)
     s.add_argument("--answers", required=True, help="one JSON object {id, answer} a line")
-    s.add_argument("--hints-input")
-    s.add_argument("--model", default="unknown")
-    s.add_argument("--predictions-output", required=True)
-    s.add_argument("--gold-output", required=True)
-    s.add_argument("--output", required=True)
+
+    s = sub.add_parser("infer", help="prompts, answers of a model, and their exact match, in one call")
+    data(s)
+    scored(s)
+    s.add_argument("--generator", required=True, help="module:function; function(model) gives lists of chats -> answers")
+    s.add_argument("--answers-output", required=True, help="Parquet folder of answers; a run goes on with those it lacks")
+    s.add_argument("--batch-size", type=int, default=32)
+    s.add_argument("--descriptions-dir")
+    s.add_argument("--descriptions-file")
+    s.add_argument("--no-descriptions", action="store_true")
 
     s = sub.add_parser("exec", help="execution accuracy of predictions")
     s.add_argument("--data", required=True)
@@ -93,7 +107,8 @@ def _frame(spark: SparkSession, rows: list[dict]):
     return spark.createDataFrame([(i, r["db_id"], r.get("question_vi", r.get("question", ""))) for i, r in enumerate(rows)], "example_idx long, db_id string, question string")
 
 
-def run_prompts(spark: SparkSession, a: argparse.Namespace) -> int:
+def _prompts(spark: SparkSession, a: argparse.Namespace):
+    """(example_idx, db_id, prompt, messages) of the examples."""
     store, rows = _examples(spark, a)
     examples = _frame(spark, rows)
     texts = schema.schema_texts(schema.from_python(spark, list(store.load_tables().values())))
@@ -101,16 +116,30 @@ def run_prompts(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.descriptions_dir and not a.no_descriptions:
         told = Descriptions(spark, a.descriptions_dir, a.descriptions_file).texts(sorted({r["db_id"] for r in rows}))
     hints = files.hints(spark, a.hints_input, examples) if a.hints_input else None
-    prompts.build_prompts(examples, texts, told, hints).write.mode("overwrite").json(a.output)
+    return prompts.build_prompts(examples, texts, told, hints)
+
+
+def run_prompts(spark: SparkSession, a: argparse.Namespace) -> int:
+    _prompts(spark, a).write.mode("overwrite").json(a.output)
     return 0
 
 
+def run_infer(spark: SparkSession, a: argparse.Namespace) -> int:
+    module, _, name = a.generator.partition(":")
+    load = getattr(importlib.import_module(module), name)
+    asked = _prompts(spark, a).select(F.col("example_idx").alias("id"), "messages")
+    return _score(spark, a, generation.generate(asked, a.answers_output, a.model, load, a.batch_size))
+
+
 def run_score(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _score(spark, a, spark.read.schema("id long, answer string").json(a.answers))
+
+
+def _score(spark: SparkSession, a: argparse.Namespace, answers) -> int:
     store, rows = _examples(spark, a)
     gold = files.head(store.load_gold(a.dataset, a.split), a.limit)
     if (n := gold.count()) != len(rows):
         raise ValueError(f"Example count ({len(rows)}) != gold count ({n})")
-    answers = spark.read.schema("id long, answer string").json(a.answers)
     pairs = gold.withColumnRenamed("idx", "id").join(answers, "id", "left").select("id", "db_id", F.col("sql").alias("gold_sql"), F.coalesce(prediction(F.col("answer")), F.lit("")).alias("pred_sql"), F.col("answer").alias("raw_output")).cache()
     details = exact.score_pairs(pairs, exact.Databases(list(store.load_tables().values()))).cache()
     lines = pairs.orderBy("id").collect()
@@ -209,7 +238,7 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
-    return {"prompts": run_prompts, "score": run_score, "exec": run_exec, "hints": run_hints, "compare": run_compare}[a.mode](session(a.master), a)
+    return {"prompts": run_prompts, "score": run_score, "infer": run_infer, "exec": run_exec, "hints": run_hints, "compare": run_compare}[a.mode](session(a.master), a)
 
 
 if __name__ == "__main__":

@@ -7,13 +7,14 @@ expected rows are traced by hand they are listed as VALUES.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions import text as X
-from querent.operators import batches, exact, execution, fingerprints, matching, nouns, prompts, reports, schema, stats
+from querent.operators import batches, exact, execution, fingerprints, generation, matching, nouns, prompts, reports, schema, stats
 from querent.plans.compiler import Catalog, compile_query
 from querent.plans.parser import is_valid, parse, tokenize
 from querent.sources import files
@@ -807,6 +808,18 @@ def k06_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.col("m")[0]["content"].alias("first_content"), F.col("m")[1]["content"].alias("second_content"))
 
 
+def _by_size(model: str):
+    return lambda chats: [f"SELECT {len(chat[-1]['content'])}" for chat in chats]
+
+
+@query("SELECT conv_id * 1000 + turn AS id, 'SELECT ' || length(any_value(text)) AS answer FROM conversations WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) = 1")
+def k06_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: answers to all turns, of a generator that tells their length; in batches of like length."""
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")).filter("n = 1")
+    path = f"{files.scratch(spark)}/answers-{uuid.uuid4().hex}"
+    return generation.generate(turns.select("id", prompts.messages(F.col("text")).alias("messages")), path, "by-size", _by_size, rounds=2)
+
+
 _RUNS = "SELECT {k} AS model, count(*) AS n, round(avg(quality), 6) AS em, round(avg(toxic), 6) AS ex FROM labels JOIN documents USING (doc_id) GROUP BY 1"
 
 
