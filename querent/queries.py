@@ -899,6 +899,48 @@ def s12_hints_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("example_idx").cast("int"), F.explode("hints").alias("h")).select("example_idx", "h.vi_noun", F.col("h.table").alias("table_name"), "h.similarity")
 
 
+# -- the same for files of many parts, which tasks write and read
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{files.scratch(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey AS idx, o_orderpriority AS question, o_custkey AS region FROM orders")
+def s01_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of all orders as JSON objects, one a line, in as many files as tasks."""
+    path = _folder(spark, "examples")
+    _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("question"), F.col("o_custkey").alias("region")).write.json(path)
+    return files.json_rows(spark, path, "idx long, question string, region long", lines=True)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, 'SELECT' || chr(9) || o_orderkey AS sql, 'db' || o_custkey % 5 AS db_id FROM orders WHERE o_orderkey % 3 > 0")
+def s04_gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gold folder of all orders; every third line is blank and has no number, and the last tab parts."""
+    path, o = _folder(spark, "gold"), _table(spark, sf_dir, "orders")
+    line = F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.concat(F.lit("SELECT\t"), F.col("o_orderkey").cast("string"), F.lit("\tdb"), (F.col("o_custkey") % 5).cast("string")))
+    files.write_lines_of(o, path, line, F.col("o_orderkey"))
+    return files.Datasets(spark, {}, {("orders", "dev"): path}).load_gold("orders", "dev")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'SELECT ' || o_custkey END AS sql FROM orders QUALIFY idx < 1000")
+def s05_predictions_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction a line for all orders, blank ones too; the first 1000 by position."""
+    path = _folder(spark, "predicted")
+    files.write_lines_of(_table(spark, sf_dir, "orders"), path, F.when(F.col("o_custkey") % 4 == 0, "").otherwise(F.concat(F.lit("SELECT "), F.col("o_custkey").cast("string"))), F.col("o_orderkey"))
+    return files.head(files.predictions(spark, path), 1000)
+
+
+@query("SELECT c_custkey AS example_idx, c_name AS vi_noun, 't' || c_nationkey AS table_name, c_custkey / 32 AS similarity FROM customer WHERE c_nationkey > 3")
+def s12_hints_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints of all customers, checked against them; an example may have none."""
+    path, c = _folder(spark, "hints"), _table(spark, sf_dir, "customer")
+    hint = F.struct(F.col("c_name").alias("vi_noun"), F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("table"), F.lit(None).cast("string").alias("column"), (F.col("c_custkey") / 32).alias("similarity"), F.lit("entity").alias("table_type"))
+    own = F.when(F.col("c_nationkey") > 3, F.array(hint)).otherwise(F.array().cast(f"array<{matching.HINT}>"))
+    c.select(F.col("c_custkey").alias("index"), F.lit("tpch").alias("db_id"), F.col("c_name").alias("question_vi"), own.alias("hints")).write.json(path)
+    read = files.hints(spark, path, c.select(F.col("c_custkey").alias("example_idx")), lines=True)
+    return read.select("example_idx", F.explode("hints").alias("h")).select("example_idx", "h.vi_noun", F.col("h.table").alias("table_name"), "h.similarity")
+
+
 # -- encoding, with an encoder whose vectors tell the length of what it was given
 
 def _by_length(model: str):

@@ -239,3 +239,29 @@ def test_records_at_thresholds_equal_separate_runs(spark):
         assert got[t] == want, t
     none = stats.records_at(hints_frame(spark, []), "m", [0.5]).first()
     assert none.counts.total_examples == 0 and none.top_unmatched_nouns == [] and none.match_level.column_level == 0
+
+
+def test_lines_of_many_blocks_and_files(spark, tmp_path):
+    """Numbers follow the files by name and the blocks of each, whatever splits a scan makes of them."""
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want = []
+    for name, n in (("b", 5000), ("a", 40), ("c", 3000)):
+        own = [f"{name} line {i} " + "x" * (i % 90) for i in range(n)]
+        (folder / f"{name}.txt").write_text("\n".join(own) + "\n")
+        want.append((name, own))
+    want = [x for _, own in sorted(want) for x in own]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        df = files.lines(spark, str(folder))
+        got = [(r.line_no, r.line) for r in df.orderBy("line_no").collect()]
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == list(enumerate(want, 1))
+    out = str(tmp_path / "written")
+    files.write_lines_of(spark.range(500), out, F.concat(F.lit("n"), F.col("id").cast("string")), -F.col("id"), files=7)
+    assert [r.sql for r in files.predictions(spark, out).orderBy("idx").collect()] == [f"n{i}" for i in range(499, -1, -1)]
