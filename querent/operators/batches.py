@@ -171,7 +171,7 @@ def _together(spark: SparkSession, taken: DataFrame, q: Query, n_params: int, at
     kinds = {p.index: p.kind for p in _params(q)}
     values = [(F.expr(f"try_cast(params[{i}] AS timestamp_ntz)") if kinds[i] == "timestamp_ntz" else F.col("params")[i].cast(kinds[i])).alias(f"p{i}") for i in range(n_params)]
     stmts = taken.select("stmt", "params").distinct().select("stmt", *values)
-    out = spark.sql(text, _p=stmts, **{t: catalog.tables[t] for t in compiler.used})
+    out = spark.sql(text, _p=stmts, **compiler.frames())
     order = ", ".join([*keys, *items])
     if q.limit is not None and q.limit >= 0:
         out = out.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY _s ORDER BY {order})")).filter(F.col("_n") <= q.limit)
@@ -180,7 +180,7 @@ def _together(spark: SparkSession, taken: DataFrame, q: Query, n_params: int, at
     found = digests(out, at, bool(keys))
     if is_global(q) and q.limit != 0:
         bare = TemplateCompiler(catalog)
-        nothing = spark.sql(bare.over_nothing(q), **{t: catalog.tables[t] for t in bare.used}).withColumn("_s", F.lit("")).select("_s", *items)
+        nothing = spark.sql(bare.over_nothing(q), **bare.frames()).withColumn("_s", F.lit("")).select("_s", *items)
         empty = digests(nothing, at, bool(keys)).select(*(F.col(c).alias(f"_{c}") for c in ("n", "a", "b", "same", "oa", "ob")))
         found = stmts.select("stmt").join(found, "stmt", "left").crossJoin(F.broadcast(empty))
         return found.select("stmt", *(F.when(F.col("n").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("n", "a", "b", "same", "oa", "ob")))
@@ -207,7 +207,7 @@ def _alone(spark: SparkSession, stmt: str, q: Query, at: list[int], sorts: bool,
     """Digest of one statement's result, a row also for an empty one."""
     compiler = Compiler(catalog)
     text = compiler.query(q)
-    out = spark.sql(text, **{t: catalog.tables[t] for t in compiler.used})
+    out = spark.sql(text, **compiler.frames())
     out = out.toDF(*(f"_c{i}" for i in range(len(out.columns)))).withColumn("_s", F.lit(stmt))
     one = spark.createDataFrame([(stmt,)], "stmt string").join(digests(out, at, sorts), "stmt", "left")
     return one.select("stmt", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("n", "long"), ("a", "decimal(38,0)"), ("b", "decimal(38,0)"))), F.coalesce("same", F.lit(True)).alias("same"), *((F.coalesce(c, F.lit(0)) if sorts else F.col(c)).cast("long").alias(c) for c in ("oa", "ob")))

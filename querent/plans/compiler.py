@@ -31,6 +31,10 @@ class Catalog:
         self.types = {(t, f.name.lower()): f.dataType for t, df in self.tables.items() for f in df.schema}
         self.names = Names({t: df.columns for t, df in self.tables.items()})
 
+    def frame(self, table: str, columns: set[str] | None) -> DataFrame:
+        """A table for a statement that names these columns (None: all); readers that cannot be told by Catalyst narrow it here."""
+        return self.tables[table]
+
     @staticmethod
     def of_folder(spark: SparkSession, path: str, names: list[str]) -> Catalog:
         return Catalog({n: spark.read.parquet(f"{path}/{n}.parquet") for n in names})
@@ -42,7 +46,21 @@ def _quoted(text: str) -> str:
 
 class Compiler:
     def __init__(self, catalog: Catalog):
-        self.catalog, self.used = catalog, set()
+        self.catalog = catalog
+        #: Columns named of each table used; None for all.
+        self.used: dict[str, set[str] | None] = {}
+        #: The table of each name in braces: a table has one for every place where it stands.
+        self.places: dict[str, str] = {}
+
+    def frames(self) -> dict[str, DataFrame]:
+        return {place: self.catalog.frame(t, self.used[t]) for place, t in self.places.items()}
+
+    def names_column(self, table: str, column: str | None) -> None:
+        """Note a column of a table, or with None all of them."""
+        if column is None:
+            self.used[table] = None
+        elif (known := self.used.setdefault(table, set())) is not None:
+            known.add(column)
 
     # -- names and types
 
@@ -58,8 +76,13 @@ class Compiler:
     def column(self, c: Column, q: Query) -> str:
         if c.name == "__all__":
             body = f"`{c.via}`.*" if c.via else "*"
+            if not c.agg:
+                for s in q.sources:
+                    if s.table:
+                        self.names_column(s.table[2:-2], None)
         else:
             table, _, col = c.name[2:-2].partition(".")
+            self.names_column(table, col)
             via = c.via
             if via is None:
                 own = next((s for s in q.sources if s.table == f"__{table}__"), None)
@@ -149,8 +172,10 @@ class Compiler:
         if s.query is not None:
             return f"({self.query(s.query)}) AS `_derived{i}`"
         name = s.table[2:-2]  # type: ignore[index]
-        self.used.add(name)
-        return f"{{{name}}} AS `{s.alias or name}`"
+        self.used.setdefault(name, set())
+        place = f"{name}__{len(self.places)}"
+        self.places[place] = name
+        return f"{{{place}}} AS `{s.alias or name}`"
 
     def items(self, q: Query) -> list[str]:
         grouped = bool(q.group) or any(a or v.left.agg for a, v in q.items) or bool(q.having)
@@ -225,7 +250,7 @@ def to_spark_sql(query: Query, catalog: Catalog) -> tuple[str, dict[str, DataFra
     """The statement and the DataFrames that its braces name."""
     c = Compiler(catalog)
     text = c.query(query)
-    return text, {t: catalog.tables[t] for t in c.used}
+    return text, c.frames()
 
 
 def compile_query(spark: SparkSession, sql: str, catalog: Catalog, columns: list[str] | None = None) -> DataFrame:

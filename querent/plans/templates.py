@@ -121,7 +121,9 @@ class TemplateCompiler(Compiler):
             via = q.items[0][1].left.via  # of a star, only the first column is compared
             own = next((s for s in q.sources if via in (s.alias, s.table[2:-2])), q.sources[0]) if via else q.sources[0]
             table = own.table[2:-2]  # type: ignore[index]
-            return [f"`{own.alias or table}`.`{self.catalog.names.tables[table][0]}`"]
+            first = self.catalog.names.tables[table][0]
+            self.names_column(table, first)
+            return [f"`{own.alias or table}`.`{first}`"]
         return super().items(q)
 
     def template(self, q: Query, n_params: int) -> tuple[str, list[str], list[str]]:

@@ -35,13 +35,13 @@ def _opened(content: bytes) -> sqlite3.Connection:
     return con
 
 
-def _name(x: str) -> str:
+def quoted_name(x: str) -> str:
     return '"' + x.replace('"', '""') + '"'
 
 
-def _kind(con: sqlite3.Connection, table: str, column: str, declared: str) -> str:
+def kind_of(con: sqlite3.Connection, table: str, column: str, declared: str) -> str:
     """The type that holds all values of a column; without any, what its declared type suggests."""
-    found = {r[0] for r in con.execute(f"SELECT DISTINCT typeof({_name(column)}) FROM {_name(table)}")} - {"null"}
+    found = {r[0] for r in con.execute(f"SELECT DISTINCT typeof({quoted_name(column)}) FROM {quoted_name(table)}")} - {"null"}
     if not found:
         d = declared.upper()
         return "bigint" if "INT" in d else "double" if any(x in d for x in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else "string"
@@ -53,7 +53,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0).to_pylist():
             con = _opened(content)
             for (table,) in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite~_%' ESCAPE '~' ORDER BY rowid").fetchall():
-                columns = [(r[1], _kind(con, table, r[1], r[2] or "")) for r in con.execute(f"PRAGMA table_info({_name(table)})").fetchall()]
+                columns = [(r[1], kind_of(con, table, r[1], r[2] or "")) for r in con.execute(f"PRAGMA table_info({quoted_name(table)})").fetchall()]
                 yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([[c for c, _ in columns]]), pa.array([[k for _, k in columns]])], ["name", "columns", "kinds"])
 
 
@@ -61,7 +61,7 @@ def _stored(batches: Iterator[pa.RecordBatch], table: str, columns: list[str], k
     to = {"bigint": (int, pa.int64()), "double": (float, pa.float64()), "string": (lambda v: v.decode("utf-8", "ignore") if isinstance(v, bytes) else str(v), pa.string())}
     for batch in batches:
         for content in batch.column(0).to_pylist():
-            rows = _opened(content).execute(f"SELECT {', '.join(map(_name, columns))} FROM {_name(table)}")
+            rows = _opened(content).execute(f"SELECT {', '.join(map(quoted_name, columns))} FROM {quoted_name(table)}")
             while part := rows.fetchmany(size):
                 yield pa.RecordBatch.from_arrays([pa.array([None if v is None else to[k][0](v) for v in c], to[k][1]) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], columns)
 

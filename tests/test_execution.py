@@ -7,6 +7,7 @@ from querent.operators import execution
 from querent.plans.compiler import Catalog, compile_query
 from querent.plans.parser import parse
 from querent.sources.catalogs import entry_of, of_sqlite, schema_of, schema_of_json
+from querent.sources.sqlite_scan import of_shared_sqlite
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +111,44 @@ def test_sqlite_files(spark, tmp_path, journal):
     assert scores["all"]["execution_accuracy"] == 0.5 and details[1]["error"]
 
 
+@pytest.fixture(scope="module")
+def shop(tmp_path_factory):
+    path = tmp_path_factory.mktemp("shop") / "shop ü.sqlite"
+    con = sqlite3.connect(path)
+    con.executescript("CREATE TABLE Item (id INTEGER PRIMARY KEY, price REAL, label TEXT COLLATE NOCASE, mixed, extra TEXT); CREATE TABLE flat (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID; CREATE TABLE bare (n INTEGER); CREATE VIEW dear AS SELECT id FROM Item WHERE price > 90;")
+    con.executemany("INSERT INTO Item VALUES (?, ?, ?, ?, ?)", [(i * 3, None if i % 11 == 0 else i % 100, ["Ab", "ab", "é", None][i % 4], [i, str(i), float(i)][i % 3], "x" * 50) for i in range(4000)])
+    con.executemany("INSERT INTO flat VALUES (?, ?)", [(f"k{i}", i) for i in range(50)])
+    con.commit()
+    con.close()
+    return str(path)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT id, label FROM item WHERE id = 300", "SELECT count(*) FROM item WHERE price > 50 AND id < 6000", "SELECT count(*) FROM item", "SELECT id FROM item WHERE label = 'ab' AND id < 100", "SELECT id FROM item WHERE label != 'ab' AND id < 100",
+    "SELECT id FROM item WHERE label IS NULL AND id > 11900", "SELECT id FROM item WHERE price IS NOT NULL AND id IN (0, 33, 36)", "SELECT id FROM item WHERE mixed = '7'", "SELECT id FROM item WHERE mixed > '3990' AND id > 11900", "SELECT id FROM item WHERE id NOT IN (SELECT id FROM item WHERE price < 95) AND price > 1",
+    "SELECT n FROM flat WHERE k = 'k7'", "SELECT count(*) FROM bare", "SELECT count(*) FROM dear WHERE id > 300", "SELECT * FROM item WHERE id = 9", "SELECT max(T1.price) FROM item AS T1 JOIN flat AS T2 ON T1.id = T2.n WHERE T2.n < 20",
+])
+def test_shared_sqlite_equals_bytes(spark, shop, sql):
+    """Filters in the statement of each range give what Spark's filters over the whole file give."""
+    whole, scan = of_sqlite(spark, shop), of_shared_sqlite(spark, shop, partitions=5)
+    assert scan.types == whole.types
+    assert sorted(map(repr, compile_query(spark, sql, scan).collect())) == sorted(map(repr, compile_query(spark, sql, whole).collect()))
+
+
+def test_shared_sqlite_prunes_and_pushes(spark, shop):
+    c = of_shared_sqlite(spark, shop, partitions=5)
+    df = compile_query(spark, "SELECT id FROM item WHERE price > 50 AND id < 6000", c)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    #: The scan took both filters over, so no Filter is left, and reads two columns.
+    assert "BatchScan sqlite_table[id" in plan and "Filter [" not in plan and "Filter (" not in plan and "extra" not in plan and "label" not in plan
+    assert df.rdd.getNumPartitions() == 5 and df.count() == 890
+    text = compile_query(spark, "SELECT id FROM item WHERE label = 'ab'", c)._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in text.replace("RuntimeFilters", "")
+    assert c.tables["bare"].rdd.getNumPartitions() == 1 and c.tables["flat"].rdd.getNumPartitions() == 1
+    _, details = execution.evaluate(spark, [("SELECT count(*) FROM item", "shop")], ["SELECT count(*) FROM item"], {"shop": c}, {}, 60)
+    assert details[0]["exec_match"]
+
+
 def test_result_map_keys(catalog):
     q = parse("SELECT max(id), min(id), count(*) FROM t", catalog.names)
     assert len(execution.result_map([(3, 1, 3)], q)) == 2  # the outer aggregate is no part of a key
