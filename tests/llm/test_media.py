@@ -126,3 +126,13 @@ def test_queries_values(docs, rows, empty):
     assert media.digest(media.store(empty)).count() == 0
     one = media.tensors(media.store(docs.filter("doc_id = 3"))).first()
     assert len(one.rgb) == one.height * one.width * 3 and bytes(one.payload).rstrip(b"\0") == texts[3].encode()
+
+
+def test_repeated_rows_and_null_ids(spark):
+    from querent.llm import media
+
+    rows = [(1, "same", "k"), (1, "same", "k"), (None, "same", "k"), (2, None, None), (2, "", "k"), (3, "x" * 70_000, "k")]
+    out = media.digest(media.store(spark.createDataFrame(rows, "doc_id long, text string, media string"))).collect()
+    own = {(r.doc_id, r.n_bytes): tuple(r)[1:] for r in out}
+    assert len(out) == 6 and len({tuple(r)[1:] for r in out if r.n_bytes == 4}) == 1
+    assert len({tuple(r)[1:] for r in out if r.doc_id == 2}) == 1 and own[2, 0][1] == 64 and own[3, 70_000][1] == 70_016

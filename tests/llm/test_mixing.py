@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from querent.llm import mixing
 
@@ -57,3 +58,44 @@ def test_odd_tables(spark, empty):
     assert mixing.mix(df, max_repeats=1.0).count() == 3
     with pytest.raises(ValueError):
         mixing.mix(df, most_sources=1)
+
+
+@pytest.mark.parametrize(("block_rows", "repeats", "budget"), [(2000, 2.5, None), (7, 1.5, None), (3, 3.2, None), (11, 1.0, 700.0)])
+def test_every_row_equals_brute_force(spark, block_rows, repeats, budget):
+    """Each pass of each document, by hand from the same hashes."""
+    df, seed = _docs(spark), 17
+    label = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    base = df.select("doc_id", label.alias("s"), (F.length("text") / 4).cast("int").alias("t"), F.xxhash64(F.lit(seed), "doc_id").alias("key"))
+    rows = base.withColumn("second", F.xxhash64(F.lit(seed + 2), "key")).collect()
+    names = sorted({r.s for r in rows})
+    have = np.array([sum(r.t for r in rows if r.s == s) for s in names])
+    m = mixing.solve(have, max_repeats=repeats, budget=budget)
+    want = []
+    for s, tokens, w in zip(names, have.tolist(), m.weights.tolist(), strict=True):
+        own = [r for r in rows if r.s == s]
+        passes = m.budget * w / tokens
+        whole = int(passes + 1e-9)
+        want += [(r.doc_id, p) for r in own for p in range(whole)]
+        part, n = (round((passes - whole) * tokens) if passes > whole + 1e-9 else 0), max(1, -(-len(own) // block_rows))
+        places = {r.b: r.p for r in spark.range(n).select(F.col("id").alias("b"), F.xxhash64(F.lit(seed + 1), F.lit(s), "id").alias("p")).collect()}
+        left = part
+        for b in sorted(places, key=lambda b: (places[b], b)):
+            block = sorted((r for r in own if r.key % n == b), key=lambda r: (r.second, r.doc_id))
+            if left <= 0:
+                break
+            taken = 0
+            for r in block:
+                taken += r.t
+                if taken <= left:
+                    want.append((r.doc_id, whole))
+            left -= sum(r.t for r in block)
+    got = mixing.mix(df, max_repeats=repeats, budget=budget, block_rows=block_rows).select("doc_id", "mix_pass").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_helper_names_may_be_taken(spark):
+    rows = [(i, "word " * 9, f"s{i % 2}", i, i, i, i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _block int, _KEY int, doc int, _part int, before int")
+    out = mixing.mix(df, max_repeats=1.0)
+    assert out.columns == [*df.columns, "mix_pass", "mix_tokens", "mix_order"]
+    assert sorted(tuple(r)[:8] for r in out.collect()) == rows

@@ -61,3 +61,18 @@ def test_scores_equal_the_plain_sum():
         w = np.concatenate([model.weight[b[f[0] : l[0]]].astype(float) for b, f, l in kinds])
         z = (w.mean() if len(w) else 0) + model.bias
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_repeated_documents(labelled):
+    """A document that repeats is scored each time, alike, and teaches what one does."""
+    docs, labels = labelled
+    twice = docs.union(docs)
+    model = quality.fit(twice, labels, bits=10)
+    scores = {}
+    for r in quality.score(twice, model).collect():
+        scores.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(v) == 2 and v[0] == v[1] for v in scores.values()) and len(scores) == 240
+    want = {r.doc_id: r.quality for r in labels.collect()}
+    assert np.mean([(v[0] >= 0.5) == bool(want[d]) for d, v in scores.items()]) > 0.95
+    kept = [r.doc_id for r in quality.accept(twice, model, 0.5).collect()]
+    assert sorted(kept) == sorted(d for d, v in scores.items() for _ in v if v[0] >= 0.5)
