@@ -366,6 +366,27 @@ def k01_derived_schema_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.schema_texts(_schemas(spark, sf_dir))
 
 
+@query(f"{_CLASSED} SELECT db_id, tbl AS table_name, table_type, CAST(len(cols) AS INTEGER) AS n_columns FROM k")
+def s03_schema_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema file of the same databases, an object a line, written and read by tasks."""
+    s, path = _schemas(spark, sf_dir), f"{files.scratch(spark)}/files/tables-{uuid.uuid4().hex}"
+    named = lambda rows, place, value: rows.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place, value.alias("v")))), lambda x: x["v"]).alias("x"))
+    parts = {
+        "table_names_original": named(s.tables, "table_idx", F.col("table")),
+        "column_names_original": named(s.columns, "col_idx", F.array(F.col("table_idx").cast("string"), "column")),
+        "column_types": named(s.columns, "col_idx", F.col("type")),
+        "primary_keys": named(s.pks, "col_idx", F.col("col_idx")),
+        "foreign_keys": named(s.fks, "pos", F.array("child", "parent")),
+    }
+    entries = s.tables.select("db_id").distinct()
+    for name, rows in parts.items():
+        entries = entries.join(rows.withColumnRenamed("x", name), "db_id", "left")
+    entries.write.json(path)
+    shape = "db_id string, table_names_original array<string>, column_names_original array<array<string>>, column_types array<string>, primary_keys array<int>, foreign_keys array<array<int>>"
+    c = schema.classified(schema.from_entries(files.json_rows(spark, path, shape, lines=True)))
+    return c.select("db_id", F.col("table").alias("table_name"), "table_type", F.size("columns").alias("n_columns"))
+
+
 # -- matching: each vector is a noun, each label's mean vector a target; both are made unit vectors
 
 #: Similarity times priority that a match needs; some vectors reach it and some do not.
@@ -753,6 +774,17 @@ def p13_accepted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(known, ["db_id", "sql"]).select("id", F.col("error").isNull().alias("accepted"))
 
 
+@query("SELECT o_orderkey AS id, o_orderkey % 5 < 4 AS same FROM orders")
+def p15_semicolons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semicolons after a statement, and after one in brackets, leave its fingerprint; before it they do not."""
+    o = _table(spark, sf_dir, "orders").withColumn("bare", F.concat(F.lit("SELECT count(*) FROM orders WHERE o_custkey > "), F.col("o_custkey").cast("string")))
+    tail = F.expr("repeat(';', CAST(o_orderkey % 3 AS INT))")
+    marked = F.when(F.col("o_orderkey") % 5 == 4, F.concat(F.lit("; "), "bare")).when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("( "), "bare", F.lit(" ; )"), tail)).otherwise(F.concat("bare", F.lit(" "), tail))
+    pairs = o.select(F.col("o_orderkey").alias("id"), F.lit("tpch").alias("db_id"), F.col("bare").alias("gold_sql"), marked.alias("pred_sql"))
+    known = files.stored(fingerprints.statements_of(pairs, _databases(spark, sf_dir)), "structures")
+    return fingerprints.matched(pairs, known).select("id", F.col("exact_match").alias("same"))
+
+
 def _executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, db_id, gold_sql, pred_sql): a pair for every customer, of seven kinds."""
     k, n = "CAST(c_custkey AS STRING)", "CAST(c_nationkey AS STRING)"
