@@ -125,7 +125,14 @@ _MARKS = f"[{X.MARKED}{X.MARKED.upper()}]"
 NAMES = ("The", "and_that", "Singer_ID", "of")
 _NAMED = "'the', 'and_that', 'and that', 'singer_id', 'singer id', 'of'"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
-_REASON = f"CASE WHEN length(w) < 2 THEN 'too_short_removed' WHEN length(w) > 30 THEN 'too_long_removed' WHEN lower(w) IN ({_STOP}) THEN 'vietnamese_stopwords_removed' WHEN lower(w) IN ({_NAMED}) OR trim(regexp_replace(replace(lower(w), '_', ' '), '\\s+', ' ', 'g')) IN ({_NAMED}) THEN 'schema_name_duplicates_removed' WHEN ({_RATIO}) > 0.70 AND NOT regexp_matches(w, '{_MARKS}') THEN 'english_nouns_removed' ELSE '' END"
+
+
+def _reason_sql(w: str, named: str) -> str:
+    """Why a noun is filtered, as DuckDB SQL; ``named`` tells whether it is a name."""
+    return f"CASE WHEN length({w}) < 2 THEN 'too_short_removed' WHEN length({w}) > 30 THEN 'too_long_removed' WHEN lower({w}) IN ({_STOP}) THEN 'vietnamese_stopwords_removed' WHEN {named} THEN 'schema_name_duplicates_removed' WHEN ({_RATIO.replace('(w,', f'({w},')}) > 0.70 AND NOT regexp_matches({w}, '{_MARKS}') THEN 'english_nouns_removed' ELSE '' END"
+
+
+_REASON = _reason_sql("w", f"lower(w) IN ({_NAMED}) OR trim(regexp_replace(replace(lower(w), '_', ' '), '\\s+', ' ', 'g')) IN ({_NAMED})")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +273,7 @@ _DICTIONARY = r"SELECT DISTINCT lang, lower(w) AS w FROM (SELECT DISTINCT lang F
 
 
 @query(f"""WITH names AS ({_DICTIONARY}), w AS (SELECT lang, unnest(string_split_regex(text, '\\s+')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL)
-SELECT lang, reason, CAST(sum(n) AS BIGINT) AS n, count(*) AS different FROM (SELECT c.lang, n, {_REASON.replace(f"lower(w) IN ({_NAMED}) OR trim(regexp_replace(replace(lower(w), '_', ' '), '\\s+', ' ', 'g')) IN ({_NAMED})", "k IS NOT NULL").replace('(w', '(c.w').replace('w, ', 'c.w, ').replace('(c.c.w', '(c.w')} AS reason
+SELECT lang, reason, CAST(sum(n) AS BIGINT) AS n, count(*) AS different FROM (SELECT c.lang, n, {_reason_sql('c.w', 'k IS NOT NULL')} AS reason
 FROM c LEFT JOIN (SELECT lang, w AS k FROM names) d ON c.lang = d.lang AND lower(c.w) = d.k) GROUP BY ALL""")
 def f09_dictionary_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents against the names of their language, the words of half the benchmark."""
@@ -536,6 +543,38 @@ def j08_records_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_texts(stats.records_at(files.stored(_limited(spark, sf_dir), "hints"), "precomputed", list(_STEPS)))
 
 
+# -- hints from questions to targets, with an encoder that tells even texts from odd ones
+
+_TURNS = "SELECT conv_id * 1000 + turn AS id, any_value(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) = 1"
+_HINTED = 0.65
+
+
+@query(f"""{_TARGET_ROWS}, targets AS (SELECT db_id, row_number() OVER (PARTITION BY db_id ORDER BY table_idx, col_idx) - 1 AS idx, text, CASE table_type WHEN 'entity' THEN 1.0 WHEN 'junction' THEN 0.7 ELSE 0.6 END AS weight FROM e),
+names AS (SELECT DISTINCT db_id, unnest([n, trim(regexp_replace(replace(n, '_', ' '), '\\s+', ' ', 'g'))]) AS name FROM (SELECT db_id, lower(tbl) AS n FROM v UNION SELECT db_id, lower(unnest(cols)) FROM v)),
+ex AS ({_TURNS}), w AS (SELECT id, unnest(string_split_regex(text, '\\s+')) AS w, unnest(range(len(string_split_regex(text, '\\s+')))) AS pos FROM ex),
+n AS (SELECT id, pos, w FROM w WHERE w <> '' AND {_TAG} LIKE 'N%'), r AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM n),
+every AS (SELECT id, pos, w AS noun, 0 AS phrase FROM n UNION ALL SELECT id, max(pos), string_agg(w, ' ' ORDER BY pos), 1 FROM r GROUP BY id, run HAVING count(*) > 1),
+found AS (SELECT id, 'db' || id % 5 AS db_id, noun, min((pos, phrase)) AS place FROM every GROUP BY id, noun),
+kept AS (SELECT id, f.db_id, noun, row_number() OVER (PARTITION BY id ORDER BY place) AS noun_pos FROM found f WHERE {_reason_sql('noun', "EXISTS (SELECT 1 FROM names WHERE names.db_id = f.db_id AND name IN (lower(noun), trim(regexp_replace(replace(lower(noun), '_', ' '), '\\s+', ' ', 'g'))))")} = ''),
+scored AS (SELECT k.id, k.noun, noun_pos, t.text, idx, weight * CASE WHEN (length(noun) + length(t.text)) % 2 = 0 THEN 1.0 ELSE 0.96 END AS s FROM kept k JOIN targets t ON k.db_id = t.db_id),
+best AS (SELECT id, noun, noun_pos, arg_max(text, (s, -idx)) AS target, max(s) AS s FROM scored GROUP BY ALL),
+per AS (SELECT id, target, min((-s, noun_pos)) AS first, arg_min(noun, (-s, noun_pos)) AS noun, max(s) AS s FROM best WHERE s >= {_HINTED} GROUP BY id, target)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY first) AS place, noun, target, CAST(round(s, 4) AS DOUBLE) AS similarity FROM per QUALIFY place <= 3""")
+def i02_augmented_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints of all turns, from tagged words over the filter and the encoder to the best targets."""
+    words = F.transform(F.split("text", r"\s+"), lambda w: F.struct(w.alias("token"), F.when(w.rlike("^[a-h]"), "N").when(w.rlike("^[A-Z]"), "Np").otherwise("V").alias("tag")))
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("example_idx")).agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")).filter("n = 1")
+    examples = turns.select("example_idx", F.concat(F.lit("db"), (F.col("example_idx") % 5).cast("string")).alias("db_id"), words.alias("tagged"))
+    s = _schemas(spark, sf_dir)
+    targets = files.stored(schema.targets(s), "targets")
+    vectors = matching.encode_texts(targets, "by-length", _by_length, matching.document_prefix("by-length"), kind="document").withColumnRenamed("text", "t")
+    targets = targets.join(vectors, targets.text == vectors.t).drop("t")
+    encode = lambda texts: matching.encode_texts(texts, "by-length", _by_length, matching.query_prefix("by-length"))
+    hints = matching.augment(examples, schema.schema_names(s), targets, encode, _HINTED)
+    each = hints.select(F.col("example_idx").alias("id"), F.posexplode("hints").alias("p", "h"))
+    return each.select("id", (F.col("p") + 1).cast("long").alias("place"), F.col("h.vi_noun").alias("noun"), F.concat_ws(" ", "h.table", "h.column").alias("target"), "h.similarity")
+
+
 # -- structural scores and execution
 
 PAIRS = [
