@@ -74,11 +74,14 @@ def has_mark(text: Column) -> Column:
 
 
 def ascii_letter_ratio(text: Column) -> Column:
-    """ASCII letters among all letters; 0 without letters."""
+    """ASCII letters among all letters; 0 without letters.
+
+    Each count is made once: other letters are looked for in what is left
+    without ASCII, and a null quotient stands for no letters.
+    """
     ascii_letters = F.length(F.regexp_replace(text, "[^a-zA-Z]++", ""))
-    #: Only texts beyond ASCII have other letters.
-    letters = F.when(F.octet_length(text) == F.length(text), ascii_letters).otherwise(F.length(F.regexp_replace(text, r"[^\p{L}]++", "")))
-    return F.when(letters > 0, ascii_letters / letters).otherwise(0.0)
+    others = F.length(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x7f]++", ""), r"[^\p{L}]++", ""))
+    return F.coalesce(F.try_divide(ascii_letters.cast("double"), ascii_letters + others), F.lit(0.0))
 
 
 def is_stopword(noun: Column) -> Column:
