@@ -28,7 +28,8 @@ def rows(names, data):
 def test_query(spark, sf, db, name):
     df = QUERIES[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    assert got[1]
+    #: A few conditions need more rows than the smallest tables have; none may give nothing on the next size.
+    assert got[1] or not QUERIES[name](spark, sf.replace("sf0.001", "sf0.01")).isEmpty()
     if name in ORACLES:
         cur = db.execute(ORACLES[name])
         assert got == rows([d[0] for d in cur.description], cur.fetchall())
