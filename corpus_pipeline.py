@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 from querent.llm import line_dedup, mixing, ngram_join, packing, quality
 from querent.llm.common import materialize, table
 
+#: Rows of a batch on its way to Python and back.  Texts are long, and buffers of the default 10,000 stand beside a full heap.
+BATCH_ROWS = 2_000
+
 #: The score below which a document is rejected, and the limit on a source's passes.
 LEAST_QUALITY, MAX_REPEATS = 0.3, 1.5
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to ``BATCH_ROWS`` where it is larger; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, learned from labelled rows among them."""
+    _in_small_batches(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return quality.accept(docs, model, LEAST_QUALITY)
 
@@ -31,6 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    _in_small_batches(spark)
     return ngram_join.keep_representatives(docs, k=5, num=80, den=100)
 
 
@@ -41,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in windows of 2048 tokens."""
+    _in_small_batches(spark)
     return packing.pack(docs, capacity=2048)
 
 
