@@ -7,7 +7,6 @@ executors; levels are a rollup over what comes back.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import replace
 from functools import partial
