@@ -1,9 +1,11 @@
 """Structural matching of many pairs as joins and one aggregate.
 
-Each different statement is parsed once, wherever it occurs.  Its canonical
-form, in which what the measure ignores is gone and what it compares as a
-multiset is sorted, is hashed: a pair matches exactly where both fingerprints
-are equal.  Its clauses become arrays of texts in which repeats are numbered,
+Statements that differ in literals only have one form, which SQL functions make;
+each different form is parsed once, wherever it occurs, and a statement is parsed
+by itself only where its literals matter.  What is parsed is hashed in a canonical
+shape, in which what the measure ignores is gone and what it compares as a
+multiset is sorted: a pair matches exactly where both fingerprints are equal.
+Its clauses become arrays of texts in which repeats are numbered,
 so the shared part of two multisets is the intersection of two sets.  Pairs of
 equal clauses are counted before they are scored, and levels are grouping sets.
 """
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from querent.operators.exact import PARTS, Databases, hardness, keywords, normalise
 from querent.plans.ir import EMPTY, Query, conditions, connectors, to_json
-from querent.plans.parser import ParseError, parse
+from querent.plans.parser import Names, ParseError, parse, tokenize
+from querent.sources.files import stored
 
 
 def numbered(texts: list[str]) -> list[str]:
@@ -68,55 +71,117 @@ def fingerprint(q: Query) -> str:
 
 
 _CLAUSES = pa.list_(pa.list_(pa.string()))
-_STATEMENTS = pa.schema([("db_id", pa.string()), ("sql", pa.string()), ("fingerprint", pa.string()), ("level", pa.string()), ("error", pa.string()), ("clauses", _CLAUSES)])
-_STATEMENTS_DDL = "db_id string, sql string, fingerprint string, level string, error string, clauses array<array<string>>"
+_STATEMENTS = pa.schema([("db_id", pa.string()), ("sql", pa.string()), ("fingerprint", pa.string()), ("level", pa.string()), ("error", pa.string()), ("clauses", _CLAUSES), ("is_form", pa.bool_())])
+_STATEMENTS_DDL = "db_id string, sql string, fingerprint string, level string, error string, clauses array<array<string>>, is_form boolean"
 
+#: What stands for a text, a whole number and another number in a form, and what stands there when a form is tried again.
+FILLED = {'"value"': '"other"', "271828182845904": "314159265358979", "271828.182845904": "314159.265358979"}
+_TEXT, _WHOLE, _OTHER = FILLED
+_NUMBER = r"(?<![^\s();<>])-?\d{1,15}%s(?![^\s();<>])"
 
-def _statements(batches: Iterator[pa.RecordBatch], dbs: Databases) -> Iterator[pa.RecordBatch]:
+
+def form(sql: Column) -> Column:
+    """The statement with fillings in place of literals: quoted spans, and numbers that are a token of their own.
+
+    Whole numbers have their own filling, as LIMIT takes no others.  Equal
+    statements have equal forms, and a form is its own form.
+    """
+    quoted = F.regexp_replace(F.translate(sql, "'", '"'), '"[^"]*"', _TEXT)
+    whole = F.regexp_replace(quoted, _NUMBER % "", _WHOLE)
+    return F.regexp_replace(whole, _NUMBER % r"(?:\.\d{1,15}(?:[eE]-?\d{1,3})?|[eE]-?\d{1,3})", _OTHER)
+
+
+def _judged(sql: str, names: Names, keys: dict[str, str]) -> tuple:
+    """(fingerprint, level, error, clauses) of a text."""
+    try:
+        q, error = parse(sql, names), None
+        level = hardness(q)
+    except (ParseError, RecursionError) as e:
+        q, error, level = EMPTY, f"{type(e).__name__}: {e}", None
+    q = normalise(q, names, keys)
+    own = clauses(q)
+    return fingerprint(q), level, error, [own[p] for p in PARTS]
+
+
+def _is_free(text: str, judged: tuple, names: Names, keys: dict[str, str]) -> bool:
+    """Whether all statements of a form are judged alike.
+
+    The parser only asks of a literal which kind it is, and passes it on, into
+    the query or a message; where either still shows in the result, another
+    filling changes it.  Only an alias is compared with other tokens.
+    """
+    other = text
+    for a, b in FILLED.items():
+        other = other.replace(a, b)
+    if other == text:
+        return True
+    if judged != _judged(other, names, keys):
+        return False
+    try:
+        tokens = tokenize(text)
+    except ParseError:
+        return True
+    return not any(t == "as" and not FILLED.keys().isdisjoint(tokens[max(0, i - 1) : i + 2]) for i, t in enumerate(tokens))
+
+
+def _statements(batches: Iterator[pa.RecordBatch], dbs: Databases, forms: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for db, sql in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            try:
-                q, error = parse(sql or "", dbs.names[db]), None
-                level = hardness(q)
-            except (ParseError, RecursionError) as e:
-                q, error, level = EMPTY, f"{type(e).__name__}: {e}", None
-            q = normalise(q, dbs.names[db], dbs.keys[db])
-            own = clauses(q)
-            rows.append((db, sql, fingerprint(q), level, error, [own[p] for p in PARTS]))
+            own = _judged(sql or "", dbs.names[db], dbs.keys[db])
+            rows.append((db, sql, *own, forms and _is_free(sql or "", own, dbs.names[db], dbs.keys[db])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STATEMENTS, strict=True)], schema=_STATEMENTS)
 
 
 def statements(texts: DataFrame, dbs: Databases) -> DataFrame:
-    """(db_id, sql, fingerprint, level, error, clauses) of different texts (db_id, sql).
+    """(db_id, sql, fingerprint, level, error, clauses, is_form) of different texts (db_id, sql); none is a form.
 
     ``clauses`` has an array for each of ``PARTS``, in that order.  A text that
     does not parse has an error, no level, and the clauses of an empty query.
     """
-    return texts.select("db_id", "sql").mapInArrow(partial(_statements, dbs=dbs), _STATEMENTS_DDL)
+    return texts.select("db_id", "sql").mapInArrow(partial(_statements, dbs=dbs, forms=False), _STATEMENTS_DDL)
 
 
 def statements_of(pairs: DataFrame, dbs: Databases) -> DataFrame:
-    """The different statements on both sides of pairs (id, db_id, gold_sql, pred_sql); a null prediction counts as an empty text."""
+    """What ``matched`` needs of both sides of pairs (id, db_id, gold_sql, pred_sql); a null prediction counts as an empty text.
+
+    As ``statements``, but ``sql`` is a form (``is_form``) that stands for all its
+    statements, or a statement whose literals matter: those of nested queries
+    and of columns, for instance.
+    """
     sides = pairs.select("db_id", F.col("gold_sql").alias("sql")).union(pairs.select("db_id", F.coalesce("pred_sql", F.lit(""))))
-    return statements(sides.distinct(), dbs)
+    different = sides.select("db_id", form(F.col("sql")).alias("sql")).distinct()
+    forms = stored(different.mapInArrow(partial(_statements, dbs=dbs, forms=True), _STATEMENTS_DDL), "forms")
+    rest = forms.filter("NOT is_form").select(F.col("db_id").alias("_d"), F.col("sql").alias("_f"))
+    if rest.isEmpty():
+        return forms
+    alone = sides.join(rest, (F.col("db_id") == F.col("_d")) & form(F.col("sql")).eqNullSafe(F.col("_f")), "left_semi").distinct()
+    return forms.filter("is_form").union(statements(alone, dbs))
+
+
+def _with_side(pairs: DataFrame, known: DataFrame, side: str, sql: Column) -> DataFrame:
+    """Pairs with what is known of one side, as a struct ``side``, by its form or else by its text."""
+    told = F.struct("fingerprint", "level", "error")
+    by = [known.filter(which).select(F.col("db_id").alias(f"_d{i}"), F.col("sql").alias(f"_s{i}"), told.alias(f"_t{i}")) for i, which in enumerate(("is_form", "NOT is_form"))]
+    out = pairs.join(by[0], (F.col("db_id") == F.col("_d0")) & (form(sql) == F.col("_s0")), "left")
+    out = out.join(by[1], (F.col("db_id") == F.col("_d1")) & (sql == F.col("_s1")), "left")
+    return out.withColumn(side, F.coalesce("_t0", "_t1")).filter(F.col(side).isNotNull()).drop("_d0", "_s0", "_t0", "_d1", "_s1", "_t1")
 
 
 def matched(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(id, db_id, hardness, exact_match, error, gold, pred) of pairs (id, db_id, gold_sql, pred_sql).
 
-    Two equi-joins of the pairs with ``known``, their ``statements_of``;
-    ``gold`` and ``pred`` are fingerprints.  A prediction that does not parse
-    matches nothing.  A gold query that does not parse fails the job, as it is
-    an error of the data.
+    Equi-joins of the pairs with ``known``, their ``statements_of``, by forms and
+    by the texts of which no form is known; ``gold`` and ``pred`` are
+    fingerprints.  A prediction that does not parse matches nothing.  A gold
+    query that does not parse fails the job, as it is an error of the data.
     """
-    gold = known.select(F.col("db_id").alias("_d"), F.col("sql").alias("_g"), F.col("fingerprint").alias("gold"), F.col("level").alias("hardness"), F.col("error").alias("gold_error"))
-    pred = known.select(F.col("db_id").alias("_e"), F.col("sql").alias("_p"), F.col("fingerprint").alias("pred"), "error")
-    out = pairs.join(gold, (F.col("db_id") == F.col("_d")) & (F.col("gold_sql") == F.col("_g")))
-    out = out.join(pred, (F.col("db_id") == F.col("_e")) & (F.coalesce("pred_sql", F.lit("")) == F.col("_p")))
-    level = F.when(F.col("gold_error").isNotNull(), F.raise_error(F.concat(F.lit("gold query: "), F.col("gold_error")))).otherwise(F.col("hardness"))
-    return out.select("id", "db_id", level.alias("hardness"), (F.col("error").isNull() & (F.col("gold") == F.col("pred"))).alias("exact_match"), "error", "gold", "pred")
+    out = _with_side(pairs.select("id", "db_id", "gold_sql", "pred_sql"), known, "g", F.col("gold_sql"))
+    out = _with_side(out, known, "p", F.coalesce("pred_sql", F.lit("")))
+    level = F.when(F.col("g.error").isNotNull(), F.raise_error(F.concat(F.lit("gold query: "), F.col("g.error")))).otherwise(F.col("g.level"))
+    same = F.col("p.error").isNull() & (F.col("g.fingerprint") == F.col("p.fingerprint"))
+    return out.select("id", "db_id", level.alias("hardness"), same.alias("exact_match"), F.col("p.error").alias("error"), F.col("g.fingerprint").alias("gold"), F.col("p.fingerprint").alias("pred"))
 
 
 def part_scores(gold: Column, pred: Column) -> Column:

@@ -161,6 +161,23 @@ def test_gold_that_does_not_parse_is_raised(spark, dbs):
         fingerprints.matched(df, fingerprints.statements_of(df, dbs)).collect()
 
 
+def test_statements_that_differ_in_literals_are_parsed_as_one_form(spark, dbs):
+    """Literals do not make more to parse; where they matter, statements are told apart, with their own errors."""
+    like = [f"SELECT id FROM t WHERE score > {v} AND name = {n} LIMIT {k}" for v in ("1", "-2.5", "1.25E7") for n in ("'a'", '"b ( 7 "') for k in (3, 4)]
+    own = [
+        *(f"SELECT id FROM t WHERE id IN ( SELECT n FROM u LIMIT {k} )" for k in (3, 4)), *(f"SELECT count(*) FROM ( SELECT id FROM t WHERE id > {k} )" for k in (3, 4)),
+        *(f"SELECT id FROM t LIMIT {k}" for k in ("5", "5.5", "6.5")), *(f"SELECT id FROM t WHERE {k} = id" for k in ("5", "6", "5.5")), "SELECT id FROM t AS 5 JOIN u AS 6 ON 5.id = 6.id", "SELECT id FROM 5 AS t",
+        "SELECT id FROM t WHERE name = 'a", "SELECT id FROM t WHERE id > 5,6", "SELECT id FROM t WHERE name = 'a' 'b'", "; SELECT id FROM t WHERE id > 7", "; SELECT id FROM t WHERE id > 8",
+    ]
+    golds = [s for s in [*like, *own] if fingerprints._judged(s, dbs.names["d"], dbs.keys["d"])[2] is None]
+    df = spark.createDataFrame([(i, "d", g, p) for i, (g, p) in enumerate(itertools.product(golds, [*like, *own]))], "id long, db_id string, gold_sql string, pred_sql string")
+    known = fingerprints.statements_of(df, dbs).cache()
+    short = lambda d: sorted(map(tuple, d.select("id", "hardness", "exact_match", "error").collect()))
+    assert short(fingerprints.matched(df, known)) == short(exact.score_pairs(df, dbs))
+    alike = known.filter("sql LIKE 'SELECT id FROM t WHERE score > %'").collect()
+    assert len(alike) == 2 and all(r.is_form for r in alike)
+
+
 def test_no_pairs(spark, dbs):
     df = spark.createDataFrame([], "id long, db_id string, gold_sql string, pred_sql string")
     known = fingerprints.statements_of(df, dbs)
