@@ -166,3 +166,18 @@ def test_catalog_entries(catalog):
     e = entry_of(catalog, "d", [("u.id", "t.id")])
     assert e["foreign_keys"] == [[5, 1]] and schema_of(catalog) == {"t": ["id", "name", "score", "ref"], "u": ["id", "n"]}
     assert schema_of_json([{"table": "A", "col_data": [{"column_name": "B"}]}]) == {"a": ["b"]}
+
+
+def test_not_in_reads_all_orders(spark):
+    """r08_not_in: a customer of any order is out, whatever the order's price, so only the one without orders is left."""
+    import duckdb
+
+    from querent.queries import ORACLES, RELATIONAL
+
+    customers, orders = [(1,), (2,), (3,)], [(1, 10.0), (2, 500000.0)]
+    tables = {"customer": spark.createDataFrame(customers, "c_custkey long"), "orders": spark.createDataFrame(orders, "o_custkey long, o_totalprice double")}
+    assert [tuple(r) for r in compile_query(spark, RELATIONAL["r08_not_in"][0], Catalog(tables)).collect()] == [(3,)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE customer AS SELECT * FROM (VALUES (1), (2), (3)) t(c_custkey)")
+    c.execute("CREATE TABLE orders AS SELECT * FROM (VALUES (1, 10.0), (2, 500000.0)) t(o_custkey, o_totalprice)")
+    assert c.execute(ORACLES["r08_not_in"]).fetchall() == [(3,)]
