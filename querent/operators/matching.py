@@ -266,6 +266,25 @@ def filter_counts(examples: DataFrame) -> DataFrame:
     return e.select("example_idx", F.size("raw").alias("total_nouns_before_filter"), *(count(r) for r in REASONS), F.size("kept").alias("nouns_after_filter"), "kept", "raw", "reasons")
 
 
+def filter_totals(examples: DataFrame) -> DataFrame:
+    """One row of the totals of ``filter_counts`` over examples(example_idx, raw, names).
+
+    Nouns are counted by text and list of names, and each different one is judged
+    once, in a row of its own.  A reason is that of the stripped noun; an example
+    counts each noun that stays once.
+    """
+    from querent.functions.text import REASONS, filter_reason, strip
+
+    said = examples.select("names", F.transform("raw", strip).alias("raw"))
+    every = said.select("names", F.explode("raw").alias("noun")).groupBy("names", "noun").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("own"))
+    own = said.select("names", F.explode(F.array_distinct("raw")).alias("noun")).groupBy("names", "noun").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("own"))
+    each = every.union(own).groupBy("names", "noun").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    judged = each.withColumn("reason", filter_reason(F.col("noun"), F.col("names")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by = [total(F.when(F.col("reason") == r, F.col("n"))).alias(r) for r in REASONS]
+    return judged.agg(total("n").alias("total_nouns_before_filter"), *by, total(F.when((F.col("reason") == "") & (F.col("noun") != ""), F.col("own"))).alias("nouns_after_filter"))
+
+
 def top_removed_stopwords(counted: DataFrame, per_example: int = 10, most: int = 10) -> DataFrame:
     """(term, n): each example gives its ``per_example`` commonest removed stop-words."""
     each = counted.select("example_idx", F.posexplode(F.arrays_zip("raw", "reasons")).alias("pos", "x")).filter("x.reasons = 'vietnamese_stopwords_removed'")

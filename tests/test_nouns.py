@@ -32,3 +32,14 @@ def test_reasons_equal_those_with_an_array_of_names(spark):
     rows = nouns.reasons(df, spark.createDataFrame(names, "db_id string, name string")).collect()
     assert {(r.db_id, r.noun): r.reason for r in rows} == want and len(rows) == len(want)
     assert sum(v == "schema_name_duplicates_removed" for v in want.values()) > 4
+
+
+def test_filter_totals_are_the_sums_of_examples(spark):
+    """Nouns judged once each against each example by itself: null and empty lists and names, repeats, white space of any kind."""
+    from querent.operators import matching, stats
+
+    rows = [(1, ["tên", "Tên\u00a0", "a", "singer", "Singer ", "ca sĩ", "ca sĩ", "ca sĩ\u00a0", None], ["Singer"]), (2, ["ca sĩ", "singer", "", " ", "x" * 31], []), (3, [], ["Singer"]), (4, None, ["Singer"]), (5, ["concert", "ca sĩ", "hát"], None), (6, ["ca sĩ", "hát"], ["hát", None])]
+    df = spark.createDataFrame(rows, "example_idx long, raw array<string>, names array<string>")
+    want = stats.filter_stats(matching.filter_counts(df.filter("raw IS NOT NULL")), df).first()
+    assert stats.filter_stats(matching.filter_totals(df), df).first() == want and want.nouns_after_filter > 0
+    assert set(stats.filter_stats(matching.filter_totals(df.limit(0)), df).first()) == {0}
