@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.operators.schema import priority
+from querent.sources.files import stored
 
 #: Text prefixes of the default family of encoders, and the hint limit.
 QUERY_PREFIX, DOCUMENT_PREFIX, MAX_HINTS = "query: ", "passage: ", 3
@@ -244,11 +245,20 @@ def augment(examples: DataFrame, names: DataFrame, targets: DataFrame, encode_no
 
     names(db_id, names), targets with embeddings; ``encode_nouns`` maps distinct
     texts to (text, embedding).  Returns example_idx, db_id, raw, candidates, hints.
+    Nouns are rows, and names a dictionary to join them with, so a noun is judged
+    once for each database, however many names that has.
     """
-    from querent.functions.text import kept_nouns, noun_candidates
-
-    e = examples.join(names, "db_id", "left").withColumn("raw", noun_candidates(F.col("tagged")))
-    e = e.withColumn("candidates", kept_nouns(F.col("raw"), F.coalesce("names", F.array().cast("array<string>"))))
+    from querent.operators.nouns import candidates, reasons
+
+    db = examples.select("example_idx", "db_id")
+    tokens = examples.select(F.col("example_idx").alias("text_id"), F.posexplode("tagged").alias("pos", "x")).select("text_id", "pos", "x.token", "x.tag")
+    found = db.join(candidates(tokens).select(F.col("text_id").alias("example_idx"), "place", F.col("candidate").alias("noun")), "example_idx")
+    judged = reasons(found, names.select("db_id", F.explode("names").alias("name"))).select(F.col("db_id").alias("_d"), F.col("noun").alias("_n"), "reason")
+    each = found.join(judged, F.col("db_id").eqNullSafe(F.col("_d")) & (F.col("noun") == F.col("_n")))
+    own = each.groupBy("example_idx").agg(F.array_sort(F.collect_list(F.struct("place", "noun", "reason"))).alias("own"))
+    of = lambda x: F.coalesce(F.transform(x, lambda c: c["noun"]), F.array().cast("array<string>"))
+    e = db.join(own, "example_idx", "left").select("example_idx", "db_id", of(F.col("own")).alias("raw"), of(F.filter("own", lambda c: c["reason"] == "")).alias("candidates"))
+    e = stored(e, "candidates")
     nouns = e.select("example_idx", "db_id", F.posexplode("candidates").alias("noun_pos", "vi_noun"))
     vectors = encode_nouns(nouns.select(F.col("vi_noun").alias("text")).distinct()).withColumnRenamed("text", "vi_noun")
     hints = limit_hints(ranked_matches(best_targets(nouns.join(vectors, "vi_noun"), targets, threshold)))

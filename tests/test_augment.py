@@ -265,3 +265,23 @@ def test_lines_of_many_blocks_and_files(spark, tmp_path):
     out = str(tmp_path / "written")
     files.write_lines_of(spark.range(500), out, F.concat(F.lit("n"), F.col("id").cast("string")), -F.col("id"), files=7)
     assert [r.sql for r in files.predictions(spark, out).orderBy("idx").collect()] == [f"n{i}" for i in range(499, -1, -1)]
+
+
+def test_nouns_are_judged_in_rows_as_in_arrays(spark):
+    """Candidates equal those of the array functions, and no list of names goes along with the nouns."""
+    from pyspark.sql import functions as F
+
+    from querent.functions.text import kept_nouns, noun_candidates
+
+    tags = "array<struct<token: string, tag: string>>"
+    nouns = [("ca", "N"), ("sĩ", "Np"), ("hát", "V"), ("Singer", "N"), ("tên", "N"), ("ca", "N"), (" ", "N"), ("đêm", "N"), (None, "N"), ("diễn", "N"), ("nhạc", None)]
+    rows = [(0, "d", nouns), (1, "e", nouns), (2, None, nouns), (3, "d", []), (4, "d", None), (5, "none", nouns[:2]), (6, "d", [("hát", "V")])]
+    examples = spark.createDataFrame(rows, f"example_idx long, db_id string, tagged {tags}")
+    names = spark.createDataFrame([("d", ["Singer", "đêm"]), ("e", ["diễn", None, "CA"])], "db_id string, names array<string>")
+    targets = spark.createDataFrame([("d", 0, "singer", None, "entity", [1.0, 0.0])], "db_id string, target_idx long, table string, column string, table_type string, embedding array<float>")
+    out = matching.augment(examples, names, targets, lambda texts: texts.withColumn("embedding", F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>")))
+    raw = F.coalesce(noun_candidates(F.col("tagged")), F.array().cast("array<string>"))
+    want = examples.join(names, "db_id", "left").withColumn("raw", raw).withColumn("kept", kept_nouns(F.col("raw"), F.coalesce("names", F.array().cast("array<string>"))))
+    got = {r.example_idx: (r.db_id, r.raw, r.candidates) for r in out.collect()}
+    assert got == {r.example_idx: (r.db_id, r.raw, r.kept) for r in want.collect()} and any(c for *_, c in got.values())
+    assert "array_union" not in out._jdf.queryExecution().toString()
