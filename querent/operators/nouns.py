@@ -15,12 +15,14 @@ def candidates(tokens: DataFrame) -> DataFrame:
     text follow one another.  In a run the difference of a noun's position and
     its number among the text's nouns stays the same, which tells runs apart.  A
     phrase comes after its nouns; candidates that repeat count where they first
-    occur.  The same candidates as ``noun_candidates`` gives for an array.
+    occur.  All steps are by text, so rows are dealt once.  The same candidates as ``noun_candidates`` gives for an array.
     """
-    nouns = tokens.select("text_id", "pos", strip(F.col("token")).alias("token"), "tag").filter((F.col("token") != "") & is_noun_tag(F.col("tag")))
+    nouns = tokens.filter(is_noun_tag(F.col("tag"))).select("text_id", "pos", strip(F.col("token")).alias("token")).filter("token <> ''")
     runs = nouns.withColumn("run", F.col("pos") - F.expr("row_number() OVER (PARTITION BY text_id ORDER BY pos)"))
-    phrases = runs.groupBy("text_id", "run").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("candidate")).filter("n >= 2")
-    every = nouns.select("text_id", "pos", F.col("token").alias("candidate"), F.lit(False).alias("phrase")).union(phrases.select("text_id", "pos", "candidate", F.lit(True)))
+    own = runs.groupBy("text_id", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
+    each = F.transform("own", lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("candidate"), F.lit(False).alias("phrase")))
+    whole = F.array(F.struct(F.element_at("own", -1)["pos"].alias("pos"), F.array_join(F.transform("own", lambda x: x["token"]), " ").alias("candidate"), F.lit(True).alias("phrase")))
+    every = own.select("text_id", F.explode(F.when(F.size("own") >= 2, F.concat(each, whole)).otherwise(each)).alias("c")).select("text_id", "c.*")
     first = every.groupBy("text_id", "candidate").agg(F.min(F.struct("pos", "phrase")).alias("at"))
     place = F.expr("row_number() OVER (PARTITION BY text_id ORDER BY at.pos, at.phrase)") - 1
     return first.select("text_id", place.alias("place"), "candidate", F.col("at.phrase").alias("phrase"))

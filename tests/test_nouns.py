@@ -43,3 +43,11 @@ def test_filter_totals_are_the_sums_of_examples(spark):
     want = stats.filter_stats(matching.filter_counts(df.filter("raw IS NOT NULL")), df).first()
     assert stats.filter_stats(matching.filter_totals(df), df).first() == want and want.nouns_after_filter > 0
     assert set(stats.filter_stats(matching.filter_totals(df.limit(0)), df).first()) == {0}
+
+
+def test_tokens_are_dealt_once(spark):
+    """Runs, repeats and places of a text are found where its tokens are: one exchange."""
+    tokens = spark.createDataFrame([(1, 0, "a", "N"), (1, 1, "b", "N"), (1, 2, "a", "N")], "text_id long, pos int, token string, tag string")
+    out = nouns.candidates(tokens)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "a", False), (1, 1, "b", False), (1, 2, "a b a", True)]
