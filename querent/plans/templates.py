@@ -15,7 +15,7 @@ from dataclasses import dataclass, fields, is_dataclass, replace
 from pyspark.sql import types as T
 
 from querent.plans.compiler import _NUMBER, _TIME, Compiler
-from querent.plans.ir import COMPARISONS, Column, Condition, Query, Source, conditions
+from querent.plans.ir import COMPARISONS, Column, Condition, Query, Source, conditions, connectors
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,34 @@ def abstract(q: Query, types: Types) -> tuple[Query, list[str]]:
     return replace(q, **parts), values
 
 
+def _params(node: object) -> bool:
+    if is_dataclass(node):
+        return isinstance(node, Param) or any(_params(getattr(node, f.name)) for f in fields(node))
+    return isinstance(node, tuple) and any(map(_params, node))
+
+
+_SORTED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType, T.DecimalType, T.StringType, *_TIME)
+
+
+def ranges_of(q: Query, types: Types) -> tuple[list[Condition], list[Condition]] | None:
+    """(conditions with parameters, the others) of a template that takes rows of one table whose columns are equal to values and between bounds, at least one of these; None of any other template.
+
+    Conditions stand in a conjunction; nothing is grouped, sorted or limited.
+    """
+    if len(q.sources) != 1 or q.joins or q.distinct or q.group or q.having or q.order or (q.limit is not None and q.limit >= 0) or TemplateCompiler.aggregates(q):
+        return None
+    own = [c for c in conditions(q.where) if _params(c)]
+    if set(connectors(q.where)) - {"and"} or all(COMPARISONS[c.op] == "=" for c in own):
+        return None
+    for c in own:
+        wanted = {"=": 1, ">": 1, "<": 1, ">=": 1, "<=": 1, "between": 2}.get(COMPARISONS[c.op], 0)
+        if not wanted or c.negated or c.unit.op or c.unit.left.agg or c.unit.left.distinct or [isinstance(x, Param) for x in (c.low, c.high)] != [True, wanted > 1]:
+            return None
+        if not isinstance(Compiler(types).type_of(c.unit.left), _SORTED):  # type: ignore[arg-type]
+            return None
+    return own, [c for c in conditions(q.where) if not _params(c)]
+
+
 class TemplateCompiler(Compiler):
     """Compiles a template over ``_p``, a table of statements (stmt, p0, p1, ...)."""
 
@@ -156,6 +184,12 @@ class TemplateCompiler(Compiler):
             text += f" HAVING {self.conditions(q.having, q)}"
         return text, keys, [f"_c{i}" for i in range(len(items))]
 
+    def bounded(self, q: Query, own: list[Condition], others: list[Condition]) -> str:
+        """The rows of a template of ``ranges_of`` that meet its other conditions: _c0, ... and, of its own conditions, v0, ..."""
+        shown = [*(f"{t} AS `_c{i}`" for i, t in enumerate(self.items(q))), *(f"{self.column(c.unit.left, q)} AS `v{i}`" for i, c in enumerate(own))]
+        text = f"SELECT {', '.join(shown)} FROM {self.source(q.sources[0], 0)}"
+        return text + (f" WHERE {' AND '.join(self.condition(c, q) for c in others)}" if others else "")
+
     @staticmethod
     def aggregates(q: Query) -> bool:
         keys = [c for v in (q.order[1] if q.order else ()) for c in (v.left, v.right) if c]

@@ -80,6 +80,23 @@ def test_templates(catalog):
     assert not is_simple(parse("SELECT id FROM t WHERE id IN (SELECT id FROM u)", catalog.names, strict=False))
 
 
+def test_statements_of_a_form_are_parsed_once(catalog, monkeypatch):
+    """A statement taken apart as one of a form is what it is by itself; more values make no more to parse."""
+    book, rng = batches.Book(catalog, {}), random.Random(4)
+    texts = [
+        "SELECT id FROM t WHERE id = {n}", "SELECT id FROM t WHERE score > {n} AND name = {s}", "SELECT id FROM t WHERE id IN ( {n} , {n} ) OR name LIKE {s}", "SELECT id FROM t WHERE id = {s}", "SELECT id FROM t WHERE name = {n}", "SELECT n FROM u WHERE day >= {s}",
+        "SELECT id FROM t WHERE id > {n} ORDER BY id LIMIT {k}", "SELECT id FROM t WHERE id IN (SELECT id FROM u WHERE n > {n})", "SELECT id FROM t WHERE id > - {n}", "SELECT id FROM t AS {n} WHERE id > {n}", "SELECT ref FROM t GROUP BY ref HAVING max(score) > {n} AND count(*) < {n}", "SELECT id FROM t WHERE id = {n} {n}",
+    ]
+    fill = lambda t: t.replace("{k}", rng.choice("34")) if "{" not in t.replace("{k}", "") else fill(t.replace("{n}", rng.choice(["5", "7", "-5", "-0", "5.5", "5.0", "1e3", "12345678901234567890", "9007199254740993"]), 1) if "{n}" in t else t.replace("{s}", rng.choice(["'a'", "'b'", "''", "'2'", '"3.5"', "'limit 5'", "'a 5 b'", "'nan'", "'it','s'"]), 1))
+    forms = batches.Forms({"d": book})
+    for sql in (fill(t) for t in texts * 60):
+        assert forms.take_apart("d", sql) == batches.take_apart("d", sql, book), sql
+    seen = []
+    monkeypatch.setattr(batches, "parse", lambda *a, **k: (seen.append(a), parse(*a, **k))[1])
+    rows = list(batches._take(iter([batches.pa.record_batch([["d"] * 500, [f"SELECT id FROM t WHERE id = {i} AND name = 'x{i}'" for i in range(500)]], names=["db_id", "sql"])]), {"d": book}))
+    assert rows[0].num_rows == 500 and len(set(rows[0].column("stmt").to_pylist())) == 500 and len(seen) <= 4
+
+
 def test_late_and_failing_templates_fail_alone(spark, catalog):
     rows = [(0, "d", "SELECT id FROM t WHERE id = 1", "SELECT id FROM t WHERE id = 1"), (1, "d", "SELECT id FROM t WHERE id = 1", None)]
     df = spark.createDataFrame(rows, "id long, db_id string, gold_sql string, pred_sql string")
