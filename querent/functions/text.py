@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ MARKED = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹ
 REASONS = ("too_short_removed", "too_long_removed", "vietnamese_stopwords_removed", "schema_name_duplicates_removed", "english_nouns_removed")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -41,22 +48,19 @@ def is_noun_tag(tag: Column) -> Column:
 def noun_candidates(tagged: Column, phrases: bool = True) -> Column:
     """Nouns of an array<struct<token, tag>>, and runs of two or more as phrases.
 
-    A run's phrase comes where the run ends, after its nouns.
+    A run's phrase comes where the run ends, after its nouns.  Nouns are placed
+    first and cut where places do not follow one another, so that work grows
+    with the tokens.
     """
-    empty = F.array().cast("array<string>")
-
-    def closed(s: Column) -> Column:
-        run = F.when(F.size(s["run"]) >= 2, F.array(F.array_join(s["run"], " "))).otherwise(empty)
-        return F.concat(s["out"], run) if phrases else s["out"]
-
-    def step(s: Column, x: Column) -> Column:
-        token = strip(x["token"])
-        noun = (token != "") & is_noun_tag(x["tag"])
-        grown = F.struct(F.concat(s["out"], F.array(token)).alias("out"), F.concat(s["run"], F.array(token)).alias("run"))
-        return F.when(noun, grown).otherwise(F.struct(closed(s).alias("out"), empty.alias("run")))
-
-    start = F.struct(empty.alias("out"), empty.alias("run"))
-    return unique(F.aggregate(tagged, start, step, closed))
+    placed = F.filter(F.transform(tagged, lambda x, i: F.struct(i.alias("pos"), x["token"].alias("token"), x["tag"].alias("tag"))), lambda x: is_noun_tag(x["tag"]))
+    own = F.filter(F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), strip(x["token"]).alias("token"))), lambda x: x["token"] != "")
+    if not phrases:
+        return F.array_distinct(F.transform(own, lambda x: x["token"]))
+    follows = lambda n, x, i: F.coalesce(F.get(n, i - 1)["pos"] == x["pos"] - 1, F.lit(False))
+    starts = lambda n: F.filter(F.transform(n, lambda x, i: F.when(~follows(n, x, i), i)), lambda i: i.isNotNull())
+    whole = lambda r: F.when(F.size(r) >= 2, F.concat(r, F.array(F.array_join(r, " ")))).otherwise(r)
+    cut = lambda n, s: F.transform(s, lambda at, k: F.transform(F.slice(n, at + 1, F.coalesce(F.get(s, k + 1), F.size(n)) - at), lambda x: x["token"]))
+    return F.array_distinct(let(own, lambda n: let(starts(n), lambda s: F.flatten(F.transform(cut(n, s), whole)))))
 
 
 def nouns(tagged: Column) -> Column:
@@ -104,6 +108,20 @@ def filter_reason(noun: Column, names: Column | None = None, named: Column | Non
     return out.when((ascii_letter_ratio(s) > 0.70) & ~has_mark(s), REASONS[4]).otherwise("")
 
 
+def is_plain(noun: Column) -> Column:
+    """Whether no reason but a schema name drops a stripped noun; false for null.
+
+    Cheap tests come first: letters of a text in ASCII are all ASCII letters.
+    Of 30 characters at most, more than 0.70 are ASCII letters where 3 times
+    their number is more than 7 times that of the others.
+    """
+    n = F.length(noun)
+    ascii_letters = F.length(F.regexp_replace(noun, "[^a-zA-Z]++", ""))
+    others = F.length(F.regexp_replace(F.regexp_replace(noun, r"[\x00-\x7f]++", ""), r"[^\p{L}]++", ""))
+    english = F.when(n == F.octet_length(noun), noun.rlike("[a-zA-Z]")).otherwise(~has_mark(noun) & (3 * ascii_letters > 7 * others))
+    return F.coalesce((n >= 2) & (n <= 30) & ~english & ~F.lower(noun).isin(*STOPWORDS), F.lit(False))
+
+
 def is_kept(noun: Column, names: Column | None = None) -> Column:
     return filter_reason(noun, names) == ""
 

@@ -162,10 +162,12 @@ def top_one(nouns: DataFrame, targets: DataFrame, keys: list[str], threshold: fl
     more are given.  Targets of a database are cut into blocks and its nouns
     into slices, so neither a large schema nor a database with most of the
     nouns meets in one task; a task multiplies batches of nouns with a block and
-    stops where no longer target could change a result.  Nouns and targets
-    without a vector take no part.
+    stops where no longer target could change a result.  Targets of a database
+    with equal vectors and weights score alike, so only the smallest of them is
+    asked.  Nouns and targets without a vector take no part.
     """
     x, t = nouns.filter("embedding IS NOT NULL AND db_id IS NOT NULL"), targets.filter("embedding IS NOT NULL")
+    t = t.groupBy("db_id", "weight", "embedding").agg(F.min("target_idx").alias("target_idx"))
     cut = lambda df, most, name: df.groupBy("db_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     sizes = cut(x, slice_rows, "slices").join(cut(t, block, "blocks"), "db_id")
     whole = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -200,10 +202,16 @@ def best_targets(nouns: DataFrame, targets: DataFrame, threshold: float = 0.8) -
     targets(db_id, target_idx, table, column, table_type, embedding).  Ties go
     to the first target; the threshold tests the unrounded value.
     """
+    best = _named_best(nouns, targets, ["example_idx", "noun_pos", "vi_noun"], threshold)
+    return best.select("example_idx", "noun_pos", "vi_noun", "table", "column", "similarity", "table_type")
+
+
+def _named_best(nouns: DataFrame, targets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(db_id, keys..., table, column, similarity, table_type) of each noun's best target."""
     weighted = targets.select("db_id", "target_idx", priority(F.col("table_type")).alias("weight"), "embedding")
-    best = top_one(nouns.select("db_id", "example_idx", "noun_pos", "vi_noun", "embedding"), weighted, ["example_idx", "noun_pos", "vi_noun"], threshold)
+    best = top_one(nouns.select("db_id", *keys, "embedding"), weighted, keys, threshold)
     named = targets.select("db_id", "target_idx", "table", "column", "table_type")
-    return best.join(named, ["db_id", "target_idx"]).select("example_idx", "noun_pos", "vi_noun", "table", "column", F.round("s", 4).alias("similarity"), "table_type")
+    return best.join(named, ["db_id", "target_idx"]).select("db_id", *keys, "table", "column", F.round("s", 4).alias("similarity"), "table_type")
 
 
 def ranked_matches(matches: DataFrame) -> DataFrame:
@@ -245,25 +253,22 @@ def augment(examples: DataFrame, names: DataFrame, targets: DataFrame, encode_no
 
     names(db_id, names), targets with embeddings; ``encode_nouns`` maps distinct
     texts to (text, embedding).  Returns example_idx, db_id, raw, candidates, hints.
-    Nouns are rows, and names a dictionary to join them with, so a noun is judged
-    once for each database, however many names that has.
+    Nouns are rows, found in one pass over the tokens; those that stay are
+    encoded and matched once for each text and database, then joined by text.
     """
-    from querent.operators.nouns import candidates, reasons
-
-    db = examples.select("example_idx", "db_id")
-    tokens = examples.select(F.col("example_idx").alias("text_id"), F.posexplode("tagged").alias("pos", "x")).select("text_id", "pos", "x.token", "x.tag")
-    found = db.join(candidates(tokens).select(F.col("text_id").alias("example_idx"), "place", F.col("candidate").alias("noun")), "example_idx")
-    judged = reasons(found, names.select("db_id", F.explode("names").alias("name"))).select(F.col("db_id").alias("_d"), F.col("noun").alias("_n"), "reason")
-    each = found.join(judged, F.col("db_id").eqNullSafe(F.col("_d")) & (F.col("noun") == F.col("_n")))
-    own = each.groupBy("example_idx").agg(F.array_sort(F.collect_list(F.struct("place", "noun", "reason"))).alias("own"))
-    of = lambda x: F.coalesce(F.transform(x, lambda c: c["noun"]), F.array().cast("array<string>"))
-    e = db.join(own, "example_idx", "left").select("example_idx", "db_id", of(F.col("own")).alias("raw"), of(F.filter("own", lambda c: c["reason"] == "")).alias("candidates"))
-    e = stored(e, "candidates")
-    nouns = e.select("example_idx", "db_id", F.posexplode("candidates").alias("noun_pos", "vi_noun"))
-    vectors = encode_nouns(nouns.select(F.col("vi_noun").alias("text")).distinct()).withColumnRenamed("text", "vi_noun")
-    hints = limit_hints(ranked_matches(best_targets(nouns.join(vectors, "vi_noun"), targets, threshold)))
-    out = e.select("example_idx", "db_id", "raw", "candidates").join(hints, "example_idx", "left")
-    return out.withColumn("hints", F.coalesce("hints", F.array().cast(f"array<{HINT}>")))
+    from querent.functions.text import noun_candidates
+    from querent.operators.nouns import kept
+
+    raw = F.coalesce(noun_candidates(F.col("tagged")), F.array().cast("array<string>"))
+    found = examples.select("example_idx", "db_id", F.posexplode(raw).alias("noun_pos", "noun"))
+    nouns = stored(kept(found, names.select("db_id", F.explode("names").alias("name"))).withColumnRenamed("noun", "vi_noun"), "nouns")
+    once = nouns.select("db_id", "vi_noun").distinct()
+    vectors = encode_nouns(once.select(F.col("vi_noun").alias("text")).distinct()).withColumnRenamed("text", "vi_noun")
+    best = _named_best(stored(once.join(vectors, "vi_noun"), "vectors"), targets, ["vi_noun"], threshold)
+    hints = limit_hints(ranked_matches(nouns.join(best, ["db_id", "vi_noun"])))
+    own = nouns.groupBy("example_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("noun_pos", "vi_noun"))), lambda x: x["vi_noun"]).alias("candidates"))
+    out = examples.select("example_idx", "db_id", raw.alias("raw")).join(own, "example_idx", "left").join(hints, "example_idx", "left")
+    return out.select("example_idx", "db_id", "raw", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"), F.coalesce("hints", F.array().cast(f"array<{HINT}>")).alias("hints"))
 
 
 def filter_counts(examples: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.functions.text import filter_reason, is_noun_tag, schema_name, strip
+from querent.functions.text import filter_reason, is_noun_tag, is_plain, schema_name, strip
 
 
 def candidates(tokens: DataFrame) -> DataFrame:
@@ -28,6 +28,24 @@ def candidates(tokens: DataFrame) -> DataFrame:
     return first.select("text_id", place.alias("place"), "candidate", F.col("at.phrase").alias("phrase"))
 
 
+def variants(names: DataFrame) -> DataFrame:
+    """(db_id, variant) of names (db_id, name): the texts that are taken for one of a database's names."""
+    return names.filter("name IS NOT NULL").select("db_id", F.explode(F.array(F.lower("name"), schema_name(F.col("name")))).alias("variant")).distinct()
+
+
+def kept(nouns: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of stripped nouns (db_id, noun, ...) that stay, by the names (db_id, name) of their databases.
+
+    Only nouns that no other reason drops are looked up.  The same nouns as
+    ``is_kept`` keeps with an array of names.
+    """
+    known = variants(names).withColumnRenamed("db_id", "_d")
+    out = nouns.filter(is_plain(F.col("noun")))
+    for form in (F.lower("noun"), schema_name(F.col("noun"))):
+        out = out.join(known, (F.col("db_id") == F.col("_d")) & (form == F.col("variant")), "left_anti")
+    return out
+
+
 def reasons(nouns: DataFrame, names: DataFrame) -> DataFrame:
     """(db_id, noun, reason) of the different nouns (db_id, noun), by the names (db_id, name) of their databases.
 
@@ -35,10 +53,9 @@ def reasons(nouns: DataFrame, names: DataFrame) -> DataFrame:
     database and text, however many a database has.  The same reasons as
     ``filter_reason`` gives with an array of names.
     """
-    variants = names.filter("name IS NOT NULL").select("db_id", F.explode(F.array(F.lower("name"), schema_name(F.col("name")))).alias("variant")).distinct()
     once = nouns.select("db_id", "noun").distinct()
     stripped = strip(F.col("noun"))
     forms = once.select("db_id", "noun", F.explode(F.array_distinct(F.array(F.lower(stripped), schema_name(stripped)))).alias("variant"))
-    named = forms.join(variants, ["db_id", "variant"], "left_semi").select("db_id", "noun").distinct().withColumn("named", F.lit(True))
+    named = forms.join(variants(names), ["db_id", "variant"], "left_semi").select("db_id", "noun").distinct().withColumn("named", F.lit(True))
     out = once.join(named, ["db_id", "noun"], "left")
     return out.select("db_id", "noun", filter_reason(F.col("noun"), named=F.coalesce("named", F.lit(False))).alias("reason"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.functions.text import strip
+from querent.functions.text import let, strip
 
 #: How much a match with each type of table counts.
 PRIORITIES = {"entity": 1.0, "junction": 0.7, "reference": 0.6}
@@ -77,11 +77,13 @@ def table_type(table: Column, columns: Column, fk_columns: Column) -> Column:
     name, fks = strip(F.lower(table)), F.array_distinct(F.filter(fk_columns, lambda c: c.isNotNull() & (c != "")))
     a, b = F.get(columns, 0), F.get(columns, 1)
     pair = (looks_like_code(a) & looks_like_description(b)) | (looks_like_code(b) & looks_like_description(a))
-    rest = F.size(F.filter(columns, lambda c: ~F.array_contains(fks, c)))
+    known = F.filter(columns, lambda c: c.isNotNull())
+    #: At most one different column is no key, and only once: sets, as a test of each column against the keys would be their product.
+    lone = let(F.array_except(known, fks), lambda rest: F.when(F.size(rest) <= 1, let(F.get(rest, F.lit(0)), lambda one: F.size(F.filter(columns, lambda c: c == one)) <= 1)).otherwise(False))
     return (
         F.when(name.rlike(r"^ref_|_types$|_codes$"), "reference")
         .when((F.size(columns) == 2) & (F.size(fks) == 0) & pair, "reference")
-        .when((F.size(fks) >= 2) & (rest <= 1), "junction")
+        .when((F.size(fks) >= 2) & lone, "junction")
         .otherwise("entity")
     )
 

@@ -285,3 +285,77 @@ def test_nouns_are_judged_in_rows_as_in_arrays(spark):
     got = {r.example_idx: (r.db_id, r.raw, r.candidates) for r in out.collect()}
     assert got == {r.example_idx: (r.db_id, r.raw, r.kept) for r in want.collect()} and any(c for *_, c in got.values())
     assert "array_union" not in out._jdf.queryExecution().toString()
+
+
+def test_equal_targets_are_asked_once(spark, tmp_path, monkeypatch):
+    """Nouns meet the different vectors and weights of their database, however many targets have them."""
+    import uuid
+
+    ask = matching._top_one
+
+    def counted(batches, **given):
+        rows = []
+        yield from ask((rows.append(b.num_rows) or b for b in batches), **given)
+        (tmp_path / uuid.uuid4().hex).write_text(str(sum(rows)))
+
+    monkeypatch.setattr(matching, "_top_one", counted)
+    sides = [[0.6, 0.8], [0.8, 0.6], [0.0, 1.0]]
+    targets = [("d", i, (1.0, 0.7)[i // 3 % 2], sides[i % 3]) for i in range(5, 900)] + [("e", 3, 1.0, sides[0]), ("e", 1, 1.0, sides[0])]
+    nouns = [("de"[i % 2], i, sides[i % 3]) for i in range(60)]
+    nf = spark.createDataFrame(nouns, "db_id string, key int, embedding array<double>")
+    tf = spark.createDataFrame(targets, "db_id string, target_idx int, weight double, embedding array<double>")
+    got = {(r.db_id, r.key): (r.target_idx, r.s) for r in matching.top_one(nf, tf, ["key"], 0.5, 10).collect()}
+    assert got == brute_top(nouns, targets, 0.5) and len(got) == 60
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 60 + 6 + 1
+
+
+def test_augment_encodes_and_matches_a_text_once(spark, tmp_path, monkeypatch):
+    """Nouns that many examples have go to the encoder once, and to the targets once for each database."""
+    import uuid
+
+    ask, seen = matching._top_one, tmp_path / "seen"
+    seen.mkdir()
+
+    def load(model):
+        def encode(texts):
+            (seen / f"text-{uuid.uuid4().hex}").write_text(str(len(texts)))
+            return [[0.0, 1.0] if t.endswith("hát") else [1.0, 0.0] for t in texts]
+
+        return encode
+
+    def counted(batches, **given):
+        rows = []
+        yield from ask((rows.append(sum(b.column(3).to_pylist())) or b for b in batches), **given)
+        (seen / f"noun-{uuid.uuid4().hex}").write_text(str(sum(rows)))
+
+    monkeypatch.setattr(matching, "_top_one", counted)
+    total = lambda kind: sum(int(p.read_text()) for p in seen.glob(f"{kind}-*"))
+    rows = [(i, f"d{i % 2}", [("ca sĩ", "N"), ("đi", "V"), ("bài hát", "N"), ("Tuổi", "N"), ("select", "V")]) for i in range(50)]
+    examples = spark.createDataFrame(rows, "example_idx long, db_id string, tagged array<struct<token: string, tag: string>>")
+    names = spark.createDataFrame([("d0", ["tuổi"]), ("d1", ["x"])], "db_id string, names array<string>")
+    targets = spark.createDataFrame([(d, i, f"t{i}", None, "entity", v) for d in ("d0", "d1") for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [0.0, 1.0]])], "db_id string, target_idx long, table string, column string, table_type string, embedding array<float>")
+    out = {r.example_idx: r for r in matching.augment(examples, names, targets, lambda x: matching.encode_texts(x, "once", load), 0.9).collect()}
+    assert out[0].candidates == ["ca sĩ", "bài hát", "bài hát Tuổi"]
+    assert out[1].candidates == ["ca sĩ", "bài hát", "Tuổi", "bài hát Tuổi"] and out[1].raw == out[0].raw == out[1].candidates
+    assert [(h.vi_noun, h.table) for h in out[1].hints] == [("ca sĩ", "t0"), ("bài hát", "t1")] and len(out) == 50
+    assert total("text") == 4 and total("noun") == 3 + 4
+
+
+def test_table_types_of_wide_tables(spark):
+    """The same types as counted column by column, from sets: no column is looked for among the keys by itself."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    some = lambda n: [rng.choice(["a", "b", "c", "d", "e", "", None]) for _ in range(rng.randrange(n))]
+    rows = [(i, some(6), some(5)) for i in range(400)] + [(900, None, ["a", "b"]), (901, ["a"], None), (902, ["a", "b", "c", "c"], ["a", "b"])]
+    out = spark.createDataFrame(rows, "id long, columns array<string>, fks array<string>").select("id", schema.table_type(F.lit("x"), F.col("columns"), F.col("fks")).alias("kind"))
+
+    def kind(columns, fks):
+        keys = {k for k in fks or [] if k}
+        return "junction" if columns is not None and len(keys) >= 2 and sum(c is not None and c not in keys for c in columns) <= 1 else "entity"
+
+    got = {r.id: r.kind for r in out.collect()}
+    assert got == {i: kind(c, f) for i, c, f in rows} and set(got.values()) == {"junction", "entity"}
+    assert "array_contains" not in out._jdf.queryExecution().toString()

@@ -51,3 +51,25 @@ def test_tokens_are_dealt_once(spark):
     out = nouns.candidates(tokens)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, out.collect())) == [(1, 0, "a", False), (1, 1, "b", False), (1, 2, "a b a", True)]
+
+
+def test_candidates_of_arrays_grow_with_tokens(spark):
+    """Runs are cut by places, not grown token by token: null and blank tokens, null tags, null and empty arrays."""
+    rows = [(0, [("a", "N"), (None, "N"), (" b ", "N"), ("c", "Np"), ("", "N"), ("d", None), ("b", "N"), ("c", "N")]), (1, []), (2, None), (3, [("x", "V")]), (4, [("a", "N"), ("a", "N"), None, ("a", "N")]), (5, [("w%d" % i, "NV"[i % 1000 == 999]) for i in range(20000)])]
+    df = spark.createDataFrame(rows, "id long, tagged array<struct<token: string, tag: string>>")
+    out = df.select("id", X.noun_candidates(F.col("tagged")).alias("c"), X.nouns(F.col("tagged")).alias("n"))
+    got = {r.id: (r.c, r.n) for r in out.collect()}
+    assert got[0] == (["a", "b", "c", "b c"], ["a", "b", "c"]) and got[4] == (["a", "a a"], ["a"])
+    assert got[1] == got[3] == ([], []) and got[2] == (None, None)
+    assert len(got[5][0]) == 20 * 1000 and got[5][0][999] == " ".join(f"w{i}" for i in range(999))
+    assert "aggregate(" not in out._jdf.queryExecution().toString()
+
+
+def test_plain_nouns_are_those_without_another_reason(spark):
+    letters = ["a", "Z", "é", "ç", "đ", "日", "1", "_", "ß", "Ω"]
+    rng = random.Random(5)
+    items = ["", "a", "é", "tên", "TÊN", "số lượng", "x" * 31, "日本", "12", "ñ" * 3 + "a" * 7, "ñ" * 3 + "a" * 8] + ["".join(rng.choice(letters) for _ in range(rng.randrange(34))) for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in items], "noun string")
+    rows = df.select("noun", (X.filter_reason(F.col("noun")) == "").alias("want"), X.is_plain(F.col("noun")).alias("got")).collect()
+    assert all(r.want == r.got for r in rows) and 0 < sum(r.got for r in rows) < len(rows)
+    assert not spark.createDataFrame([(None,)], "noun string").select(X.is_plain(F.col("noun")).alias("p")).first().p
