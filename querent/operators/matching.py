@@ -255,6 +255,8 @@ def augment(examples: DataFrame, names: DataFrame, targets: DataFrame, encode_no
     texts to (text, embedding).  Returns example_idx, db_id, raw, candidates, hints.
     Nouns are rows, found in one pass over the tokens; those that stay are
     encoded and matched once for each text and database, then joined by text.
+    Vectors, of targets too, are stored: what asks for them more than once does
+    not run the encoder again.
     """
     from querent.functions.text import noun_candidates
     from querent.operators.nouns import kept
@@ -264,7 +266,7 @@ def augment(examples: DataFrame, names: DataFrame, targets: DataFrame, encode_no
     nouns = stored(kept(found, names.select("db_id", F.explode("names").alias("name"))).withColumnRenamed("noun", "vi_noun"), "nouns")
     once = nouns.select("db_id", "vi_noun").distinct()
     vectors = encode_nouns(once.select(F.col("vi_noun").alias("text")).distinct()).withColumnRenamed("text", "vi_noun")
-    best = _named_best(stored(once.join(vectors, "vi_noun"), "vectors"), targets, ["vi_noun"], threshold)
+    best = _named_best(stored(once.join(vectors, "vi_noun"), "vectors"), stored(targets, "targets"), ["vi_noun"], threshold)
     hints = limit_hints(ranked_matches(nouns.join(best, ["db_id", "vi_noun"])))
     own = nouns.groupBy("example_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("noun_pos", "vi_noun"))), lambda x: x["vi_noun"]).alias("candidates"))
     out = examples.select("example_idx", "db_id", raw.alias("raw")).join(own, "example_idx", "left").join(hints, "example_idx", "left")

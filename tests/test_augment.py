@@ -359,3 +359,24 @@ def test_table_types_of_wide_tables(spark):
     got = {r.id: r.kind for r in out.collect()}
     assert got == {i: kind(c, f) for i, c, f in rows} and set(got.values()) == {"junction", "entity"}
     assert "array_contains" not in out._jdf.queryExecution().toString()
+
+
+def test_augment_takes_vectors_of_targets_once(spark, tmp_path):
+    """Targets that are still to be encoded are encoded once, though counts, products and names ask for them."""
+    import uuid
+
+    def load(model):
+        def encode(texts):
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(texts)))
+            return [[1.0, 0.0]] * len(texts)
+
+        return encode
+
+    examples = spark.createDataFrame([(1, "d", [("hát", "N")])], "example_idx long, db_id string, tagged array<struct<token: string, tag: string>>")
+    names = spark.createDataFrame([("d", ["x"])], "db_id string, names array<string>")
+    texts = spark.createDataFrame([("d", i, f"t{i}", None, "entity", f"t{i}") for i in range(7)], "db_id string, target_idx long, table string, column string, table_type string, t string")
+    vectors = matching.encode_texts(texts.withColumnRenamed("t", "text"), "targets-once", load).withColumnRenamed("text", "v")
+    targets = texts.join(vectors, texts.t == vectors.v).drop("v", "t")
+    out = matching.augment(examples, names, targets, lambda x: x.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")), 0.9).first()
+    assert [(h.vi_noun, h.table) for h in out.hints] == [("hát", "t0")]
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 7
